@@ -58,7 +58,7 @@ def _count(rows: DataFrame, by: list[str], group: list[str], x: str, y: str) ->
         d = discordant(pdf["_x"].to_numpy(), pdf["_y"].to_numpy(), pdf["_w"].to_numpy())
         return pd.DataFrame({**{c: [v] for c, v in zip(by, key)}, "_d": [d]})
 
-    slim = rows.select(*by, *group, F.col(x).alias("_x"), F.col(y).alias("_y"), "_w")
+    slim = rows.select(*by, *group, F.expr(x).alias("_x"), F.expr(y).alias("_y"), "_w")
     return slim.groupBy(*by, *group).applyInPandas(kernel, _by_schema(rows, by) + ", _d double")
 
 
@@ -87,8 +87,8 @@ def value_blocks(df: DataFrame, by: list[str], id: str = "id", size: int = TASK_
     Equal values share a block. A value with more than ``size`` rows gets a block of its own (an odd id), which
     holds no discordant pair of its side and is never gathered; every other block has at most twice ``size`` rows.
     """
-    df = tie_ranks(df, by, "left", id, "l", count="_n")
-    df = tie_ranks(df, by, "right", id, "r", count="_n").drop("_n")
+    df = tie_ranks(df, by, "left", id, "l", count="_n1")
+    df = tie_ranks(df, by, "right", id, "r", count="_n2").drop("_n1", "_n2")
     for s in ("l", "r"):
         heavy = F.col(f"{s}_last") - F.col(f"{s}_first") + 1 > size
         df = df.withColumn(f"_h{s}", heavy).withColumn(
@@ -130,8 +130,9 @@ def kendall_parts(
     both = cells.groupBy(*by).agg(F.sum("_c").alias("_total"), F.sum(v * (v - 1) / 2).alias("ties_both"))
     sums = both.join(ties(["left"], "ties_left"), by).join(ties(["right"], "ties_right"), by)
 
-    disc = _count(df.filter(~F.col("_hl")), by, ["_bl"], "left", "right").unionByName(
-        _count(df.filter(~F.col("_hr")), by, ["_br"], "_bl", "right")
+    disc = _count(df.filter(~F.col("_hl")), by, ["_bl"], "`left`", "`right`").unionByName(
+        # block ids run against the values
+        _count(df.filter(~F.col("_hr")), by, ["_br"], "-_bl", "`right`")
     )
     cells = df.groupBy(*by, "_bl", "_br").agg(F.sum("_w").alias("_w"))
     top = df.select(F.max("_bl"), F.max("_br")).first()
