@@ -6,7 +6,7 @@ import importlib
 
 from tandemrank.catalog.registry import QUERIES, SQL
 
-MODULES = ["ranking", "summaries"]
+MODULES = ["ranking", "summaries", "resampling"]
 
 
 def load():

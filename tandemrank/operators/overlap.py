@@ -23,10 +23,24 @@ BANDS = [("elite", 1.0, 10.0), ("intermediate", 10.0, 30.0), ("broad", 30.0, 50.
 
 def first_cutoff(pos: str, qs: Sequence[float]) -> Column:
     """Index of the first cutoff whose top-k reaches the SQL expression ``pos``; ``len(qs)`` if none does."""
-    arms = " ".join(
-        f"WHEN {pos} <= greatest(1L, floor({float(q)}D / 100.0D * n)) THEN {i}" for i, q in enumerate(qs)
+    pos, last = f"({pos})", len(qs)
+    step = qs[1] - qs[0] if last > 1 else 1.0
+    even = all(float(q).is_integer() and q == qs[0] + i * step for i, q in enumerate(qs))
+    if not even:
+        arms = " ".join(
+            f"WHEN {pos} <= greatest(1L, floor({float(q)}D / 100.0D * n)) THEN {i}" for i, q in enumerate(qs)
+        )
+        return F.expr(f"CASE {arms} ELSE {last} END")
+
+    # Even grid: invert k(q) and settle the float rounding against the neighbouring cutoffs.
+    def reaches(i: str) -> str:
+        return f"greatest(1L, floor(({float(qs[0])}D + {i} * {float(step)}D) / 100.0D * n)) >= {pos}"
+
+    g = f"CAST(greatest(0D, least({last}D, ceil((100.0D * {pos} / n - {float(qs[0])}D) / {float(step)}D))) AS INT)"
+    return F.expr(
+        f"CASE WHEN {g} > 0 AND {reaches(f'({g} - 1)')} THEN {g} - 1 WHEN {g} < {last} AND {reaches(g)} THEN {g} "
+        f"WHEN {g} + 1 < {last} AND {reaches(f'({g} + 1)')} THEN {g} + 1 ELSE {last} END"
     )
-    return F.expr(f"CASE {arms} ELSE {len(qs)} END")
 
 
 def _grid(keys: DataFrame, by: list[str], qs: Sequence[float]) -> DataFrame:
@@ -36,6 +50,17 @@ def _grid(keys: DataFrame, by: list[str], qs: Sequence[float]) -> DataFrame:
     )
 
 
+def cutoff_steps(steps: DataFrame, keys: DataFrame, by: list[str], qs: Sequence[float]) -> DataFrame:
+    """Running overlap over the cutoff grid of each key from counts that become common at cutoff ``_i``."""
+    summed = "_s" in steps.columns
+    rows = _grid(keys, by, qs).join(steps, [*by, "_i"], "left")
+    run = f"OVER (PARTITION BY {', '.join(by)} ORDER BY _i ROWS UNBOUNDED PRECEDING)"
+    return rows.selectExpr(
+        *by, "q", "n", "k", f"CAST(sum(coalesce(_c, 0L)) {run} AS BIGINT) AS overlap",
+        f"sum(coalesce(_s, 0.0D)) {run} AS _s" if summed else "0.0D AS _s",
+    )
+
+
 def overlap_counts(
     ranked: DataFrame, by: list[str], qs: Sequence[float], shift: Column | None = None
 ) -> DataFrame:
@@ -52,14 +77,8 @@ def overlap_counts(
         *by, "n",
         "inline(array(named_struct('_i', _both, '_c', _c, '_s', 0.0D), named_struct('_i', _either, '_c', 0L, '_s', _s)))",
     )
-    keys = hist.select(*by, "n").distinct()
-    rows = _grid(keys, by, qs).join(
-        events.groupBy(*by, "_i").agg(F.expr("sum(_c) AS _c"), F.expr("sum(_s) AS _s")), [*by, "_i"], "left"
-    )
-    run = f"OVER (PARTITION BY {', '.join(by)} ORDER BY _i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    out = rows.selectExpr(
-        *by, "q", "n", "k", f"sum(coalesce(_c, 0L)) {run} AS overlap", f"sum(coalesce(_s, 0.0D)) {run} AS _s"
-    )
+    steps = events.groupBy(*by, "_i").agg(F.expr("sum(_c) AS _c"), F.expr("sum(_s) AS _s"))
+    out = cutoff_steps(steps, hist.select(*by, "n").distinct(), by, qs)
     if shift is not None:
         out = out.selectExpr("*", "_s / (2 * k - overlap) AS mean_rank_displacement_in_union")
     return out.drop("_s")
