@@ -6,7 +6,7 @@ import importlib
 
 from tandemrank.catalog.registry import QUERIES, SQL
 
-MODULES = ["ranking", "summaries", "resampling"]
+MODULES = ["ranking", "summaries", "resampling", "selection"]
 
 
 def load():

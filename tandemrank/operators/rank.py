@@ -27,17 +27,17 @@ def positions(
     sort = [*[F.col(c).asc() for c in by], *order]
     rows = materialize(
         df.repartitionByRange(*sort).sortWithinPartitions(*sort)
-        .selectExpr("*", "monotonically_increasing_id() AS _m")
-    ).selectExpr("*", "shiftrightunsigned(_m, 33) AS _part")
+        .selectExpr("*", "monotonically_increasing_id() AS _serial")
+    ).selectExpr("*", "shiftrightunsigned(_serial, 33) AS _part")
     key = _key(by)
     # One row per task and key: at most (tasks + keys) rows, since tasks hold ranges.
-    parts = rows.groupBy(*by, "_part").agg(F.expr("min(_m) AS _m0"), F.expr("count(*) AS _c")).selectExpr(
+    parts = rows.groupBy(*by, "_part").agg(F.expr("min(_serial) AS _serial0"), F.expr("count(*) AS _c")).selectExpr(
         *[f"`{c}`" for c in by], "_part",
-        f"sum(_c) OVER (PARTITION BY {key} ORDER BY _part) - _c - _m0 + 1 AS _delta",
+        f"sum(_c) OVER (PARTITION BY {key} ORDER BY _part) - _c - _serial0 + 1 AS _delta",
         f"sum(_c) OVER (PARTITION BY {key}) AS `{count or '_n'}`",
     )
     ranked = rows.join(bounded(parts), [*by, "_part"])
-    return ranked.selectExpr("*", f"_m + _delta AS `{out}`").drop("_m", "_part", "_delta", "_n")
+    return ranked.selectExpr("*", f"_serial + _delta AS `{out}`").drop("_serial", "_part", "_delta", "_n")
 
 
 def tie_ranks(
