@@ -6,7 +6,7 @@ import importlib
 
 from tandemrank.catalog.registry import QUERIES, SQL
 
-MODULES = ["ranking", "summaries", "resampling", "selection", "tensors"]
+MODULES = ["ranking", "summaries", "resampling", "selection", "tensors", "pairing", "reports"]
 
 
 def load():

@@ -297,6 +297,3 @@ def _(spark, sf):
 def _(spark, sf):
     rows = long_pairs(spark, sf).withColumn("ins", F.col("stratum") == "PROMO")
     return rounded(resample.subgroup_permutation(rows, M, "ins", B, 45), "delta_tau", "pvalue")
-
-
-__all__ = ["log_choose"]

@@ -359,6 +359,3 @@ def _(spark, sf):
     return rounded(
         out, "naucc_stable", "naucc_min", "naucc_max", "elite_min", "elite_max", "naucc_ci95_low", "naucc_ci95_high"
     )
-
-
-__all__ = ["r9", "rank_both"]

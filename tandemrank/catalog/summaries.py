@@ -290,6 +290,3 @@ def _(spark, sf):
     return rounded(out, "rho", "tau", "kappa_at_tail").select(
         *PM, "n_positive", "rho", "mean_shift", "median_ratio", "crossings", "tau", "kappa_at_tail"
     )
-
-
-__all__ = ["rank_both"]

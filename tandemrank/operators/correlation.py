@@ -87,9 +87,3 @@ def ks_statistic(pairs: DataFrame, by: list[str], id: str = "id") -> DataFrame:
     return cum.groupBy(*by).agg(
         F.max("n_left").alias("n_left"), F.max("n_right").alias("n_right"), F.max(gap).alias("ks")
     )
-
-
-__all__ = [
-    "covariate_agreement", "ks_statistic", "pearson", "shift_summary", "spearman", "spearman_test",
-    "tail_agreement", "tail_pairs", "tie_ranks",
-]

@@ -85,6 +85,3 @@ def tied_rows(pairs: DataFrame, by: list[str]) -> DataFrame:
         )
         out = part if out is None else out.join(part, by)
     return out
-
-
-__all__ = ["cumulative_sides", "quantile_at", "quantile_mapping_error", "tied_rows"]

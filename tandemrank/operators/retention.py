@@ -86,6 +86,3 @@ def step_up_fdr(tests: DataFrame, by: list[str], p: str = "pvalue", out: str = "
         Window.unboundedPreceding, Window.currentRow
     )
     return rows.withColumn(out, F.least(F.lit(1.0), F.min("_x").over(window))).drop("_r", "_n", "_x")
-
-
-__all__ = ["boundary_risk", "consensus_counts", "retention_map", "step_up_fdr", "top_sets"]

@@ -33,6 +33,3 @@ def scale_order_tail(pairs: DataFrame, by: list[str], q: float = 10.0, id: str =
     ):
         out = out.join(part, by)
     return out
-
-
-__all__ = ["F", "scale_order_tail"]

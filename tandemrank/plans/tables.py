@@ -43,3 +43,200 @@ def high_response_table(pairs: DataFrame, by: list[str], fractions: Sequence[flo
     """tau and nAUCC of every high-response subset."""
     key = [*by, "method", "fraction"]
     return agreement(high_response(pairs, by, fractions, id), key, area=True, id=id)
+
+
+def rank_record(
+    pairs: DataFrame, by: list[str], unit: str, reps: int, perms: int, seed: int = 42, id: str = "id"
+) -> DataFrame:
+    """Full rank record: tau with test, interval and permutation p, rho, displacement, top-5/10/20 % measures."""
+    from tandemrank.operators.resample import bootstrap_tau, percentile_ci, permutation_pvalue
+    from tandemrank.operators.tau import kendall_test
+
+    out = agreement(pairs, by, qs=[5.0, 10.0, 20.0], shift=True, id=id)
+    ci = percentile_ci(bootstrap_tau(pairs, by, unit, reps, seed, id), by, "tau", reps, "tau_ci95")
+    perm = permutation_pvalue(pairs, by, perms, seed, id=id).select(*by, F.col("pvalue").alias("permutation_pvalue"))
+    test = kendall_test(pairs, by, id).select(*by, F.col("pvalue").alias("tau_pvalue"))
+    return out.join(test, by).join(ci, by, "left").join(perm, by, "left")
+
+
+def topk_record(ranked: DataFrame, by: list[str], ks: Sequence[int]) -> DataFrame:
+    """Plain Jaccard of the top-k sets for a list of sizes."""
+    items = ", ".join(f"named_struct('k', {int(k)}L)" for k in ks)
+    rows = ranked.selectExpr(*by, "n", "l_pos", "r_pos", f"inline(array({items}))").filter("greatest(l_pos, r_pos) <= k")
+    hit = rows.groupBy(*by, "k").agg(F.expr("count(*) AS overlap"))
+    grid = ranked.groupBy(*by).agg(F.max("n").alias("n")).selectExpr(*by, "n", f"inline(array({items}))")
+    return grid.join(hit, [*by, "k"], "left").selectExpr(
+        *by, "k", "coalesce(overlap, 0L) / (2.0D * least(k, n) - coalesce(overlap, 0L)) AS jaccard"
+    )
+
+
+def robustness(
+    pairs: DataFrame, by: list[str], subsets: dict[str, str], stratum: str | None = None, transforms: bool = True,
+    id: str = "id",
+) -> DataFrame:
+    """Rank record over named subsets, score transforms and leave-one-stratum-out, all in one pass of each operator.
+
+    ``subsets`` are SQL conditions. The stratum list is taken from the data; a row belongs to every subset it meets.
+    """
+    from tandemrank.operators.quantile import quantiles
+    from tandemrank.operators.summary import log_scores, winsorized
+    from tandemrank.session import bounded
+
+    base = materialize(finite_pairs(pairs))
+    mean = base.selectExpr("*", "(`left` + `right`) / 2.0D AS _mean")
+    cut = bounded(quantiles(mean.select(*by, id, "_mean"), by, "_mean", id, {"_p99": 0.99}))
+    items = [f"IF({cond}, '{name}', NULL)" for name, cond in subsets.items()]
+    items.append("IF(_mean < _p99, 'exclude_top_1pct', NULL)")
+    tags = f"array_compact(array({', '.join(items)}))"
+    rows = mean.join(cut, by)
+    if stratum:
+        names = sorted(r[0] for r in base.select(stratum).distinct().limit(1001).collect() if r[0] is not None)
+        if len(names) > 1000:
+            raise ValueError(f"leave-one-out over more than 1000 levels of {stratum!r}")
+        without = ", ".join(f"IF(`{stratum}` != '{s}', 'without_{s}', NULL)" for s in names)
+        tags = f"array_compact(concat({tags}, array({without})))"
+    keep = [*by, f"`{id}`", "`left`", "`right`"]
+    long = rows.selectExpr(*keep, f"explode({tags}) AS subset")
+    if transforms:
+        long = long.unionByName(winsorized(base, by, id=id).selectExpr(*keep, "'winsorized_5_95' AS subset"))
+        long = long.unionByName(log_scores(base).selectExpr(*keep, "'log_eps' AS subset"))
+    return agreement(long, [*by, "subset"], qs=[10.0], shift=True, id=id)
+
+
+def control_comparison(
+    controls: DataFrame, reference: DataFrame, by: list[str], unit: str, reps: int, perms: int, seed: int = 42,
+    min_n: int = 30, id: str = "id",
+) -> DataFrame:
+    """Every control attribute against a reference score: tau, nAUCC, intervals, tau difference with interval,
+    permutation p and adjusted p; ``insufficient_n`` below ``min_n`` pairs.
+
+    ``controls`` is keyed by (by, attribute); each attribute meets its own copy of the reference.
+    """
+    from tandemrank.operators.resample import (
+        bootstrap_naucc, bootstrap_tau, delta_tau_bootstrap, delta_tau_permutation, percentile_ci,
+    )
+    from tandemrank.operators.retention import step_up_fdr
+
+    key = [*by, "attribute"]
+    controls = materialize(controls.select(*key, id, unit, "left", "right"))
+    points = agreement(controls, key, area=True, id=id).selectExpr(*key, "n", "tau", "naucc")
+    points = points.withColumn("status", F.expr(f"IF(n < {min_n}, 'insufficient_n', 'ok')"))
+    usable = materialize(controls.join(points.filter("status = 'ok'").select(*key), key))
+    names = usable.select(*key).distinct()
+    ref = names.join(reference.select(*by, id, unit, "left", "right"), by)
+    both = usable.withColumn("role", F.lit("control")).unionByName(ref.withColumn("role", F.lit("reference")))
+    both = materialize(both)
+    tau_ci = percentile_ci(bootstrap_tau(usable, key, unit, reps, seed, id), key, "tau", reps, "tau_ci95")
+    ranked = rank_both(usable, key, id)
+    area_ci = percentile_ci(bootstrap_naucc(ranked, key, unit, reps, seed, id=id), key, "naucc", reps, "naucc_ci95")
+    delta = delta_tau_permutation(both, key, "role", "reference", unit, perms, seed, id)
+    delta_ci = delta_tau_bootstrap(both, key, "role", "reference", unit, reps, seed, id)
+    delta = step_up_fdr(delta, by)
+    out = points
+    for part in (tau_ci, area_ci, delta, delta_ci):
+        out = out.join(part, key, "left")
+    return out
+
+
+def heterogeneity(
+    pairs: DataFrame, by: list[str], covariates: Sequence[str], unit: str, reps: int, perms: int, seed: int = 42,
+    min_n: int = 30, id: str = "id",
+) -> DataFrame:
+    """tau within every (covariate, level) with interval, subgroup permutation p and adjusted p per covariate."""
+    from tandemrank.operators.resample import bootstrap_tau, percentile_ci, subgroup_permutation
+    from tandemrank.operators.retention import step_up_fdr
+    from tandemrank.operators.strata import unpivot_strata
+
+    base = materialize(finite_pairs(pairs).select(*by, id, unit, "left", "right", *covariates))
+    long = materialize(unpivot_strata(base, list(covariates)))
+    key = [*by, "covariate", "level"]
+    points = agreement(long, key, id=id).withColumn("status", F.expr(f"IF(n < {min_n}, 'insufficient_n', 'ok')"))
+    levels = points.filter("status = 'ok'").select(*key)
+    usable = materialize(long.join(levels, key))
+    ci = percentile_ci(bootstrap_tau(usable, key, unit, reps, seed, id), key, "tau", reps, "tau_ci95")
+    # Every usable level meets all rows of its covariate, marked as member or not.
+    marked = long.withColumnRenamed("level", "_own").join(levels, [*by, "covariate"]).withColumn(
+        "_in", F.col("_own") == F.col("level")
+    )
+    perm = step_up_fdr(subgroup_permutation(marked, key, "_in", perms, seed, id), [*by, "covariate"])
+    return points.join(ci, key, "left").join(perm, key, "left")
+
+
+def distance_thresholds(
+    pairs: DataFrame, by: list[str], distances: Sequence[str], points: int = 11, id: str = "id"
+) -> DataFrame:
+    """Agreement of the pairs within each of ``points`` distance quantiles from the median to the maximum.
+
+    A row belongs to every threshold at or above its distance. Equal thresholds are kept once.
+    """
+    from tandemrank.operators.quantile import quantiles
+    from tandemrank.session import bounded
+
+    items = ", ".join(f"named_struct('distance', '{d}', 'd', CAST(`{d}` AS DOUBLE))" for d in distances)
+    rows = materialize(
+        finite_pairs(pairs).selectExpr(*by, f"`{id}`", "`left`", "`right`", f"inline(array({items}))").filter(
+            "d IS NOT NULL AND NOT isnan(d)"
+        )
+    )
+    key = [*by, "distance"]
+    probs = {f"t{i}": 0.5 + 0.5 * i / (points - 1) for i in range(points)}
+    cuts = quantiles(rows, key, "d", id, probs).selectExpr(*key, f"array_distinct(array({', '.join(probs)})) AS cuts")
+    rows = rows.join(bounded(cuts), key).selectExpr(
+        *by, "distance", f"`{id}`", "`left`", "`right`", "explode(filter(cuts, c -> d <= c + 1e-15D)) AS threshold"
+    )
+    return agreement(rows, [*key, "threshold"], area=True, id=id)
+
+
+def distance_strata(pairs: DataFrame, by: list[str], distance: str, id: str = "id") -> DataFrame:
+    """Agreement in five equal-frequency distance strata, with the distance range and tied rows of each."""
+    from tandemrank.operators.strata import rank_bins
+
+    rows = materialize(rank_bins(finite_pairs(pairs), by, distance, id, 5, "stratum_no"))
+    key = [*by, "stratum_no"]
+    ties = rows.groupBy(*key, distance).count().groupBy(*key).agg(
+        F.expr(f"min(`{distance}`) AS distance_min"), F.expr(f"max(`{distance}`) AS distance_max"),
+        F.expr("sum(IF(count > 1, count, 0L)) AS boundary_count"),
+    )
+    return agreement(rows, key, area=True, id=id).join(ties, key)
+
+
+def distance_trim(
+    pairs: DataFrame, by: list[str], distance: str, fractions: Sequence[float] = (0.0, 0.01, 0.05, 0.10, 0.20),
+    id: str = "id",
+) -> DataFrame:
+    """Agreement after removing the floor(f n) pairs with the largest distance, for each fraction."""
+    from tandemrank.operators.rank import positions
+
+    rows = positions(finite_pairs(pairs), by, [F.col(distance).desc(), F.col(id).asc()], "_far", "_size")
+    items = ", ".join(f"named_struct('trim_fraction', {f}D, '_cut', floor({f}D * _size))" for f in fractions)
+    kept = rows.selectExpr(*by, f"`{id}`", "`left`", "`right`", "_far", f"inline(array({items}))").filter("_far > _cut")
+    return agreement(kept, [*by, "trim_fraction"], qs=[10.0], area=True, id=id)
+
+
+def component_decomposition(pairs: DataFrame, by: list[str], min_n: int = 30, id: str = "id") -> DataFrame:
+    """tau and adjusted top-10 % overlap of each contribution (a key column of ``pairs``), if there are enough."""
+    out = agreement(pairs, by, qs=[10.0], id=id)
+    return out.withColumn("status", F.expr(f"IF(n < {min_n}, 'insufficient_n', 'ok')"))
+
+
+def baseline_comparison(pairs: DataFrame, by: list[str], qs: Sequence[float] = (1, 5, 10, 20, 50), id: str = "id"):
+    """Every overlap, rank-biased and tail measure side by side at a few cutoffs, with the area up to each cutoff."""
+    from tandemrank.operators.correlation import tail_agreement
+    from tandemrank.operators.overlap import rank_biased_overlap, trapezoids
+
+    rows = materialize(finite_pairs(pairs).select(*by, id, "left", "right"))
+    ranked = materialize(rank_both(rows, by, id, ties=True))
+    curve = materialize(concordance_curve(ranked, by, sorted({*Q_GRID, *map(float, qs)})))
+    steps = trapezoids(curve, by).selectExpr(
+        "*", "coalesce((_q - _q0) * (adjusted_jaccard + _y0) / 2, 0D) AS _a"
+    ).selectExpr(
+        "*", f"sum(_a) OVER (PARTITION BY {', '.join(by)} ORDER BY q ROWS UNBOUNDED PRECEDING) AS _sum"
+    )
+    cuts = ", ".join(f"{float(q)}D" for q in qs)
+    out = steps.filter(f"q IN ({cuts})").selectExpr(
+        *by, "q", "k", "n", "overlap", "observed_jaccard", "adjusted_jaccard", "overlap / k AS precision_at_k",
+        "overlap / k AS recall_at_k", "overlap / k AS overlap_coefficient", "_sum / nullif(q - 1D, 0D) AS partial_naucc_to_q",
+    )
+    out = out.join(kendall_tau(rows, by, id).drop("n"), by).join(spearman(ranked, by).drop("n"), by)
+    out = out.join(rank_biased_overlap(ranked, by), by)
+    return out.join(tail_agreement(ranked, by, [float(q) for q in qs], id), [*by, "q"])
