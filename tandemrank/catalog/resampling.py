@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tandemrank.catalog.registry import query, rounded
-from tandemrank.catalog.views import FINITE, LONG, log_choose, long_pairs, null_sql, ranked_sql
+from tandemrank.catalog.views import FINITE, LONG, long_pairs, null_sql, ranked_sql
 from tandemrank.frame import finite_pairs
 from tandemrank.operators import overlap, resample
 from tandemrank.operators.rank import rank_both

@@ -11,7 +11,6 @@ from tandemrank.catalog.views import (
 from tandemrank.frame import finite_pairs
 from tandemrank.functions.null_model import ks_tail
 from tandemrank.operators import correlation, distribution, quantile, summary
-from tandemrank.operators.rank import rank_both
 from tandemrank.session import bounded
 
 PM = ["panel", "metric"]
@@ -113,8 +112,8 @@ def scaled_customers(spark, sf):
       round(b / nullif(b + lo, 0), 9) + 0.0 AS precision_right_ref, round(b / nullif(b + ro, 0), 9) + 0.0 AS recall_right_ref,
       round((po - py) / (1 - py), 9) + 0.0 AS adjusted_agreement,
       round((po - (py * py + (1 - py) * (1 - py))) / (1 - (py * py + (1 - py) * (1 - py))), 9) + 0.0 AS cohen_kappa,
-      round((CAST(b AS DOUBLE) * ne - CAST(lo AS DOUBLE) * ro)
-        / sqrt(CAST(b + ro AS DOUBLE) * (b + lo) * (ne + ro) * (ne + lo)), 9) + 0.0 AS mcc
+      round(coalesce((CAST(b AS DOUBLE) * ne - CAST(lo AS DOUBLE) * ro)
+        / nullif(sqrt(CAST(b + ro AS DOUBLE) * (b + lo) * (ne + ro) * (ne + lo)), 0), 0), 9) + 0.0 AS mcc
     FROM rates""",
 )
 def _(spark, sf):

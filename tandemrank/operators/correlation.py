@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tandemrank.frame import cutoff_size
 from tandemrank.functions.null_model import student_two_sided
 from tandemrank.operators.quantile import summarize
-from tandemrank.operators.rank import average_rank, rank_both, rank_shift, tie_ranks
+from tandemrank.operators.rank import average_rank, rank_both, rank_shift
 from tandemrank.operators.tau import TASK_ROWS, kendall_tau
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemrank.operators.quantile import quantile_at
 from tandemrank.operators.rank import positions
 from tandemrank.session import bounded, materialize
 

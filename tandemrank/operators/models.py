@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -256,12 +256,12 @@ def fourier_features(df: DataFrame, x: str, width: int, components: int, gamma:
     weights = np.sqrt(2 * gamma) * rng.standard_normal((width, components))
     offset = rng.uniform(0, 2 * np.pi, components)
 
-    def lift(batches):
+    def lift(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in batches:
             m = np.stack([np.asarray(r, dtype=np.float64) for r in v])
             yield pd.Series(list(np.sqrt(2.0 / components) * np.cos(m @ weights + offset)))
 
-    udf = F.pandas_udf(lift, T.ArrayType(T.DoubleType()), functionType=F.PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(lift, T.ArrayType(T.DoubleType()))
     return df.withColumn(out, udf(x))
 
 
@@ -270,12 +270,12 @@ def ridge(train: DataFrame, test: DataFrame, x: str, y: str, alpha: float = 1.0,
     gram = _fetch(gram_rows(train, [], x, y), [])[()]
     beta = _solve(gram, gram.shape[0], alpha)
 
-    def apply(batches):
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in batches:
             m = np.stack([np.asarray(r, dtype=np.float64) for r in v])
             yield pd.Series(list(beta[0] + m @ beta[1:]))
 
-    udf = F.pandas_udf(apply, T.ArrayType(T.DoubleType()), functionType=F.PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(apply, T.ArrayType(T.DoubleType()))
     return test.withColumn(out, udf(x))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandemrank.frame import cutoff_size
-from tandemrank.operators.overlap import first_cutoff, top_sets
+from tandemrank.operators.overlap import first_cutoff
 
 LEVELS = (1.0, 5.0, 10.0, 20.0, 50.0)
 # Bin edges in percentile points from the cutoff; bins are open below and closed above.

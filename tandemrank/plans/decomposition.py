@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tandemrank.frame import finite_pairs
 from tandemrank.operators.correlation import ks_statistic, shift_summary, spearman
