@@ -19,10 +19,10 @@ STRATEGIES = [
 ]
 SINGLE = ["left_only", "right_only"]
 
+# Inputs of the rules that no one needs once rows are scored.
+_SPENT = ["left", "right", "l_first", "l_last", "r_first", "r_last"]
 # Per strategy: who goes first (1 before 0) and the score that orders the rest, highest first.
 _RULES = {
-    "left_only": ("0", "CAST(-l_pos AS DOUBLE)"),
-    "right_only": ("0", "CAST(-r_pos AS DOUBLE)"),
     "average_percentile": ("0", "avg_pct"),
     "borda_count": ("0", "-((l_first + l_last) / 2.0D + (r_first + r_last) / 2.0D)"),
     "maximin_percentile": ("0", "least(pct_l, pct_r)"),
@@ -61,11 +61,20 @@ def select(
     """Selected rows per strategy, penalty and budget factor.
 
     ``lams`` are SQL expressions for the disagreement penalty: literals, or a tuned column of ``prepared``. Each
-    strategy is one distributed sort of all rows, shared by all budgets; the one that depends on the budget, the
-    oracle, is a sort inside its four membership cells and closed-form takes per cell.
+    strategy is one distributed sort of all rows, shared by all budgets, but for those that follow one source, whose
+    order is known already. The one that depends on the budget, the oracle, is a sort inside its four membership
+    cells and closed-form takes per cell.
     """
-    out = None
-    rules = [s for s in strategies if s != "minimax_oracle"]
+    parts = []
+    single = [s for s in strategies if s in SINGLE]
+    if single:
+        items = ", ".join(
+            f"named_struct('strategy', '{s}', 'lam', 0.0D, '_spot', {'l_pos' if s == 'left_only' else 'r_pos'})"
+            for s in single
+        )
+        rows = prepared.drop(*_SPENT).selectExpr("*", f"inline(array({items}))")
+        parts.append(rows.selectExpr("*", _budgets(factors)).filter("_spot <= budget").drop("_spot"))
+    rules = [s for s in strategies if s in _RULES]
     if rules:
         items = []
         for s in rules:
@@ -75,15 +84,22 @@ def select(
                     f"named_struct('strategy', '{s}', 'lam', CAST({lam} AS DOUBLE), '_flag', {flag}, "
                     f"'_score', {score.format(lam=lam)})"
                 )
-        rows = prepared.selectExpr("*", f"inline(array({', '.join(items)}))")
+        rows = prepared.selectExpr("*", f"inline(array({', '.join(items)}))").drop(*_SPENT)
         rows = positions(
             rows, [*by, "strategy", "lam"], [F.col("_flag").desc(), F.col("_score").desc(), F.col(id).asc()],
             "_spot", count=None,
         )
-        out = rows.selectExpr("*", _budgets(factors)).filter("_spot <= budget").drop("_flag", "_score", "_spot")
+        parts.append(
+            rows.selectExpr("*", _budgets(factors)).filter("_spot <= budget").drop("_flag", "_score", "_spot")
+        )
     if "minimax_oracle" in strategies:
-        picked = _oracle(prepared, by, factors, id)
-        out = picked if out is None else out.unionByName(picked)
+        parts.append(_oracle(prepared.drop(*_SPENT), by, factors, id))
+    unknown = set(strategies) - {*SINGLE, *_RULES, "minimax_oracle"}
+    if unknown or not parts:
+        raise ValueError(f"unknown strategies {sorted(unknown)}")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
