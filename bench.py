@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tandemrank.catalog import load  # noqa: E402
-from tandemrank.session import local_session  # noqa: E402
+from tandemrank.session import local_session, release  # noqa: E402
 
 HEADLINE = [
     "positions", "curve_summary", "concordance_curve", "kendall_tau", "spearman", "tail_agreement", "cutoff_diagnostics",
@@ -39,6 +39,7 @@ def main() -> None:
             }
         )
     )
+    release(spark)
     spark.stop()
 
 

@@ -50,7 +50,6 @@ def cumulative_sides(pairs: DataFrame, by: list[str], id: str = "id") -> DataFra
 
 def quantile_mapping_error(pairs: DataFrame, by: list[str], id: str = "id", points: int = 99) -> DataFrame:
     """Mean over an even grid of probabilities of |Q_left(p) - Q_right(p)|."""
-    probs = [i / (points + 1.0) for i in range(1, points + 1)]
     sides = F.explode(
         F.array(
             F.struct(F.lit("l").alias("side"), F.col("left").alias("v")),
@@ -59,11 +58,13 @@ def quantile_mapping_error(pairs: DataFrame, by: list[str], id: str = "id", poin
     )
     rows = pairs.select(*by, id, sides.alias("_s")).select(*by, id, "_s.side", "_s.v")
     rows = positions(rows, [*by, "side"], [F.col("v").asc(), F.col(id).asc()])
-    grid = F.array(*[F.lit(p) for p in probs])
-    at, last = F.col("pos") - 1, F.col("n") - 1
-    # A row serves the probabilities whose floor or ceiling position it is.
-    near = F.filter(grid, lambda p: (F.floor(last * p) == at) | (F.ceil(last * p) == at))
-    rows = rows.withColumn("p", F.explode(near))
+    # A row serves the probabilities i / m whose floor or ceiling position it is; only the few i next to it can be.
+    m = points + 1
+    lo, hi = f"greatest(1L, floor((pos - 2) * {m}D / (n - 1)))", f"least({points}L, ceil(pos * {m}D / (n - 1)))"
+    near = f"IF(n = 1, sequence(1L, {points}L), IF({lo} <= {hi}, sequence({lo}, {hi}), array()))"
+    rows = rows.selectExpr("*", f"explode({near}) AS _i").selectExpr("*", f"_i / {m}D AS p").filter(
+        "floor((n - 1) * p) = pos - 1 OR ceil((n - 1) * p) = pos - 1"
+    )
     h = (F.col("n") - 1) * F.col("p")
     at = F.col("pos") - 1
     lo, hi = F.max(F.when(at == F.floor(h), F.col("v"))), F.max(F.when(at == F.ceil(h), F.col("v")))

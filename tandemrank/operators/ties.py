@@ -16,15 +16,15 @@ from tandemrank.session import bounded
 def _side_cutoffs(ranked: DataFrame, by: list[str], qs: Sequence[float], side: str) -> DataFrame:
     """Per key and cutoff: the score at position k, the next one, and the tie run around the cutoff."""
     name = "left" if side == "l" else "right"
-    pos = F.col(f"{side}_pos")
-    grid = F.array(*[F.lit(float(q)) for q in sorted(qs)])
-    edge = F.filter(
-        grid, lambda q: (cutoff_size(q, F.col("n")) == pos) | (cutoff_size(q, F.col("n")) + 1 == pos)
-    )
+    grid = ", ".join(f"{float(q)}D" for q in sorted(qs))
+    edges = ranked.groupBy(*by).agg(F.max("n").alias("n")).selectExpr(*by, "n", f"explode(array({grid})) AS q")
+    edges = edges.withColumn("k", cutoff_size(F.col("q"), F.col("n")))
+    # Two wanted positions per cutoff: at it and right below it.
+    edges = bounded(edges.selectExpr(*by, "q", "k", "explode(array(k, k + 1)) AS _pos"))
     rows = ranked.select(
-        *by, "n", pos.alias("_pos"), F.col(name).alias("_s"), F.col(f"{side}_first").alias("_first"),
-        F.col(f"{side}_last").alias("_last"), F.explode(edge).alias("q"),
-    ).withColumn("k", cutoff_size(F.col("q"), F.col("n")))
+        *by, "n", F.col(f"{side}_pos").alias("_pos"), F.col(name).alias("_s"), F.col(f"{side}_first").alias("_first"),
+        F.col(f"{side}_last").alias("_last"),
+    ).join(edges, [*by, "_pos"])
     at, nxt = F.col("_pos") == F.col("k"), F.col("_pos") == F.col("k") + 1
     out = rows.groupBy(*by, "q", "k", "n").agg(
         F.max(F.when(at, F.col("_s"))).alias("cut"),

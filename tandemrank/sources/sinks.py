@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Files up to this size, and text files, are hashed whole; larger ones by their two ends and length.
 WHOLE_BYTES = 10 * 1024 * 1024
@@ -12,6 +17,26 @@ EDGE_BYTES = 4096
 TEXT_SUFFIXES = ["json", "jsonl", "yaml", "yml", "md", "csv"]
 
 
+@F.pandas_udf(T.StringType())
+def _stream_hash(path: pd.Series, size: pd.Series, whole: pd.Series) -> pd.Series:
+    """SHA-256 of large files, streamed: all of a text file, else its two ends and its length."""
+    out = []
+    for p, n, w in zip(path, size, whole):
+        store, name = fs.FileSystem.from_uri(p)
+        digest = hashlib.sha256()
+        if w:
+            with store.open_input_stream(name) as f:
+                while chunk := f.read(1 << 20):
+                    digest.update(chunk)
+        else:
+            with store.open_input_file(name) as f:
+                digest.update(f.read_at(EDGE_BYTES, 0))
+                digest.update(f.read_at(EDGE_BYTES, max(EDGE_BYTES, n - EDGE_BYTES)))
+            digest.update(str(n).encode())
+        out.append(digest.hexdigest())
+    return pd.Series(out, dtype=object)
+
+
 def content_hash(df: DataFrame) -> DataFrame:
     """Row count and an order-insensitive hash of all rows, in one pass (128 bits from two seeded sums)."""
     row = ", ".join(f"`{c}`" for c in df.columns)
@@ -40,14 +65,16 @@ def inventory(spark: SparkSession, path: str, role: str | None = None, glob: str
     """Size, time, suffix, fingerprint and role of every file below ``path``, read by the executors."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     text = ", ".join(f"'{s}'" for s in TEXT_SUFFIXES)
-    tail = f"IF(length > {EDGE_BYTES}, substring(content, CAST(greatest({EDGE_BYTES}, length - {EDGE_BYTES}) + 1 AS INT), {EDGE_BYTES}), X'')"
-    whole = f"length <= {WHOLE_BYTES} OR extension IN ({text})"
     named = files.selectExpr("*", "lower(regexp_extract(path, '[.]([^./]+)$', 1)) AS extension")
-    return named.selectExpr(
-        "path", "length AS size_bytes", "modificationTime AS modified", "extension",
-        f"IF({whole}, sha2(content, 256), sha2(concat(substring(content, 1, {EDGE_BYTES}), {tail}, CAST(CAST(length AS STRING) AS BINARY)), 256)) AS fingerprint",
-        f"IF({whole}, 'full_sha256', 'head_tail_hash') AS scan_strategy",
-    ).withColumn("role", F.lit(role).cast("string"))
+    head = ["path", "length AS size_bytes", "modificationTime AS modified", "extension"]
+    # The length filter reaches the scan, so the content of a large file is never loaded as one value.
+    small = named.filter(f"length <= {WHOLE_BYTES}").selectExpr(
+        *head, "sha2(content, 256) AS fingerprint", "'full_sha256' AS scan_strategy"
+    )
+    large = named.filter(f"length > {WHOLE_BYTES}").selectExpr(*head, f"extension IN ({text}) AS _whole")
+    large = large.withColumn("fingerprint", _stream_hash("path", "size_bytes", "_whole"))
+    large = large.selectExpr(*[c.split()[-1] for c in head], "fingerprint", "IF(_whole, 'full_sha256', 'head_tail_hash') AS scan_strategy")
+    return small.unionByName(large).withColumn("role", F.lit(role).cast("string"))
 
 
 def inventory_summary(files: DataFrame) -> DataFrame:
