@@ -280,8 +280,8 @@ def _(spark, sf):
 
 # Two sources: parts by parity of their size; the test panel pairs neighbours whose prototype is held out.
 def split_inputs(spark, sf):
-    recs = fm.prototype(formulas(spark, sf), "formula").filter("prototype IS NOT NULL AND prototype != ''")
-    recs = materialize(recs)
+    # Written before it is filtered: a filter on the key would be pushed below and compute it once more per test.
+    recs = materialize(fm.prototype(formulas(spark, sf), "formula")).filter("prototype IS NOT NULL AND prototype != ''")
     left, right = recs.filter("id % 2 = 0"), recs.filter("id % 2 = 1")
     held = pairing.hold_out_groups(recs, "prototype", 0.2, 42)
     test = left.selectExpr("id AS left_id", "id + 1 AS right_id", "formula", "prototype").join(F.broadcast(held), "prototype", "left_semi")

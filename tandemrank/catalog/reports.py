@@ -184,7 +184,7 @@ def _(spark, sf):
 
 @query("ridge_fourier")
 def _(spark, sf):
-    df = fm.composition(formulas(spark, sf), "formula").filter("fractions IS NOT NULL")
+    df = materialize(fm.composition(formulas(spark, sf), "formula")).filter("fractions IS NOT NULL")
     t = tensors(spark, sf).select("id", "t")
     rows = materialize(models.fourier_features(df.join(t, "id"), "fractions", 94, 256, 0.05, 42, "x").select("id", "x", "t"))
     fold = f"{portfolio.fold_of('id', 5)} = 0"
@@ -196,7 +196,8 @@ def _(spark, sf):
 def _(spark, sf):
     df = fm.prototype(fm.composition(formulas(spark, sf), "formula"), "formula")
     p = finite_pairs(long_pairs(spark, sf)).filter("metric = 'a'").selectExpr("id", "dist", "abs(`left` - `right`) AS gap")
-    rows = df.join(p, "id").selectExpr("*", f"{portfolio.fold_of('prototype', 5)} AS fold")
+    rows = materialize(df).join(p, "id").selectExpr("*", f"{portfolio.fold_of('prototype', 5)} AS fold")
+    rows = materialize(rows)
     sets = {"chemistry": ["n_elements", "max_z"], "distance": ["dist"], "combined": ["n_elements", "max_z", "dist", "heavy_fraction"]}
     return models.nested_regression(rows, sets, "gap", "fold")
 

@@ -258,7 +258,14 @@ def _(spark, sf):
     return rounded(out, *[c for c in out.columns if c != "id"])
 
 
-@query("allowed_components")
+@query(
+    "allowed_components",
+    f"""WITH {T_SQL}, pr AS (SELECT grp, c AS component, [CASE WHEN y = c OR y = 9 * (c // 9) + 3 * (c % 3) + (c // 3) % 3 THEN 1.0 ELSE 0.0 END for y in range(27)] AS e
+       FROM (SELECT DISTINCT grp FROM tens), range(27) r(c)),
+    rs AS (SELECT grp, component, e, unnest({[[float(x) for x in r] for r in TURNS]}) AS g FROM pr), {rotate_sql('rs', 'e', 'g', 'grp, component', 'mv')},
+    m AS (SELECT grp, component, x, avg(moved[x]) AS m FROM mv, range(1, 28) t(x) GROUP BY ALL), l AS (SELECT grp, component, list(m ORDER BY x) AS m FROM m GROUP BY ALL)
+    SELECT grp, CAST(component AS INT) AS component, list_sum([pow(0.5 * (m[x + 1] + m[9 * (x // 9) + 3 * (x % 3) + (x // 3) % 3 + 1]), 2) for x in range(27)]) > 1e-16 AS allowed FROM l""",
+)
 def _(spark, sf):
     """Components that survive the projection, from unit probes of every tensor's index pairs."""
     df = tensors(spark, sf).selectExpr("grp", f"{sets_text(TURNS)} AS g").groupBy("grp").agg(F.first("g").alias("g"))

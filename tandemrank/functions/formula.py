@@ -27,18 +27,15 @@ def with_counts(df: DataFrame, formula: str) -> DataFrame:
     f = f"`{formula}`"
     df = df.selectExpr("*", f"regexp_extract_all({f}, '{TOKEN}', 1) AS _el", f"regexp_extract_all({f}, '{TOKEN}', 2) AS _am")
     whole = f"size(_el) > 0 AND array_join(zip_with(_el, _am, (e, a) -> concat(e, a)), '') = {f}"
-    amount = "IF(p.a = '', 1D, CAST(p.a AS DOUBLE))"
-    total = (
-        f"aggregate(filter(_pairs, p -> p.e = e), 0D, (s, p) -> s + {amount})"
-    )
-    return (
-        df.selectExpr("*", "zip_with(_el, _am, (e, a) -> named_struct('e', e, 'a', a)) AS _pairs")
-        .selectExpr(
-            "*",
-            f"IF({whole}, transform(array_sort(array_distinct(_el)), e -> named_struct('e', e, 'n', {total})), NULL) AS _parts",
-        )
-        .drop("_el", "_am", "_pairs")
+    tokens = "zip_with(_el, _am, (e, a) -> named_struct('e', e, 'n', IF(a = '', 1D, CAST(a AS DOUBLE))))"
+    # Sorted tokens are merged as they come; nothing is looked up again per element.
+    last = "try_element_at(acc, -1)"
+    merged = (
+        f"aggregate(array_sort({tokens}), CAST(array() AS ARRAY<STRUCT<e: STRING, n: DOUBLE>>), (acc, p) -> "
+        f"IF({last}.e = p.e, concat(slice(acc, 1, size(acc) - 1), array(named_struct('e', p.e, 'n', {last}.n + p.n))), "
+        "concat(acc, array(p))))"
     )
+    return df.selectExpr("*", f"IF({whole}, {merged}, NULL) AS _parts").drop("_el", "_am")
 
 
 def reduced_formula(df: DataFrame, formula: str, out: str = "reduced_formula") -> DataFrame:

@@ -28,16 +28,18 @@ def counter_hash(*parts: str) -> str:
     return f"CAST(conv(substr(md5(concat_ws('|', {text})), 1, 8), 16, 10) AS BIGINT)"
 
 
-def cluster_draws(df: DataFrame, by: list[str], unit: str, reps: int, seed: int) -> DataFrame:
+def cluster_draws(df: DataFrame, by: list[str], unit: str, reps: int | range, seed: int) -> DataFrame:
     """Bootstrap multiplicities: ``rep``, the unit column, ``w`` (times drawn, > 0) and ``_rows`` (rows of the unit).
 
     Units are numbered by their own order inside ``by``; each numbered unit is also one slot, so slots are spread
-    like units are.
+    like units are. ``reps`` is a count, or a range of replicate numbers: since draws depend on the number alone,
+    a long bootstrap can be run in ranges that keep each shuffle small, and the results appended.
     """
+    span = range(reps) if isinstance(reps, int) else reps
     units = df.filter(F.col(unit).isNotNull()).groupBy(*by, unit).agg(F.expr("count(*) AS _rows"))
     units = positions(units, by, [F.col(unit).asc()], "_idx", "_G")
     draw = f"pmod({counter_hash(str(seed), 'rep', '_idx - 1')}, _G) + 1"
-    drawn = units.selectExpr(*by, "_idx", "_G", f"explode(sequence(0, {reps - 1})) AS rep").selectExpr(
+    drawn = units.selectExpr(*by, "_idx", "_G", f"explode(sequence({span.start}, {span.stop - 1})) AS rep").selectExpr(
         *by, "rep", f"{draw} AS _idx"
     )
     counts = drawn.groupBy(*by, "rep", "_idx").agg(F.expr("count(*) AS w"))
@@ -72,7 +74,7 @@ def _largest(df: DataFrame) -> int:
 
 
 def bootstrap_curves(
-    ranked: DataFrame, by: list[str], unit: str, reps: int, seed: int, qs: Sequence[float] = Q_GRID,
+    ranked: DataFrame, by: list[str], unit: str, reps: int | range, seed: int, qs: Sequence[float] = Q_GRID,
     null: str = "fixed", id: str = "id", size: int = TASK_ROWS,
 ) -> DataFrame:
     """Adjusted-Jaccard curve of every replicate.
@@ -128,7 +130,7 @@ def _with_cached_null(counts: DataFrame) -> DataFrame:
 
 
 def bootstrap_tau(
-    pairs: DataFrame, by: list[str], unit: str, reps: int, seed: int, id: str = "id", size: int = TASK_ROWS
+    pairs: DataFrame, by: list[str], unit: str, reps: int | range, seed: int, id: str = "id", size: int = TASK_ROWS
 ) -> DataFrame:
     """Kendall tau of every replicate; ``unit`` is the cluster column, or ``id`` for a row bootstrap."""
     base = finite_pairs(pairs).filter(F.col(unit).isNotNull()).select(*by, *dict.fromkeys([unit, id]), "left", "right")

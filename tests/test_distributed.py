@@ -180,6 +180,14 @@ def test_bootstrap_tau_against_copies(pairs):
             assert r.tau == pytest.approx(tau_b(left, right, w))
 
 
+def test_replicate_ranges_append_to_the_whole(pairs):
+    left, right = hot_scores(12, 80)
+    frame = pairs(left, right, grp=[i % 6 for i in range(80)])
+    whole = resample.bootstrap_tau(frame, BY, "grp", 5, 3)
+    split = [r for part in (range(0, 2), range(2, 5)) for r in resample.bootstrap_tau(frame, BY, "grp", part, 3).collect()]
+    assert {(r.rep, r.tau) for r in split} == {(r.rep, r.tau) for r in whole.collect()}
+
+
 def test_oracle_take_is_optimal(pairs):
     rng = np.random.default_rng(4)
     for _ in range(3):
