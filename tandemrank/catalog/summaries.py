@@ -12,7 +12,7 @@ from tandemrank.frame import finite_pairs
 from tandemrank.functions.null_model import ks_tail
 from tandemrank.operators import correlation, distribution, quantile, summary
 from tandemrank.operators.rank import rank_both
-from tandemrank.session import bounded
+from tandemrank.session import materialize
 
 PM = ["panel", "metric"]
 STACK = """
@@ -38,11 +38,11 @@ def _(spark, sf):
     wide = long_pairs(spark, sf).groupBy("id", "grp", "stratum", "dist").agg(
         *[F.max(F.when(F.col("metric") == m, F.col(s))).alias(f"{m}_{s}") for m in "ab" for s in ("left", "right")]
     )
-    p1 = wide.filter("stratum != 'ECONOMY'").withColumn("k", F.lit(1))
-    med = bounded(quantile.quantiles(p1, ["k"], "dist", "id", {"med": 0.5}))
-    wide = wide.withColumn("k", F.lit(1)).join(med, "k").withColumns(
+    wide = materialize(wide.withColumn("k", F.lit(1)))
+    med = quantile.quantiles(wide.filter("stratum != 'ECONOMY'"), ["k"], "dist", "id", {"med": 0.5}).first()["med"]
+    wide = wide.withColumns(
         {"P0": F.lit(True), "P1": F.col("stratum") != "ECONOMY",
-         "P2": (F.col("stratum") != "ECONOMY") & (F.col("dist") <= F.col("med"))}
+         "P2": (F.col("stratum") != "ECONOMY") & (F.col("dist") <= F.lit(med))}
     )
     rows = long_metrics(
         long_panels(wide, ["P0", "P1", "P2"]), {m: (f"{m}_left", f"{m}_right") for m in "ab"}

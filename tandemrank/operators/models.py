@@ -160,8 +160,18 @@ def gap_ratios(errors: DataFrame, gaps: DataFrame, reps: int, seed: int, id: str
     means = percentile_ci(bootstrap_means(gaps, ["scope"], id, ["gap"], reps, seed, id), ["scope"], "gap", reps, "mean_gap")
     meds = percentile_ci(bootstrap_medians(gaps, ["scope"], "gap", reps, seed, id), ["scope"], "gap", reps, "median_gap")
     scopes = points.join(means, "scope").join(meds, "scope")
-    # A handful of models meets a handful of scopes on a constant key.
-    rows = scopes.withColumn("_k", F.lit(1)).join(model.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # One row per model: a short literal list, unfolded on every scope.
+    models = model.limit(1001).collect()
+    if len(models) > 1000:
+        raise ValueError("more than 1000 models")
+    items = [
+        F.struct(
+            F.lit(m["model"]).alias("model"), F.lit(m["mean_error"]).cast("double").alias("mean_error"),
+            F.lit(m["median_error"]).cast("double").alias("median_error"),
+        )
+        for m in models
+    ]
+    rows = scopes.select("*", F.inline(F.array(*items)))
     ratio = "{g} / ({e} + 1e-12D) AS {o}"
     return rows.selectExpr(
         "model", "scope", "n_pairs", "mean_gap", "median_gap",
@@ -174,10 +184,9 @@ def gap_ratios(errors: DataFrame, gaps: DataFrame, reps: int, seed: int, id: str
 
 def smallest_gap(gaps: DataFrame, best_error: DataFrame, id: str = "id") -> DataFrame:
     """Median gap of each scope over the smallest valid model error (one row in ``best_error``)."""
-    med = quantiles(gaps, ["scope"], "gap", id, {"median_gap": 0.5}).withColumn("_k", F.lit(1))
-    return med.join(best_error.withColumn("_k", F.lit(1)), "_k").selectExpr(
-        "scope", "median_gap / (best_error + 1e-12D) AS gap_index"
-    )
+    best = F.lit(best_error.first()["best_error"]).cast("double")
+    med = quantiles(gaps, ["scope"], "gap", id, {"median_gap": 0.5})
+    return med.select("scope", (F.col("median_gap") / (best + 1e-12)).alias("gap_index"))
 
 
 def scale_calibration(df: DataFrame, source: str, error: str, coverage: float, id: str = "id") -> DataFrame:

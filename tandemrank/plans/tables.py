@@ -123,7 +123,7 @@ def control_comparison(
     points = points.withColumn("status", F.expr(f"IF(n < {min_n}, 'insufficient_n', 'ok')"))
     usable = materialize(controls.join(points.filter("status = 'ok'").select(*key), key))
     names = usable.select(*key).distinct()
-    ref = names.join(reference.select(*by, id, unit, "left", "right"), by)
+    ref = names.join(materialize(reference.select(*by, id, unit, "left", "right")), by)
     both = usable.withColumn("role", F.lit("control")).unionByName(ref.withColumn("role", F.lit("reference")))
     both = materialize(both)
     tau_ci = percentile_ci(bootstrap_tau(usable, key, unit, reps, seed, id), key, "tau", reps, "tau_ci95")
