@@ -6,7 +6,7 @@ import importlib
 
 from tandemrank.llm.registry import QUERIES, SQL
 
-MODULES = ["sharding", "media"]
+MODULES = ["sharding", "media", "secrets"]
 
 
 def load():
