@@ -6,7 +6,7 @@ import importlib
 
 from tandemrank.llm.registry import QUERIES, SQL
 
-MODULES = ["sharding", "media", "secrets", "quality", "language"]
+MODULES = ["neighbours", "media", "quality", "language", "secrets", "sharding"]
 
 
 def load():
