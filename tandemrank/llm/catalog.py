@@ -6,7 +6,7 @@ import importlib
 
 from tandemrank.llm.registry import QUERIES, SQL
 
-MODULES = ["neighbours", "media", "quality", "language", "secrets", "sharding"]
+MODULES = ["neighbours", "media", "quality", "pieces", "language", "secrets", "sharding"]
 
 
 def load():
