@@ -98,17 +98,19 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, count: int = LANDMARK
     usable = docs.filter(train_row() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
         "lang", F.xxhash64("text").alias("h"), "text"
     )
-    common = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
+    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
     if not common:
         return None
+    # Of each language about the 2 * per_lang smallest hashes go on, so that no task gathers more than the sample.
+    below = F.create_map(*[F.lit(x) for r in common for x in (r["lang"], min(1.0, 2 * per_lang / r["count"]))])[F.col("lang")]
     first = Window.partitionBy("lang").orderBy("h")
-    keys = (  # only hashes are shuffled; a window keeps at most per_lang + copies of each task's rows before it
-        usable.filter(F.col("lang").isin(common)).select("lang", "h").distinct()
+    keys = (
+        usable.filter(F.pmod("h", F.lit(1 << 30)) < below * (1 << 30)).select("lang", "h").distinct()
         .withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= per_lang)
     )
     keys = materialize(keys)  # at most MOST_LANGS * per_lang rows: a proven bound for the broadcast
     sample = materialize(
-        usable.join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h", "nth").agg(F.first("text").alias("text"))
+        usable.join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h", "nth").agg(F.min("text").alias("text"))
     )
     each = max(1, count // len(common))
     marks = [r["text"] for r in sample.filter(F.col("nth") <= each).orderBy("lang", "h").collect()]
