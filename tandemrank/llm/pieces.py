@@ -17,7 +17,7 @@ from tandemrank.llm.registry import query
 SPACE = "▁"  # fixed value: the marker that stands for a space
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: kinds of pieces in a model file
 UNKNOWN_PENALTY = 10.0  # fixed value: an unknown character costs this more than the worst piece
-_SLICE, _MOST_CELLS = 8 << 20, 4 << 20  # characters of texts and bytes of units solved at once
+_SLICE, _MOST_CELLS = 2 << 20, 1 << 20  # characters of texts and bytes of units solved at once
 _LONG_UNIT = 96  # bytes; longer units are solved one by one
 
 
@@ -287,9 +287,11 @@ class Model:
         place[owner] = np.cumsum(counts[owner]) - counts[owner]
         flat, many = np.concatenate(flat), counts[inverse]
         total = np.cumsum(many)
-        out = flat[np.repeat(place[inverse] - (total - many), many) + np.arange(total[-1])]
-        at = np.searchsorted(starts[:-1], docs)
-        return out, np.diff(np.concatenate([[0], total])[at])
+        at = np.repeat((place[inverse] - (total - many)).astype(np.int32), many)
+        at += np.arange(total[-1], dtype=np.int32)
+        out = flat[at]
+        first = np.searchsorted(starts[:-1], docs)
+        return out, np.diff(np.concatenate([[0], total])[first])
 
     def decode(self, ids) -> str:
         """The text of ``ids``: bytes of byte pieces are joined, markers become spaces, the leading one goes."""
@@ -307,12 +309,13 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: str | N
     """
     pieces = read_model(model or default_model())
     held = docs.sparkSession.sparkContext.broadcast(pieces)
-    packed = docs.select(F.struct(*[c for c in docs.columns if c != out]).alias("row"), F.col(text).alias("text"))
+    kept = [c for c in docs.columns if c != out]
+    packed, spot = docs.select(F.struct(*kept).alias("row")), kept.index(text)
 
     def run(batches):
         m = _model(held)
         for b in batches:
-            texts, at = b.column("text"), 0
+            texts, at = b.column("row").field(spot), 0
             while at < len(texts):
                 some, size, start = [], 0, at
                 while at < len(texts) and size < _SLICE:
@@ -331,16 +334,19 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str | N
     """``df`` with the text of each list of ids; a null list is an empty text. All other columns stay."""
     pieces = read_model(model or default_model())
     held = df.sparkSession.sparkContext.broadcast(pieces)
-    packed = df.select(F.struct(*[c for c in df.columns if c != out]).alias("row"), F.col(ids).alias("ids"))
+    kept = [c for c in df.columns if c != out]
+    packed, spot = df.select(F.struct(*kept).alias("row")), kept.index(ids)
 
     def run(batches):
         m = _model(held)
         for b in batches:
-            flat = b.column("ids")
-            values, ends = flat.flatten().to_numpy(zero_copy_only=False), flat.offsets.to_numpy()
-            first = ends[0]
-            texts = [m.decode(values[s - first : e - first].tolist()) for s, e in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], names=["row", "decoded"])
+            flat = b.column("row").field(spot)
+            values, ends = flat.values.to_numpy(), flat.offsets.to_numpy()
+            for at in range(0, len(flat), 500):
+                some = ends[at : at + 501]
+                texts = [m.decode(values[s:e].tolist()) for s, e in zip(some[:-1], some[1:])]
+                rows = b.column("row").slice(at, 500)
+                yield pa.RecordBatch.from_arrays([rows, pa.array(texts, pa.string())], names=["row", "decoded"])
 
     got = packed.mapInArrow(run, f"row {_quoted(packed.schema['row'].dataType)}, decoded string")
     return got.select("row.*", F.col("decoded").alias(out))
