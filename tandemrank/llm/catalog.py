@@ -6,7 +6,7 @@ import importlib
 
 from tandemrank.llm.registry import QUERIES, SQL
 
-MODULES = ["neighbours", "media", "jaccard", "quality", "pieces", "language", "secrets", "sharding"]
+MODULES = ["neighbours", "media", "jaccard", "lines", "quality", "pieces", "language", "secrets", "sharding"]
 
 
 def load():
