@@ -35,13 +35,14 @@ def traits(text: str = "text") -> Column:
     return F.concat(own, ends, share)
 
 
-def train(docs: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOMAINS, rows: int = TRAIN_ROWS) -> tuple[list[float], list[tuple]]:
-    """Log priors, and ``(trait, weight per domain)`` of at most VOCABULARY traits that clearly tell domains apart.
+def train(docs: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOMAINS, rows: int = TRAIN_ROWS) -> tuple[list[float], list[tuple], list[float]]:
+    """Scores without traits, ``(trait, weight per domain)``, and the domains' shares of the labelled rows, for at most VOCABULARY traits that clearly tell domains apart.
 
     Learnt from the ``rows`` labelled ids with the smallest hashes among those with crc32(doc_id) mod 5 <> 0; ids with two
-    domains are left out. Traits present and absent both speak: their smoothed document share in a domain is set
-    against that in all, as logarithms within +-STEEPEST, where it is CLEAR standard deviations from chance. Absent ones
-    go into the prior, so a weight is the difference. Only counts of traits are shuffled; the driver gets the chosen
+    domains are left out and equal texts count once. The first domain is the plain case: only traits typical of the
+    others speak, those CLEAR standard deviations above chance in a domain. Their presence counts by the logarithm of
+    their share in the domain over that elsewhere, their absence likewise, both up to STEEPEST; absences are part of the score
+    without traits, so a weight is the difference. Only counts of traits are shuffled; the driver gets the chosen
     traits. Without labelled rows all domains are equally likely.
     """
     known = (
@@ -49,33 +50,35 @@ def train(docs: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOMAINS,
         .filter("domain = other").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "domain")
     )
     known = materialize(known)  # at most `rows` rows: a proven bound for the broadcast
-    mine = materialize(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("domain", traits().alias("traits")))
+    mine = materialize(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["domain", "text"]).select("domain", traits().alias("traits")))
     sizes = {r["domain"]: r["count"] for r in mine.groupBy("domain").count().collect()}
     total = sum(sizes.values())
     if not total:
-        return [-float(np.log(len(names)))] * len(names), []
+        return [-float(np.log(len(names)))] * len(names), [], [1 / len(names)] * len(names)
     n = [sizes.get(d, 0) for d in names]
     counts = mine.select("domain", F.explode("traits").alias("trait")).groupBy("trait").agg(F.count("*").alias("c"), *[F.count_if(F.col("domain") == d).alias(f"c_{i}") for i, d in enumerate(names)])
     share = (F.col("c") + SMOOTH) / (total + 2 * SMOOTH)
     z, w, absent = [], [], []
     for i, size in enumerate(n):
-        chance = F.abs(F.col(f"c_{i}") - size * share) / F.sqrt(size * share * (1 - share) + 1e-9)
+        chance = (F.col(f"c_{i}") - size * share) / F.sqrt(size * share * (1 - share) + 1e-9)
         own = (F.col(f"c_{i}") + SMOOTH * share) / (size + SMOOTH)
-        clear = lambda x, ok=chance >= CLEAR: F.when(ok, F.greatest(F.lit(-STEEPEST), F.least(F.lit(STEEPEST), x))).otherwise(0.0)
-        z.append(chance)
-        absent.append(clear(F.ln((1 - own) / (1 - share))).alias(f"a_{i}"))
-        w.append((clear(F.ln(own / share)) - clear(F.ln((1 - own) / (1 - share)))).alias(f"w_{i}"))
-    best = counts.filter((F.col("c") >= 5) & (F.col("c") < total)).select("trait", F.greatest(*z).alias("z"), *w, *absent)
+        rest = (F.col("c") - F.col(f"c_{i}") + SMOOTH * share) / (total - size + SMOOTH)
+        typical = (chance >= CLEAR) if i else F.lit(False)
+        seen, missed = (F.when(typical, F.least(F.lit(STEEPEST), x)).otherwise(0.0) for x in (F.ln(own / rest), F.abs(F.ln((1 - own) / (1 - rest)))))
+        z.append(F.when(typical, chance).otherwise(0.0))
+        absent.append((-missed).alias(f"a_{i}"))
+        w.append((seen + missed).alias(f"w_{i}"))
+    best = counts.filter((F.col("c") >= 5) & (F.col("c") < total - 5)).select("trait", F.greatest(*z).alias("z"), *w, *absent)
     chosen = best.filter(F.col("z") >= CLEAR).orderBy(F.desc("z"), "trait").limit(VOCABULARY).collect()
     priors = [
         float(np.log((x + SMOOTH) / (total + SMOOTH * len(names)))) + sum(r[f"a_{i}"] for r in chosen) for i, x in enumerate(n)
     ]
-    return priors, [(r["trait"], *[r[f"w_{i}"] for i in range(len(names))]) for r in chosen]
+    return priors, [(r["trait"], *[r[f"w_{i}"] for i in range(len(names))]) for r in chosen], [(x + SMOOTH) / (total + SMOOTH * len(names)) for x in n]
 
 
-def posteriors(model: tuple[list[float], list[tuple]], names: tuple[str, ...] = DOMAINS, text: str = "text") -> list[Column]:
+def posteriors(model: tuple[list[float], list[tuple], list[float]], names: tuple[str, ...] = DOMAINS, text: str = "text") -> list[Column]:
     """The probability of each domain for a whole text: prior plus weights of the chosen traits it has, normalised."""
-    priors, chosen = model
+    priors, chosen, _ = model
     scores = [F.lit(p) for p in priors]
     if chosen:
         list_of = F.array(*[F.lit(c[0]) for c in chosen])
@@ -144,12 +147,17 @@ def memberships(docs: DataFrame, domains: DataFrame, names: tuple[str, ...] = DO
 def thin_out(docs: DataFrame, domains: DataFrame, keep: dict[str, float]) -> DataFrame:
     """``docs`` with each domain's expected tokens brought to the share ``keep`` of what they are, by rates up to 1.
 
-    A document stays if a hash of its id and text, uniform in [0, 1), is below its rate, so equal rows fare alike and
+    Only evidence thins: a membership in any domain but the first counts as far as it exceeds the domain's share of
+    the labelled rows, and the rest belongs to the first. A document stays if a hash of its id and text, uniform in [0, 1), is below its rate, so equal rows fare alike and
     documents that surely belong to a domain with share 1 all stay.
     """
-    names = tuple(keep)
-    soft = memberships(docs.select(F.struct("*").alias("row"), "doc_id", "text"), domains, names, ("row",))
-    soft = materialize(soft)
+    names, first = tuple(keep), next(iter(keep))
+    model = train(docs, domains, names)
+    shares = dict(zip(names, model[2]))
+    soft = docs.select(F.struct("*").alias("row"), F.size(words()).cast("bigint").alias("n_tokens"), *posteriors(model, names))
+    above = {d: F.greatest(F.lit(0.0), F.col(f"p_{d}") - F.lit(shares[d] + 1e-9)) / F.lit(max(1 - shares[d], 1e-9)) for d in names if d != first}
+    rest = F.greatest(F.lit(0.0), F.lit(1.0) - sum(above.values(), F.lit(0.0)))
+    soft = materialize(soft.select("row", "n_tokens", rest.alias(f"p_{first}"), *[c.alias(f"p_{d}") for d, c in above.items()]))
     now = soft.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in names]).first()
     rated = fit_rates(soft, {d: keep[d] * float(now[d] or 0.0) for d in names}, total=1.0, most=1.0)
     chance = F.pmod(F.xxhash64("row.doc_id", "row.text", F.lit(7)), F.lit(1 << 52)) / float(1 << 52)

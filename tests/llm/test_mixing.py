@@ -48,7 +48,8 @@ def test_memberships_from_labels(spark, docs):
         x = got[i]
         assert abs(x.p_good + x.p_low + x.p_toxic - 1) < 1e-9 and x[f"p_{names[i % 3]}"] > 0.9 and x.n_tokens == 25
     assert got[900].n_tokens == got[901].n_tokens == 0 and got[None].n_tokens == 200_000
-    priors, chosen = train(d, lab)
+    _, chosen, shares = train(d, lab)
+    assert abs(sum(shares) - 1) < 1e-9
     assert {"scum", "idiot", "~!!"} <= {c[0] for c in chosen}
     kept = thin_out(d, lab, {"good": 1.0, "low": 0.5, "toxic": 0.0})
     assert kept.columns == d.columns
