@@ -1,15 +1,53 @@
-"""Stages that turn raw documents into a training set."""
+"""Stages that turn raw documents into a training set; each calls one operator of ``tandemrank.llm``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tandemrank.llm import jaccard, language, lines, mixing, pieces
+from tandemrank.llm.common import materialize, table
+
+# Shares of each domain's expected tokens that stay: sound documents all, poor ones a half, toxic ones a tenth.
+KEEP = {"good": 1.0, "low": 0.5, "toxic": 0.1}
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language (null, empty, no letters) go."""
+    return language.keep_known(docs)
+
+
+def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal or nearly equal lines one stays; documents that consist of repeats alone go."""
+    return lines.drop_emptied(docs)
+
+
+def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that are alike in five-word sequences one stays."""
+    return jaccard.keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Poor and toxic documents are thinned out to the target weights."""
+    return mixing.thin_out(docs, mixing.label_domains(table(spark, sf_dir, "labels")), KEEP)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, and whether they decode to it."""
+    return pieces.round_trip(docs).select("doc_id", "lang", "source", F.col("n_tokens"), "round_trip", "ids")
+
+
+STAGES = [
+    ("language_id", identify_language), ("line_dedup", deduplicate_lines), ("jaccard_join", join_similar),
+    ("mixing", mix), ("sentencepiece", encode),
+]
+# Kernels, word hashes, rates and pieces have no SQL form; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents; what a stage keeps is written as Parquet and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
