@@ -32,21 +32,22 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def simhashes(lines: DataFrame) -> DataFrame:
-    """``(h, sim)`` of each distinct line: bit b of ``sim`` is set if most words' hashes have bit b set.
+    """``(h, len, sim)`` of each distinct line: bit b of ``sim`` is set if most of its distinct words' hashes have it set.
 
     Words are counted by 32 sums that hold two bits each, 32 bits apart, so a word costs 32 additions in generated
     code; copies of a line only scale all counts. Words combine before the shuffle, which has one row per line and task.
     """
-    words = lines.select("h", F.explode(F.split("norm", " ")).alias("w")).filter("w <> ''").select("h", F.xxhash64("w").alias("x"))
+    words = lines.select("h", F.length("norm").alias("len"), F.explode(F.array_distinct(F.split("norm", " "))).alias("w"))
+    words = words.filter("w <> ''").select("h", "len", F.xxhash64("w").alias("x"))
     lane = [F.sum(F.shiftrightunsigned("x", j).bitwiseAND(F.lit(0x100000001))).alias(f"s{j}") for j in range(32)]
-    sums = words.groupBy("h").agg(F.count("*").alias("n"), *lane)
+    sums = words.groupBy("h", "len").agg(F.count("*").alias("n"), *lane)
     bit = lambda on, b: F.when(on * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
     half = F.lit(0xFFFFFFFF).cast("bigint")
     sim = None
     for j in range(32):
         two = bit(F.col(f"s{j}").bitwiseAND(half), j).bitwiseOR(bit(F.shiftrightunsigned(f"s{j}", 32), j + 32))
         sim = two if sim is None else sim.bitwiseOR(two)
-    return sums.select("h", sim.alias("sim"))
+    return sums.select("h", "len", sim.alias("sim"))
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -63,12 +64,25 @@ def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _alike(a: str, b: str, similarity: float) -> Column:
-    """Edit similarity 1 - distance / longer length of at least ``similarity``."""
-    most = F.greatest(F.length(a), F.length(b))
-    allowed = F.floor(most * (1 - similarity) + 1e-9)
-    distance = F.levenshtein(F.col(a), F.col(b))
-    return (F.abs(F.length(a) - F.length(b)) <= allowed) & (distance <= allowed)
+def _allowed(a: str, b: str, similarity: float) -> Column:
+    """The largest edit distance of an edit similarity 1 - distance / longer length of ``similarity``."""
+    return F.floor(F.greatest(a, b) * (1 - similarity) + 1e-9).cast("int")
+
+
+def _close(similarity: float) -> Column:
+    """What can be asked of a pair without its texts: block bits, SimHash distance, lengths."""
+    return (
+        (F.col("a.key") == F.col("b.key")) & (_apart("a.sim", "b.sim") <= BITS_APART)
+        & (F.abs(F.col("a.len") - F.col("b.len")) <= _allowed("a.len", "b.len", similarity))
+    )
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` of line keys whose texts have the edit similarity; each distinct pair is compared once."""
+    one = lambda c: texts.select(F.col("h").alias(c), F.col("norm").alias(f"t{c}"), F.col("len").alias(f"l{c}"))
+    both = pairs.distinct().join(one("a"), "a").join(one("b"), "b")
+    distance = F.call_function("levenshtein", F.col("ta"), F.col("tb"), _allowed("la", "lb", similarity))
+    return both.filter(distance >= 0).select("a", "b")
 
 
 def groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -84,26 +98,23 @@ def groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     met = Window.partitionBy("key")
     crowded = _keyed(distinct).withColumn("met", F.count("*").over(met)).filter((F.col("met") > 1) | (F.col("n") > 1)).select("sim").distinct()
     near = materialize(_keyed(sims.join(crowded, "sim", "left_semi")))
-    a, b = near.alias("a"), near.alias("b")
-    close = (F.col("a.key") == F.col("b.key")) & (F.col("a.h") != F.col("b.h")) & (_apart("a.sim", "b.sim") <= BITS_APART)
-    wanted = materialize(a.join(b, close, "left_semi").select("h", "sim").distinct())
+    close = _close(similarity)
+    partner = near.alias("a").join(near.alias("b"), close & (F.col("a.h") != F.col("b.h")), "left_semi")
+    wanted = materialize(partner.select("h", "len", "sim").distinct())
     # One bit per hash of a wanted line: at most 2**(FILTER_BITS - 6) rows at any input size.
     spot = f"pmod(xxhash64(h), {1 << FILTER_BITS})"
     bits = wanted.select(F.expr(f"shiftright({spot}, 6)").alias("cell"), F.expr(f"shiftleft(1L, cast(pmod({spot}, 64) as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
     asked = lines.select("h", "norm").withColumn("cell", F.expr(f"shiftright({spot}, 6)")).join(F.broadcast(bits), "cell")
     asked = asked.filter(F.expr(f"(shiftrightunsigned(bits, cast(pmod({spot}, 64) as int)) & 1) = 1"))
-    texts = materialize(_keyed(asked.groupBy("h").agg(F.first("norm").alias("norm")).join(wanted, "h").select("h", "sim", "norm")))
-    hubs = texts.groupBy("key").agg(F.min(F.struct("h", "sim", "norm")).alias("hub")).select("key", "hub.*").withColumnsRenamed({"h": "h2", "sim": "sim2", "norm": "norm2"})
-    star = texts.join(hubs, "key").filter((F.col("h") != F.col("h2")) & (_apart("sim", "sim2") <= BITS_APART) & _alike("norm", "norm2", similarity))
-    star = materialize(star.select(F.col("h").alias("a"), F.col("h2").alias("b")).distinct())
+    texts = materialize(asked.groupBy("h").agg(F.first("norm").alias("norm")).join(wanted, "h").select("h", "len", "norm"))
+    keyed = materialize(_keyed(wanted))
+    hubs = keyed.groupBy("key").agg(F.min(F.struct("h", "sim", "len")).alias("hub")).select("key", "hub.*")
+    star = keyed.alias("a").join(hubs.alias("b"), close & (F.col("a.h") != F.col("b.h"))).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"))
+    star = materialize(_verified(star, texts, similarity))
     first = components(star)
-    known = materialize(texts.join(first, F.col("h") == F.col("node"), "left").select("key", "h", "sim", "norm", F.coalesce("root", "h").alias("root")))
-    a, b = known.alias("a"), known.alias("b")
-    across = (
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.h") < F.col("b.h")) & (F.col("a.root") != F.col("b.root"))
-        & (_apart("a.sim", "b.sim") <= BITS_APART) & _alike("a.norm", "b.norm", similarity)
-    )
-    more = a.join(b, across).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"))
+    known = materialize(keyed.join(first, F.col("h") == F.col("node"), "left").select("key", "h", "sim", "len", F.coalesce("root", "h").alias("root")))
+    across = known.alias("a").join(known.alias("b"), close & (F.col("a.h") < F.col("b.h")) & (F.col("a.root") != F.col("b.root")))
+    more = _verified(across.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")), texts, similarity)
     return components(star.union(more))
 
 
