@@ -26,13 +26,18 @@ def words(text: str = "text") -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")
 
 
-def traits(text: str = "text") -> Column:
-    """Distinct words of a whole text, their last two characters (after a tilde), and the share of distinct words in tenths."""
-    w = words(text)
-    own = F.array_distinct(w)
-    ends = F.array_distinct(F.transform(own, lambda x: F.concat(F.lit("~"), F.substring(x, -2, 2))))
-    share = F.when(F.size(w) > 0, F.array(F.concat(F.lit("~~"), F.floor(F.size(own) * 10 / F.size(w))))).otherwise(F.array().cast("array<string>"))
-    return F.concat(own, ends, share)
+def with_traits(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``_n``, its number of words, and ``_traits`` in place of the text.
+
+    Traits are the distinct words of the whole text, their last two characters (after a tilde), and the share of distinct words in
+    tenths. Each step is a projection of its own, so that no array is computed twice.
+    """
+    keep = [c for c in df.columns if c != text]
+    df = df.select(*keep, words(text).alias("_w"))
+    df = df.select(*keep, F.size("_w").cast("bigint").alias("_n"), F.array_distinct("_w").alias("_own"))
+    ends = F.array_distinct(F.transform("_own", lambda x: F.concat(F.lit("~"), F.substring(x, -2, 2))))
+    share = F.when(F.col("_n") > 0, F.array(F.concat(F.lit("~~"), F.floor(F.size("_own") * 10 / F.col("_n")))))
+    return df.select(*keep, "_n", F.concat("_own", ends, F.coalesce(share, F.array().cast("array<string>"))).alias("_traits"))
 
 
 def train(docs: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOMAINS, rows: int = TRAIN_ROWS) -> tuple[list[float], list[tuple], list[float]]:
@@ -50,13 +55,14 @@ def train(docs: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOMAINS,
         .filter("domain = other").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "domain")
     )
     known = materialize(known)  # at most `rows` rows: a proven bound for the broadcast
-    mine = materialize(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["domain", "text"]).select("domain", traits().alias("traits")))
+    mine = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["domain", "text"])
+    mine = materialize(with_traits(mine.select("domain", "text")))
     sizes = {r["domain"]: r["count"] for r in mine.groupBy("domain").count().collect()}
     total = sum(sizes.values())
     if not total:
         return [-float(np.log(len(names)))] * len(names), [], [1 / len(names)] * len(names)
     n = [sizes.get(d, 0) for d in names]
-    counts = mine.select("domain", F.explode("traits").alias("trait")).groupBy("trait").agg(F.count("*").alias("c"), *[F.count_if(F.col("domain") == d).alias(f"c_{i}") for i, d in enumerate(names)])
+    counts = mine.select("domain", F.explode("_traits").alias("trait")).groupBy("trait").agg(F.count("*").alias("c"), *[F.count_if(F.col("domain") == d).alias(f"c_{i}") for i, d in enumerate(names)])
     share = (F.col("c") + SMOOTH) / (total + 2 * SMOOTH)
     z, w, absent = [], [], []
     for i, size in enumerate(n):
@@ -76,20 +82,25 @@ def train(docs: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOMAINS,
     return priors, [(r["trait"], *[r[f"w_{i}"] for i in range(len(names))]) for r in chosen], [(x + SMOOTH) / (total + SMOOTH * len(names)) for x in n]
 
 
-def posteriors(model: tuple[list[float], list[tuple], list[float]], names: tuple[str, ...] = DOMAINS, text: str = "text") -> list[Column]:
-    """The probability of each domain for a whole text: prior plus weights of the chosen traits it has, normalised."""
+def posteriors(df: DataFrame, model: tuple[list[float], list[tuple], list[float]], names: tuple[str, ...] = DOMAINS) -> DataFrame:
+    """``df`` (with a ``text``) with ``n_tokens`` and each domain's probability ``p_<domain>`` in place of the text."""
     priors, chosen, _ = model
-    scores = [F.lit(p) for p in priors]
-    if chosen:
-        list_of = F.array(*[F.lit(c[0]) for c in chosen])
-        hit = F.array_intersect(traits(text), list_of)
-        scores = [
-            F.lit(p) + F.aggregate(hit, F.lit(0.0), _adder(F.map_from_arrays(list_of, F.array(*[F.lit(float(c[i + 1])) for c in chosen]))))
-            for i, p in enumerate(priors)
-        ]
-    top = F.greatest(*scores)
-    parts = [F.exp(s - top) for s in scores]
-    return [(p / sum(parts[1:], parts[0])).alias(f"p_{d}") for p, d in zip(parts, names)]
+    keep = [c for c in df.columns if c != "text"]
+    list_of = F.array(*[F.lit(c[0]) for c in chosen]) if chosen else F.array().cast("array<string>")
+    df = with_traits(df).select(*keep, "_n", F.array_intersect("_traits", list_of).alias("_hit"))
+    scores = []
+    for i, p in enumerate(priors):
+        weighty = [c for c in chosen if c[i + 1]]
+        score = F.lit(p)
+        if weighty:
+            weights = F.map_from_arrays(F.array(*[F.lit(c[0]) for c in weighty]), F.array(*[F.lit(float(c[i + 1])) for c in weighty]))
+            score = score + F.aggregate("_hit", F.lit(0.0), _adder(weights))
+        scores.append(score.alias(f"_s{i}"))
+    df = df.select(*keep, "_n", *scores)
+    top = F.greatest(*[F.col(f"_s{i}") for i in range(len(names))])
+    df = df.select(*keep, "_n", *[F.exp(F.col(f"_s{i}") - top).alias(f"_e{i}") for i in range(len(names))])
+    total = sum((F.col(f"_e{i}") for i in range(1, len(names))), F.col("_e0"))
+    return df.select(*keep, F.col("_n").alias("n_tokens"), *[(F.col(f"_e{i}") / total).alias(f"p_{d}") for i, d in enumerate(names)])
 
 
 def _adder(weights: Column):
@@ -140,8 +151,7 @@ def fit_rates(soft: DataFrame, targets: dict[str, float], total: float | None =
 
 def memberships(docs: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOMAINS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``n_tokens`` (words) and ``p_<domain>`` of every document; a null text has no words."""
-    model = train(docs, domains, names)
-    return docs.select(*keep, F.size(words()).cast("bigint").alias("n_tokens"), *posteriors(model, names))
+    return posteriors(docs.select(*keep, "text"), train(docs, domains, names), names)
 
 
 def thin_out(docs: DataFrame, domains: DataFrame, keep: dict[str, float]) -> DataFrame:
@@ -154,7 +164,7 @@ def thin_out(docs: DataFrame, domains: DataFrame, keep: dict[str, float]) -> Dat
     names, first = tuple(keep), next(iter(keep))
     model = train(docs, domains, names)
     shares = dict(zip(names, model[2]))
-    soft = docs.select(F.struct("*").alias("row"), F.size(words()).cast("bigint").alias("n_tokens"), *posteriors(model, names))
+    soft = posteriors(docs.select(F.struct("*").alias("row"), "text"), model, names)
     above = {d: F.greatest(F.lit(0.0), F.col(f"p_{d}") - F.lit(shares[d] + 1e-9)) / F.lit(max(1 - shares[d], 1e-9)) for d in names if d != first}
     rest = F.greatest(F.lit(0.0), F.lit(1.0) - sum(above.values(), F.lit(0.0)))
     soft = materialize(soft.select("row", "n_tokens", rest.alias(f"p_{first}"), *[c.alias(f"p_{d}") for d, c in above.items()]))
