@@ -15,7 +15,7 @@ M = ["metric"]
 
 
 def h_sql(*parts: str) -> str:
-    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15) AS BIGINT)"
 
 
 def draws_sql(source: str, unit: str, by: str = "metric", reps: int = B, seed: int = SEED, name: str = "draws") -> str:

@@ -19,6 +19,7 @@ CLASSES = {
     "O": "oxide", "S": "sulfide", "Se": "selenide", "Te": "telluride", "F": "halide", "Cl": "halide", "Br": "halide",
     "I": "halide", "N": "nitride",
 }
+# Fixed value: the accepted tokens, an element symbol with an optional amount.
 TOKEN = "([A-Z][a-z]?)([0-9]*[.]?[0-9]*)"
 
 
@@ -26,8 +27,8 @@ def with_counts(df: DataFrame, formula: str) -> DataFrame:
     """Add ``_parts``: array of (element, amount) summed per element, sorted by element; null if unparsable."""
     f = f"`{formula}`"
     df = df.selectExpr("*", f"regexp_extract_all({f}, '{TOKEN}', 1) AS _el", f"regexp_extract_all({f}, '{TOKEN}', 2) AS _am")
-    whole = f"size(_el) > 0 AND array_join(zip_with(_el, _am, (e, a) -> concat(e, a)), '') = {f}"
-    tokens = "zip_with(_el, _am, (e, a) -> named_struct('e', e, 'n', IF(a = '', 1D, CAST(a AS DOUBLE))))"
+    whole = f"size(_el) > 0 AND NOT array_contains(_am, '.') AND array_join(zip_with(_el, _am, (e, a) -> concat(e, a)), '') = {f}"
+    tokens = "zip_with(_el, _am, (e, a) -> named_struct('e', e, 'n', IF(a = '', 1D, try_cast(a AS DOUBLE))))"
     # Sorted tokens are merged as they come; nothing is looked up again per element.
     last = "try_element_at(acc, -1)"
     merged = (
@@ -42,17 +43,22 @@ def reduced_formula(df: DataFrame, formula: str, out: str = "reduced_formula") -
     """Amounts over the smallest one, in element order; an unparsable formula stays as it is."""
     df = with_counts(df, formula).selectExpr("*", "array_min(transform(filter(_parts, p -> p.n > 0), p -> p.n)) AS _min")
     ratio = "p.n / _min"
-    text = f"concat(p.e, IF(abs({ratio} - 1) <= 1e-9 * greatest(abs({ratio}), 1), '', CAST(CAST(bround({ratio}) AS BIGINT) AS STRING)))"
+    text = f"concat(p.e, IF(abs({ratio} - 1) <= 1e-9 * greatest(abs({ratio}), 1), '', CAST(try_cast(bround({ratio}) AS BIGINT) AS STRING)))"
     return df.selectExpr(
         "*", f"IF(_parts IS NULL OR _min IS NULL, nullif(`{formula}`, ''), array_join(transform(_parts, p -> {text}), '')) AS `{out}`"
     ).drop("_parts", "_min")
 
 
 def prototype(df: DataFrame, formula: str, out: str = "prototype") -> DataFrame:
-    """Whole amounts over their greatest common divisor, largest first, with letters for the elements."""
-    df = with_counts(df, formula).selectExpr("*", "reverse(array_sort(transform(_parts, p -> CAST(p.n AS INT)))) AS _n")
+    """Whole parts of the amounts over their greatest common divisor (Euclid), largest first, with letters for the elements."""
+    # Euclid's steps: 92 suffice for two 64-bit numbers.
+    divisor = (
+        "aggregate(sequence(1, 92), named_struct('a', g, 'b', x), (s, i) -> "
+        "IF(s.b = 0, s, named_struct('a', s.b, 'b', s.a % s.b)), s -> s.a)"
+    )
+    df = with_counts(df, formula).selectExpr("*", "reverse(array_sort(transform(_parts, p -> try_cast(p.n AS BIGINT)))) AS _n")
     df = df.selectExpr(
-        "*", "array_max(filter(sequence(1, greatest(1, array_min(_n))), d -> forall(_n, x -> x % d = 0))) AS _g"
+        "*", f"greatest(1, aggregate(_n, 0L, (g, x) -> {divisor})) AS _g"
     )
     letter = "concat(char(65 + i), IF(x div _g > 1, CAST(x div _g AS STRING), ''))"
     return df.selectExpr("*", f"array_join(transform(_n, (x, i) -> {letter}), '') AS `{out}`").drop("_parts", "_n", "_g")
@@ -93,5 +99,5 @@ def composition(df: DataFrame, formula: str, slots: int = 94) -> DataFrame:
 
 def with_source_token(df: DataFrame, source: str, sources: list[str], features: str = "fractions") -> DataFrame:
     """Append a one-hot source token to a feature vector."""
-    token = ", ".join(f"IF(`{source}` = '{s}', 1D, 0D)" for s in sources)
-    return df.withColumn(features, F.expr(f"concat(`{features}`, array({token}))"))
+    token = F.array(*[F.when(F.col(source) == F.lit(s), 1.0).otherwise(0.0) for s in sources])
+    return df.withColumn(features, F.concat(F.col(features), token))

@@ -42,7 +42,8 @@ def lattice_distance(left: list[str], right: list[str], left_volume: str, right_
 
 
 def lattice_strain(left: list[str], right: list[str]) -> str:
-    return "greatest(" + ", ".join(f"abs({a} / {b} - 1)" for a, b in zip(left, right)) + ")"
+    """Largest relative length difference; a zero length leaves its ratio out."""
+    return "greatest(" + ", ".join(f"abs({a} / nullif({b}, 0) - 1)" for a, b in zip(left, right)) + ")"
 
 
 def decode_matrix(text: str, rows: int, cols: int) -> str:

@@ -15,7 +15,7 @@ from tandemrank.operators.tau import TASK_ROWS, kendall_tau
 
 
 def _corr(x, y, out: str):
-    c = F.corr(x, y)
+    c = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # null for a constant side
     return F.when(~F.isnan(c), c).alias(out)
 
 
@@ -30,7 +30,8 @@ def spearman_test(ranked: DataFrame, by: list[str]) -> DataFrame:
     rho = spearman(ranked, by)
     r, dof = F.col("rho"), (F.col("n") - 2).cast("double")
     t = r * F.sqrt(dof / F.greatest((1 - r) * (1 + r), F.lit(1e-300)))
-    return rho.withColumn("pvalue", student_two_sided(t, dof))
+    p = student_two_sided(F.when(dof > 0, t), F.when(dof > 0, dof))
+    return rho.withColumn("pvalue", p)
 
 
 def pearson(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -59,7 +60,7 @@ def shift_summary(ranked: DataFrame, by: list[str], id: str = "id") -> DataFrame
     rows = ranked.select(*by, id, F.col("n").alias("_size"), rank_shift().alias("shift"))
     out = summarize(
         rows, by, "shift", id, {"median_shift": 0.5},
-        {"mean_shift": F.avg("shift"), "normalized_shift": F.avg("shift") / (F.max("n") - 1)},
+        {"mean_shift": F.avg("shift"), "normalized_shift": F.avg("shift") / F.greatest(F.max("n") - 1, F.lit(1))},
     )
     return out
 

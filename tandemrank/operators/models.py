@@ -72,16 +72,13 @@ def baseline_matrix(
     source, seed); the test fold of each seed is held out of training. One pass per baseline over all keys."""
     seeds = ", ".join(str(s) for s in folds)
     rows = records.selectExpr("*", f"explode(array({seeds})) AS seed").selectExpr("*", f"{fold_text} AS _test")
-    sources = [r[0] for r in records.select(source).distinct().limit(101).collect()]
-    if len(sources) > 100:
-        raise ValueError("more than 100 sources")
-    names = ", ".join(f"'{s}'" for s in sorted(sources))
+    sources = records.agg(F.collect_set(source).alias("sources")).scalar()
     train = rows.filter("NOT _test").selectExpr(
         "*", f"inline(array(named_struct('train_source', `{source}`), named_struct('train_source', 'pooled')))"
     )
-    test = rows.filter("_test").selectExpr(
-        f"`{id}`", f"`{group}`", f"`{t}`", "seed", f"`{source}` AS eval_source",
-        f"explode(array({names}, 'pooled')) AS train_source",
+    test = rows.filter("_test").select(
+        f"`{id}`", f"`{group}`", f"`{t}`", "seed", F.col(source).alias("eval_source"),
+        F.explode(F.concat(sources, F.array(F.lit("pooled")))).alias("train_source"),
     )
     test = test.withColumn(
         "split", F.expr("CASE WHEN train_source = 'pooled' THEN 'pooled' WHEN train_source = eval_source THEN 'in_source' ELSE 'held_out' END")
@@ -160,18 +157,9 @@ def gap_ratios(errors: DataFrame, gaps: DataFrame, reps: int, seed: int, id: str
     means = percentile_ci(bootstrap_means(gaps, ["scope"], id, ["gap"], reps, seed, id), ["scope"], "gap", reps, "mean_gap")
     meds = percentile_ci(bootstrap_medians(gaps, ["scope"], "gap", reps, seed, id), ["scope"], "gap", reps, "median_gap")
     scopes = points.join(means, "scope").join(meds, "scope")
-    # One row per model: a short literal list, unfolded on every scope.
-    models = model.limit(1001).collect()
-    if len(models) > 1000:
-        raise ValueError("more than 1000 models")
-    items = [
-        F.struct(
-            F.lit(m["model"]).alias("model"), F.lit(m["mean_error"]).cast("double").alias("mean_error"),
-            F.lit(m["median_error"]).cast("double").alias("median_error"),
-        )
-        for m in models
-    ]
-    rows = scopes.select("*", F.inline(F.array(*items)))
+    # The models are unfolded on every scope.
+    models = model.agg(F.collect_list(F.struct("model", "mean_error", "median_error")).alias("models")).scalar()
+    rows = scopes.select("*", F.inline(models))
     ratio = "{g} / ({e} + 1e-12D) AS {o}"
     return rows.selectExpr(
         "model", "scope", "n_pairs", "mean_gap", "median_gap",

@@ -41,9 +41,9 @@ def audit_sample(df: DataFrame, value: str, anomaly: str, id: str, each: int = 1
 
 def stratified_sample(df: DataFrame, stratum: str, value: str, id: str, quotas: dict[str, int]) -> DataFrame:
     """Low, middle and high rows of each stratum, a third of its quota each; strata under three rows give none."""
-    arms = " ".join(f"WHEN '{s}' THEN {q}" for s, q in quotas.items())
+    quota = F.coalesce(*[F.when(F.col(stratum) == F.lit(s), F.lit(q)) for s, q in quotas.items()], F.lit(0))
     ranked = positions(df, [stratum], [F.col(value).asc(), F.col(id).asc()])
-    rows = ranked.filter("n >= 3").selectExpr("*", f"CASE `{stratum}` {arms} ELSE 0 END AS _q").selectExpr(
+    rows = ranked.filter("n >= 3").withColumn("_q", quota).selectExpr(
         "*", "n div 2 - (_q div 3) div 2 AS _s", "_q div 3 AS _t"
     )
     part = """CASE WHEN pos <= _t THEN 'low' WHEN pos > _s AND pos <= _s + _t THEN 'middle' WHEN pos > n - (_q - 2 * _t) THEN 'high' END"""

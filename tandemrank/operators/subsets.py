@@ -51,7 +51,7 @@ def swap_permutation(
 ) -> DataFrame:
     """nAUCC of the pooled selection against replicates in which a coin swaps the two sides of each pair.
 
-    The pair mean does not change under a swap, so the selection is the same in every replicate and is made once.
+    A key with fewer than ``min_n`` selected pairs keeps its row, with null statistics. The pair mean does not change under a swap, so the selection is the same in every replicate and is made once.
     """
     rows = high_response(pairs, by, [fraction], id).filter("method = 'pooled'").select(*by, id, "left", "right")
     rows = materialize(rows)
@@ -70,7 +70,9 @@ def swap_permutation(
         F.expr("avg(naucc) AS permuted_mean_naucc"), F.expr("stddev_samp(naucc) AS permuted_std_naucc"),
         F.expr("(1 + count_if(naucc >= observed_naucc)) / (count(naucc) + 1.0D) AS pvalue"),
     )
-    return out.join(size, by).filter(f"n_selected >= {min_n}")
+    out = size.join(out, by, "left")
+    shown = ["observed_naucc", "permuted_mean_naucc", "permuted_std_naucc", "pvalue"]
+    return out.withColumns({c: F.when(F.col("n_selected") >= min_n, F.col(c)) for c in shown})
 
 
 def tie_break_audit(pairs: DataFrame, by: list[str], reps: int, seed: int, qs=Q_GRID, id: str = "id") -> DataFrame:

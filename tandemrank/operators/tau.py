@@ -178,7 +178,7 @@ def kendall_tau(
 
 
 def kendall_test(df: DataFrame, by: list[str], id: str = "id", size: int = TASK_ROWS) -> DataFrame:
-    """tau-b with its tie-corrected normal approximation p-value."""
+    """tau-b with its tie-corrected normal approximation p-value; null for two pairs or fewer and for a constant side."""
     df = finite_pairs(df)
     sums = None
     for side in ("left", "right"):
@@ -193,10 +193,10 @@ def kendall_test(df: DataFrame, by: list[str], id: str = "id", size: int = TASK_
     n, m = c("n"), c("pairs") * 2
     var = (
         (m * (2 * n + 5) - c("_v_left") - c("_v_right")) / 18
-        + (2 * c("ties_left") * c("ties_right")) / m
-        + c("_w_left") * c("_w_right") / (9 * m * (n - 2))
+        + F.try_divide(2 * c("ties_left") * c("ties_right"), m)
+        + F.try_divide(c("_w_left") * c("_w_right"), 9 * m * (n - 2))
     )
     num = c("pairs") - c("ties_left") - c("ties_right") + c("ties_both") - 2 * c("discordant")
-    return parts.withColumn("pvalue", normal_two_sided(num / F.sqrt(var))).select(
+    return parts.withColumn("pvalue", normal_two_sided(F.try_divide(num, F.sqrt(F.when(var > 0, var))))).select(
         *by, n.cast("bigint").alias("n"), "tau", "pvalue"
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemrank.frame import finite_pairs
+from tandemrank.frame import finite_pairs, is_finite
 from tandemrank.operators.correlation import shift_summary, spearman
 from tandemrank.operators.overlap import Q_GRID, area_summary, concordance_curve
 from tandemrank.operators.rank import rank_both
@@ -76,7 +76,8 @@ def robustness(
 ) -> DataFrame:
     """Rank record over named subsets, score transforms and leave-one-stratum-out, all in one pass of each operator.
 
-    ``subsets`` are SQL conditions. The stratum list is taken from the data; a row belongs to every subset it meets.
+    ``subsets`` are SQL conditions. The stratum list is taken from the data; a row belongs to every subset it
+    meets, and a row without a stratum to every leave-one-out subset.
     """
     from tandemrank.operators.quantile import quantiles
     from tandemrank.operators.summary import log_scores, winsorized
@@ -85,18 +86,18 @@ def robustness(
     base = materialize(finite_pairs(pairs))
     mean = base.selectExpr("*", "(`left` + `right`) / 2.0D AS _mean")
     cut = bounded(quantiles(mean.select(*by, id, "_mean"), by, "_mean", id, {"_p99": 0.99}))
-    items = [f"IF({cond}, '{name}', NULL)" for name, cond in subsets.items()]
-    items.append("IF(_mean < _p99, 'exclude_top_1pct', NULL)")
-    tags = f"array_compact(array({', '.join(items)}))"
+    items = [F.when(F.expr(cond), F.lit(name)) for name, cond in subsets.items()]
+    items.append(F.when(F.expr("_mean < _p99"), F.lit("exclude_top_1pct")))
+    tags = F.array_compact(F.array(*items))
     rows = mean.join(cut, by)
     if stratum:
-        names = sorted(r[0] for r in base.select(stratum).distinct().limit(1001).collect() if r[0] is not None)
-        if len(names) > 1000:
-            raise ValueError(f"leave-one-out over more than 1000 levels of {stratum!r}")
-        without = ", ".join(f"IF(`{stratum}` != '{s}', 'without_{s}', NULL)" for s in names)
-        tags = f"array_compact(concat({tags}, array({without})))"
+        level = F.col(f"`{stratum}`").cast("string")
+        levels = base.agg(F.sort_array(F.collect_set(level)).alias("levels")).scalar()
+        rows = rows.withColumn("_levels", levels)
+        others = F.filter("_levels", lambda s: ~s.eqNullSafe(level))
+        tags = F.concat(tags, F.transform(others, lambda s: F.concat(F.lit("without_"), s)))
     keep = [*by, f"`{id}`", "`left`", "`right`"]
-    long = rows.selectExpr(*keep, f"explode({tags}) AS subset")
+    long = rows.select(*keep, F.explode(tags).alias("subset"))
     if transforms:
         long = long.unionByName(winsorized(base, by, id=id).selectExpr(*keep, "'winsorized_5_95' AS subset"))
         long = long.unionByName(log_scores(base).selectExpr(*keep, "'log_eps' AS subset"))
@@ -188,10 +189,13 @@ def distance_thresholds(
 
 
 def distance_strata(pairs: DataFrame, by: list[str], distance: str, id: str = "id") -> DataFrame:
-    """Agreement in five equal-frequency distance strata, with the distance range and tied rows of each."""
+    """Agreement in five equal-frequency distance strata, with the distance range and tied rows of each.
+
+    Pairs without a finite distance are in no stratum.
+    """
     from tandemrank.operators.strata import rank_bins
 
-    rows = materialize(rank_bins(finite_pairs(pairs), by, distance, id, 5, "stratum_no"))
+    rows = materialize(rank_bins(finite_pairs(pairs).filter(is_finite(F.col(distance))), by, distance, id, 5, "stratum_no"))
     key = [*by, "stratum_no"]
     ties = rows.groupBy(*key, distance).count().groupBy(*key).agg(
         F.expr(f"min(`{distance}`) AS distance_min"), F.expr(f"max(`{distance}`) AS distance_max"),
@@ -204,12 +208,18 @@ def distance_trim(
     pairs: DataFrame, by: list[str], distance: str, fractions: Sequence[float] = (0.0, 0.01, 0.05, 0.10, 0.20),
     id: str = "id",
 ) -> DataFrame:
-    """Agreement after removing the floor(f n) pairs with the largest distance, for each fraction."""
+    """Agreement after removing the floor(f n) pairs with the largest distance, for each fraction.
+
+    Only finite distances count in n and are removed; pairs without one stay.
+    """
     from tandemrank.operators.rank import positions
 
-    rows = positions(finite_pairs(pairs), by, [F.col(distance).desc(), F.col(id).asc()], "_far", "_size")
+    pairs = finite_pairs(pairs)
+    known = is_finite(F.col(distance))
+    rows = positions(pairs.filter(known), by, [F.col(distance).desc(), F.col(id).asc()], "_far", "_size")
     items = ", ".join(f"named_struct('trim_fraction', {f}D, '_cut', floor({f}D * _size))" for f in fractions)
-    kept = rows.selectExpr(*by, f"`{id}`", "`left`", "`right`", "_far", f"inline(array({items}))").filter("_far > _cut")
+    rows = rows.unionByName(pairs.filter(~known), allowMissingColumns=True)
+    kept = rows.selectExpr(*by, f"`{id}`", "`left`", "`right`", "_far", f"inline(array({items}))").filter("_far IS NULL OR _far > _cut")
     return agreement(kept, [*by, "trim_fraction"], qs=[10.0], area=True, id=id)
 
 

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A table may be broadcast only after it was counted and found to hold at most this many rows.
+# A table may be broadcast only after it was counted and found to hold at most this many rows and bytes.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 32 << 20
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -59,12 +60,12 @@ def release(spark: SparkSession) -> None:
 
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else ``df`` itself.
+    """``df`` with a broadcast hint if it has at most ``limit`` rows of BROADCAST_BYTES together, else ``df`` itself.
 
     At most ``limit + 1`` rows reach the driver, and the broadcast table is those very rows.
     """
     rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
+    if rows.num_rows > limit or rows.nbytes > BROADCAST_BYTES:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
 
@@ -75,19 +76,26 @@ def spread_join(
     """Join ``rows`` to ``table`` on ``keys`` when a few keys may own most of ``rows``.
 
     A small table is broadcast. Otherwise every key with over 1/1000 of the rows (so at most 1000 keys) is
-    split over ``salts`` tasks by a hash of ``spread`` and its table rows are repeated once per salt.
+    split by a hash of ``spread`` into as many parts as its share of the rows asks for, with at least ``salts`` parts for
+    all rows together, and its table rows are repeated once per part. Null keys are spread as they match nothing.
     """
     small = bounded(table)
     if small is not table:
         return rows.join(small, keys, how)
-    total = rows.count()
+    counts = rows.groupBy(*keys).count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    # A key gets a task's share of rows per salt; at most 1000 keys can have over 1/1000 of the rows.
+    share = max(1.0, total / max(salts, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     hot = F.broadcast(
-        rows.groupBy(*keys).count().filter(F.col("count") > total / 1000.0).select(*keys, F.lit(True).alias("_hot"))
+        counts.filter(F.col("count") > total / 1000.0).select(*keys, F.ceil(F.col("count") / share).cast("int").alias("_hot"))
     )
-    hot_salts = F.when(F.col("_hot"), F.lit(salts)).otherwise(F.lit(1))
+    hot_salts = F.coalesce(F.greatest(F.lit(1), F.col("_hot")), F.lit(1))
+    unmatched = F.lit(False)
+    for k in keys:  # a null key meets no row of the table, so its rows may go anywhere
+        unmatched = unmatched | F.col(k).isNull()
     left = (
         rows.join(hot, keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(spread), hot_salts).cast("int"))
+        .withColumn("_salt", F.pmod(F.xxhash64(spread), F.when(unmatched, 1 << 20).otherwise(hot_salts)).cast("int"))
         .drop("_hot")
     )
     right = (

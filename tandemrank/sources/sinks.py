@@ -39,7 +39,7 @@ def _stream_hash(path: pd.Series, size: pd.Series, whole: pd.Series) -> pd.Serie
 
 def content_hash(df: DataFrame) -> DataFrame:
     """Row count and an order-insensitive hash of all rows, in one pass (128 bits from two seeded sums)."""
-    row = ", ".join(f"`{c}`" for c in df.columns)
+    row = ", ".join([f"`{c}`" for c in df.columns] + [f"`{c}` IS NULL" for c in df.columns])  # the hash skips nulls
     return df.selectExpr(f"xxhash64({row}) AS _a", f"xxhash64(1, {row}) AS _b").agg(
         F.expr("count(*) AS n_rows"), F.expr("CAST(sum(CAST(_a AS DECIMAL(38, 0))) AS STRING) AS _s"),
         F.expr("bit_xor(_b) AS _x"),
