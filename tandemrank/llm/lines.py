@@ -78,11 +78,39 @@ def _close(similarity: float) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` of line keys whose texts have the edit similarity; each distinct pair is compared once."""
-    one = lambda c: texts.select(F.col("h").alias(c), F.col("norm").alias(f"t{c}"), F.col("len").alias(f"l{c}"))
+    """The pairs ``(a, b)`` of line keys whose texts have the edit similarity; each distinct pair is compared once.
+
+    Words that both texts start or end with are left out first, which changes no edit distance.
+    """
+    one = lambda c: texts.select(F.col("h").alias(c), F.split("norm", " ").alias(f"w{c}"), F.col("len").alias(f"l{c}"))
     both = pairs.distinct().join(one("a"), "a").join(one("b"), "b")
-    distance = F.call_function("levenshtein", F.col("ta"), F.col("tb"), _allowed("la", "lb", similarity))
-    return both.filter(distance >= 0).select("a", "b")
+    same = lambda x, y: F.array_position(F.zip_with(x, y, lambda u, v: F.coalesce(u == v, F.lit(False))), False).cast("int")
+    rows = both.select("a", "b", "la", "lb", "wa", "wb", same(F.col("wa"), F.col("wb")).alias("head"), same(F.reverse("wa"), F.reverse("wb")).alias("tail"))
+    # Positions of the first difference from either end; what is left out must not overlap in the shorter text.
+    shorter = F.least(F.size("wa"), F.size("wb"))
+    head = F.when(F.col("head") > 0, F.col("head") - 1).otherwise(shorter)
+    tail = F.when(F.col("tail") > 0, F.col("tail") - 1).otherwise(shorter)
+    rows = rows.select("a", "b", "la", "lb", "wa", "wb", head.alias("head"), F.least(tail, shorter - head).alias("tail"))
+    middle = lambda w: F.array_join(F.slice(w, F.col("head") + 1, F.size(w) - F.col("head") - F.col("tail")), " ")
+    rows = rows.select("a", "b", "la", "lb", middle("wa").alias("ma"), middle("wb").alias("mb"))
+    # One text may be left empty: the space next to its neighbour is then part of the difference.
+    gap = F.when((F.col("ma") == "") != (F.col("mb") == ""), 1).otherwise(0)
+    distance = F.call_function("levenshtein", F.col("ma"), F.col("mb"), _allowed("la", "lb", similarity))
+    return rows.filter((distance >= 0) & (distance + gap <= _allowed("la", "lb", similarity))).select("a", "b")
+
+
+def _perhaps(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``perhaps``: false only if ``wanted`` surely lacks the row's ``key``.
+
+    One bit per hash of a wanted key makes a table of at most 2**(FILTER_BITS - 6) rows of 16 bytes at any input size: a
+    proven bound for the broadcast.
+    """
+    spot = f"pmod(xxhash64({key}), {1 << FILTER_BITS})"
+    bit = F.expr(f"shiftleft(1L, cast(pmod({spot}, 64) as int))")
+    bits = wanted.select(F.expr(f"shiftright({spot}, 6)").alias("_cell"), bit.alias("_bit")).groupBy("_cell").agg(F.bit_or("_bit").alias("_bits"))
+    near = df.withColumn("_cell", F.expr(f"shiftright({spot}, 6)")).join(F.broadcast(bits), "_cell", "left")
+    hit = F.expr(f"(shiftrightunsigned(_bits, cast(pmod({spot}, 64) as int)) & 1) = 1")
+    return near.withColumn("perhaps", F.coalesce(hit, F.lit(False))).drop("_cell", "_bits")
 
 
 def groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -94,18 +122,15 @@ def groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     groups are those of all links.
     """
     sims = materialize(simhashes(lines))
-    distinct = sims.groupBy("sim").agg(F.count("*").alias("n"))
-    met = Window.partitionBy("key")
-    crowded = _keyed(distinct).withColumn("met", F.count("*").over(met)).filter((F.col("met") > 1) | (F.col("n") > 1)).select("sim").distinct()
+    counted = sims.groupBy("sim").agg(F.count("*").alias("n"))
+    met = F.count("*").over(Window.partitionBy("key"))
+    crowded = _keyed(counted.select("sim")).withColumn("met", met).filter("met > 1").select("sim")
+    crowded = crowded.union(counted.filter("n > 1").select("sim")).distinct()
     near = materialize(_keyed(sims.join(crowded, "sim", "left_semi")))
     close = _close(similarity)
     partner = near.alias("a").join(near.alias("b"), close & (F.col("a.h") != F.col("b.h")), "left_semi")
     wanted = materialize(partner.select("h", "len", "sim").distinct())
-    # One bit per hash of a wanted line: at most 2**(FILTER_BITS - 6) rows at any input size.
-    spot = f"pmod(xxhash64(h), {1 << FILTER_BITS})"
-    bits = wanted.select(F.expr(f"shiftright({spot}, 6)").alias("cell"), F.expr(f"shiftleft(1L, cast(pmod({spot}, 64) as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
-    asked = lines.select("h", "norm").withColumn("cell", F.expr(f"shiftright({spot}, 6)")).join(F.broadcast(bits), "cell")
-    asked = asked.filter(F.expr(f"(shiftrightunsigned(bits, cast(pmod({spot}, 64) as int)) & 1) = 1"))
+    asked = _perhaps(lines.select("h", "norm"), wanted, "h").filter("perhaps").drop("perhaps")
     texts = materialize(asked.groupBy("h").agg(F.first("norm").alias("norm")).join(wanted, "h").select("h", "len", "norm"))
     keyed = materialize(_keyed(wanted))
     hubs = keyed.groupBy("key").agg(F.min(F.struct("h", "sim", "len")).alias("hub")).select("key", "hub.*")
@@ -137,11 +162,13 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Of each group of equal or nearly equal lines over all documents one occurrence stays (see ``removals``). Lines
     without letters or signs are no lines: they stay and count for nothing. A null text stays null; repeated rows are
     separate documents, of which the first keeps its lines; an empty table stays so. The documents are written once
-    with row numbers, then their texts move in one join with the positions to remove.
+    with row numbers, then only those with lines to remove move, in one join with the positions.
     """
     rows = number_rows(docs)
-    gone = removals(rows, similarity)
-    whole = rows.join(gone, "rid", "left")
+    gone = materialize(removals(rows, similarity))
+    asked = _perhaps(rows, gone, "rid")
+    moved = asked.filter("perhaps").drop("perhaps").join(gone, "rid", "left")
+    whole = moved.unionByName(asked.filter("NOT perhaps").drop("perhaps"), allowMissingColumns=True)
     parts = F.split(F.col("row.text"), "\n", -1)
     removed = F.coalesce("gone", F.array().cast("array<int>"))
     kept = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(

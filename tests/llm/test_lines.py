@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tandemrank.llm.lines import BITS_APART, deduplicate, drop_emptied, simhashes
+from tandemrank.llm.lines import BITS_APART, _verified, deduplicate, drop_emptied, simhashes
 
 
 def norm(x):
@@ -88,3 +88,15 @@ def test_emptied_documents_go(docs):
     got = {r.doc_id: (r.text, r.n_chars) for r in drop_emptied(d).collect()}
     assert got == {1: ("one line here\nand two", 21), 3: (None, None), 4: ("", 0), 5: ("three", 5)}
     assert drop_emptied(d).columns == d.columns and drop_emptied(docs([])).count() == 0
+
+
+def test_edit_similarity_without_common_words(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randrange(0, 4)))
+    texts = [" ".join(word() for _ in range(r.randrange(1, 7))).strip() or "a" for _ in range(60)]
+    texts = sorted(set(texts)) + ["a b c d e f g h", "a b c d e f g", "x a b c d e f g h", "a b c d e f g h a b", "a b c c d e f g h"]
+    df = spark.createDataFrame([(str(i), t, len(t)) for i, t in enumerate(texts)], "h string, norm string, len int")
+    pairs = [(str(i), str(j)) for i in range(len(texts)) for j in range(i)]
+    got = {(x.a, x.b) for x in _verified(spark.createDataFrame(pairs, "a string, b string"), df, 0.8).collect()}
+    want = {(a, b) for a, b in pairs for x, y in [(texts[int(a)], texts[int(b)])] if edits(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9)}
+    assert got == want and len(want) > 5
