@@ -142,6 +142,41 @@ def report(docs: DataFrame, **scope: int) -> DataFrame:
     )
 
 
-@query("op6_multipart_secrets")
+def _sql() -> str:
+    """The same report in SQL over the documents table."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = lambda kinds: ", ".join(map(quoted, kinds))
+    matches = " UNION ALL ".join(
+        f"SELECT rid, '{k}' AS kind, {i} AS nth, {least} AS least, string_split_regex(t, {quoted(p)}) AS p, "
+        f"regexp_extract_all(t, {quoted(p)}, 0) AS w, regexp_extract_all(t, {quoted(p)}, {g}) AS v FROM d WHERE regexp_matches(t, {quoted(p)})"
+        for i, (k, (p, g, least)) in enumerate(PATTERNS.items())
+    )
+    overlap = "o.s < w.e AND w.s < o.e"
+    near = f"o.rid = w.rid AND NOT ({overlap}) AND o.s <= w.e + {REACH} AND o.e >= greatest(0, w.s - {REACH}) AND abs(o.line - w.line) <= {LINES}"
+    wanted = " OR ".join(
+        f"(w.kind = '{k}' AND " + " AND ".join(f"EXISTS (SELECT 1 FROM spans o WHERE {near} AND o.kind IN ({listed(PARTS[part])}))" for part in needs) + ")"
+        for k, needs in NEEDS.items()
+    )
+    said = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, nth)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({matches}),
+each AS (SELECT rid, kind, nth, least, unnest(range(1, len(w) + 1)) AS i, p, w, v FROM m),
+places AS (SELECT rid, kind, nth, least, v[i] AS v, length(w[i]) AS n,
+  CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s,
+  CAST(list_sum(list_transform(p[1:i], lambda x: length(x) - length(replace(x, chr(10), '')))) AS BIGINT) AS line FROM each),
+spans AS (SELECT rid, kind, nth, s, s + n AS e, line FROM places WHERE length(v) >= least
+  AND (kind <> 'bare' OR (regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')))),
+kept AS (SELECT * FROM spans w WHERE kind IN ({listed(BASE)}) OR (
+  NOT (kind = 'bare' AND EXISTS (SELECT 1 FROM spans o WHERE o.rid = w.rid AND o.kind IN ({listed(BASE)}) AND {overlap}))
+  AND ({wanted}))),
+found AS (SELECT rid, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)},
+  {said} FILTER (kind IN ({listed(BASE)})) AS base, {said} AS spans,
+  count(*) FILTER (kind IN ({listed(WEAK)})) AS n_linked FROM kept GROUP BY rid)
+SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked FROM d LEFT JOIN found USING (rid)"""
+
+
+@query("op6_multipart_secrets", _sql())
 def op6(spark, sf_dir):
     return report(table(spark, sf_dir, "documents"))

@@ -69,3 +69,26 @@ def test_repeated_rows_null_ids_and_empty_table(docs):
 def test_clashing_names(docs, spark, extra):
     df = docs([(1, CASES[8])]).selectExpr("*", f"7 as {extra}")
     assert rows(report(df)) == [[1, *brute(CASES[8])]]
+
+
+@pytest.mark.parametrize("source", ["cases", "table"])
+def test_sql_gives_the_same_rows(spark, docs, source):
+    import duckdb
+
+    from tandemrank.llm.secrets import _sql
+
+    con = duckdb.connect()
+    if source == "cases":
+        texts = CASES + [CASES[8], None]
+        df = docs(list(enumerate(texts)))
+        con.execute("create table documents (doc_id bigint, text varchar)")
+        con.executemany("insert into documents values (?, ?)", [[i, t] for i, t in enumerate(texts)])
+    else:
+        path = "/root/testdata/sf0.01/documents.parquet"
+        df = spark.read.parquet(path)
+        con.execute(f"create view documents as select * from '{path}'")
+    want = con.execute(_sql()).df().sort_values(["doc_id", "spans"]).reset_index(drop=True)
+    got = report(df).toPandas().sort_values(["doc_id", "spans"]).reset_index(drop=True)
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+    for c in got.columns:
+        assert list(got[c]) == list(want[c]), c
