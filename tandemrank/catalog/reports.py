@@ -501,6 +501,20 @@ def _(spark, sf):
     return tables.heterogeneity(rows, M, ["stratum"], "cluster", B, B)
 
 
+@query(
+    "tiny_keys",
+    f"""WITH {F_LONG}, sub AS (SELECT metric, id % 700 AS cell, id, CASE WHEN id % 2 = 0 THEN 1.0 ELSE "left" END AS "left", "right" FROM f),
+    {agreement_sql('sub', 'metric, cell', False)}
+    SELECT metric, cell, n, round(s / nullif(sqrt(pairs - tl) * sqrt(pairs - tr), 0), 9) + 0.0 AS tau,
+           round(CASE WHEN isnan(rho) THEN NULL ELSE rho END, 9) + 0.0 AS rho FROM rho LEFT JOIN pairwise USING (metric, cell)""",
+)
+def _(spark, sf):
+    """Keys of one, two or three pairs, half of them with a constant side."""
+    rows = finite_pairs(long_pairs(spark, sf)).selectExpr("metric", "id % 700 AS cell", "id", "IF(id % 2 = 0, 1D, `left`) AS `left`", "`right`")
+    out = tables.agreement(rows, ["metric", "cell"], shift=True)
+    return rounded(out.select("metric", "cell", "n", "tau", "rho"), "tau", "rho")
+
+
 @query(
     "distance_thresholds",
     f"""WITH {F_LONG}, one AS (SELECT * FROM f WHERE metric = 'a'), t AS (SELECT unnest(list_distinct(quantile_cont(dist, [0.5, 0.625, 0.75, 0.875, 1.0]))) AS threshold FROM one),

@@ -146,6 +146,15 @@ def _(spark, sf):
     return tensors(spark, sf).select("id", fn.max_longitudinal("t").alias("longitudinal"))
 
 
+@query("longitudinal_axial", "SELECT vec_id AS id, round(abs(CAST(embedding[4] AS DOUBLE)), 5) + 0.0 AS longitudinal FROM embeddings")
+def _(spark, sf):
+    """Axial tensors a n n n, whose maximum over directions is |a|."""
+    norm = "sqrt(aggregate(slice(embedding, 1, 3), 0D, (s, x) -> s + CAST(x AS DOUBLE) * x))"
+    rows = table(spark, sf, "embeddings").selectExpr("vec_id AS id", "CAST(embedding[3] AS DOUBLE) AS a", f"transform(slice(embedding, 1, 3), x -> x / {norm}) AS n")
+    axial = rows.selectExpr("id", "transform(sequence(0, 26), i -> a * n[i div 9] * n[(i div 3) % 3] * n[i % 3]) AS t")
+    return rounded(axial.select("id", fn.max_longitudinal("t").alias("longitudinal")), "longitudinal", digits=5)
+
+
 @query("stiffness_scalars")
 def _(spark, sf):
     df = with_stiffness(spark, sf)
