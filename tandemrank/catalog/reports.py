@@ -146,13 +146,13 @@ def _(spark, sf):
 
 @query(
     "scale_calibration",
-    f"""WITH {F_LONG}, e AS (SELECT grp, abs("left" - "right") AS e, id FROM f WHERE metric = 'a'),
+    f"""WITH {F_LONG}, e AS (SELECT metric || '|' || grp AS grp, abs("left" - "right") AS e, id FROM f),
     p AS (SELECT grp, e, row_number() OVER (PARTITION BY grp ORDER BY e, id) AS pos, count(*) OVER (PARTITION BY grp) AS n FROM e),
     c AS (SELECT grp, median(e) AS med, max(e) FILTER (WHERE pos = least(ceil(0.9 * n), n)) / greatest(median(e), 1e-12) AS factor FROM p GROUP BY grp)
     SELECT grp, round(any_value(factor), 7) + 0.0 AS factor, round(avg(CASE WHEN e <= factor * med THEN 1.0 ELSE 0.0 END), 9) + 0.0 AS achieved_coverage FROM p JOIN c USING (grp) GROUP BY grp""",
 )
 def _(spark, sf):
-    rows = finite_pairs(long_pairs(spark, sf)).filter("metric = 'a'").selectExpr("grp", "id", "abs(`left` - `right`) AS e")
+    rows = finite_pairs(long_pairs(spark, sf)).selectExpr("metric || '|' || grp AS grp", "id", "abs(`left` - `right`) AS e")
     out = models.scale_calibration(rows, "grp", "e", 0.9)
     return out.select("grp", r9("factor", 7).alias("factor"), r9("achieved_coverage").alias("achieved_coverage"))
 
@@ -517,14 +517,14 @@ def _(spark, sf):
 
 @query(
     "distance_thresholds",
-    f"""WITH {F_LONG}, one AS (SELECT * FROM f WHERE metric = 'a'), t AS (SELECT unnest(list_distinct(quantile_cont(dist, [0.5, 0.625, 0.75, 0.875, 1.0]))) AS threshold FROM one),
-    sub AS (SELECT threshold, id, "left", "right" FROM one, t WHERE dist <= threshold + 1e-15), {agreement_sql('sub', 'threshold', True)}
-    SELECT threshold, n, {TAU}, round(rho, 9) + 0.0 AS rho, round(naucc, 9) + 0.0 AS naucc FROM rho JOIN pairwise USING (threshold) JOIN ar USING (threshold)""",
+    f"""WITH {F_LONG}, t AS (SELECT metric, unnest(list_distinct(quantile_cont(dist, [0.5, 0.625, 0.75, 0.875, 1.0]))) AS threshold FROM f GROUP BY metric),
+    sub AS (SELECT metric, threshold, id, "left", "right" FROM f JOIN t USING (metric) WHERE dist <= threshold + 1e-15), {agreement_sql('sub', 'metric, threshold', True)}
+    SELECT metric, threshold, n, {TAU}, round(rho, 9) + 0.0 AS rho, round(naucc, 9) + 0.0 AS naucc
+    FROM rho JOIN pairwise USING (metric, threshold) JOIN ar USING (metric, threshold)""",
 )
 def _(spark, sf):
-    rows = long_pairs(spark, sf).filter("metric = 'a'")
-    out = tables.distance_thresholds(rows, M, ["dist"], 5)
-    return rounded(out.select("threshold", "n", "tau", "rho", "naucc"), "tau", "rho", "naucc")
+    out = tables.distance_thresholds(long_pairs(spark, sf), M, ["dist"], 5)
+    return rounded(out.select("metric", "threshold", "n", "tau", "rho", "naucc"), "tau", "rho", "naucc")
 
 
 @query(
