@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandemrank.llm import jaccard, language, lines, mixing, pieces
-from tandemrank.llm.common import materialize, table
+from tandemrank.llm.common import captured, drop_path, table
+from tandemrank.session import materialize
 
 # Shares of each domain's expected tokens that stay: sound documents all, poor ones a half, toxic ones a tenth.
 KEEP = {"good": 1.0, "low": 0.5, "toxic": 0.1}
@@ -37,9 +38,26 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.round_trip(docs).select("doc_id", "lang", "source", F.col("n_tokens"), "round_trip", "ids")
 
 
+_BEFORE: list[str] = []
+
+
+def tidy(stage):
+    """``stage``, dropping the scratch tables of the stage before: its result has been written by now and is read as ``docs``."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _BEFORE:
+            drop_path(spark, _BEFORE.pop())
+        with captured() as mine:
+            out = stage(spark, docs, sf_dir)
+        _BEFORE.extend(mine)
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", identify_language), ("line_dedup", deduplicate_lines), ("jaccard_join", join_similar),
-    ("mixing", mix), ("sentencepiece", encode),
+    ("language_id", tidy(identify_language)), ("line_dedup", tidy(deduplicate_lines)), ("jaccard_join", tidy(join_similar)),
+    ("mixing", tidy(mix)), ("sentencepiece", tidy(encode)),
 ]
 # Kernels, word hashes, rates and pieces have no SQL form; tests compare each stage with a brute-force version.
 ORACLE_SQL = None

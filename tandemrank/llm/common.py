@@ -2,13 +2,49 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandemrank.session import materialize
+from tandemrank.session import scratch_dir
+
+_CAPTURES: list[list[str]] = []
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    for capture in _CAPTURES:
+        capture.append(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch_path = path
+    return back
+
+
+def drop_path(spark, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and nothing reads any more."""
+    drop_path(table.sparkSession, table._scratch_path)
+
 
-__all__ = ["components", "materialize", "number_rows", "table", "train_row", "words_of", "fold_pieces"]
+@contextlib.contextmanager
+def captured():
+    """The paths of the tables that ``materialize`` writes meanwhile."""
+    paths: list[str] = []
+    _CAPTURES.append(paths)
+    try:
+        yield paths
+    finally:
+        _CAPTURES.remove(paths)
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -41,13 +77,15 @@ def components(edges: DataFrame) -> DataFrame:
             state.join(seen.agg(F.min("near").alias("near")), "node")
             .select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
         )
-        up = state.select(F.col("node").alias("mid"), F.col("root").alias("top"))
+        up, before = state.select(F.col("node").alias("mid"), F.col("root").alias("top")), state
         state = materialize(
             stepped.join(up, "mid").select(
                 "node", F.least("mid", "top").alias("root"), (F.least("mid", "top") != F.col("old")).alias("moved")
             )
         )
+        drop(before)
         if state.filter("moved").limit(1).count() == 0:
+            drop(both)
             return state.select("node", "root")
 
 

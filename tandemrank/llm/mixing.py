@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandemrank.llm.common import materialize, table, train_row
+from tandemrank.llm.common import drop, materialize, table, train_row
 from tandemrank.llm.registry import query
 
 TRAIN_ROWS, VOCABULARY, CLEAR, STEEPEST, SMOOTH = 16_000, 512, 5.0, 4.0, 0.5
@@ -143,7 +143,9 @@ def fit_rates(soft: DataFrame, targets: dict[str, float], total: float | None =
         rate = F.when(F.col("n_tokens") > 0, rate).otherwise(1.0)
         pending += 1
         if pending == ROUNDS_A_WRITE:
-            state, rate, pending = materialize(state.withColumn("rate", rate)), F.col("rate"), 0
+            before, state = state, materialize(state.withColumn("rate", rate))
+            drop(before)
+            rate, pending = F.col("rate"), 0
         got = state.withColumn("rate", rate).agg(*sums).first()
         now = np.array([got[f"m{i}"] or 0.0 for i in range(k)])
     return state.withColumn("rate", rate)
