@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tandemrank.frame import cutoff_size
 from tandemrank.operators.overlap import first_cutoff
 
+# Levels, bin edges and bin labels of the report.
 LEVELS = (1.0, 5.0, 10.0, 20.0, 50.0)
 # Bin edges in percentile points from the cutoff; bins are open below and closed above.
 BOUNDARY_EDGES = (-20.0, -10.0, -5.0, -2.0, 0.0, 2.0, 5.0, 10.0, 20.0)

@@ -145,7 +145,7 @@ PICK_QUOTAS = {"consensus_elite": 3, "left_only": 3, "right_only": 3, "consensus
 
 def illustrative_picks(ranked: DataFrame, formula: str, member: str, id: str = "id") -> DataFrame:
     """Examples per category from ranked pairs: nearest the diagonal for consensus, farthest for disputes; members
-    preferred where there are enough, no formula twice."""
+    preferred where there are enough. Picks of one category may share a formula."""
     pct = "({s}_first + {s}_last) / 2.0D / n * 100"
     rows = ranked.selectExpr(
         f"`{id}`", f"`{formula}`", f"`{member}`", f"{pct.format(s='l')} AS pct_l", f"{pct.format(s='r')} AS pct_r"
