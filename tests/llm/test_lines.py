@@ -1,6 +1,5 @@
 import random
 
-
 from tandemrank.llm.lines import BITS_APART, _verified, deduplicate, drop_emptied, simhashes
 
 
