@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -31,23 +32,43 @@ def _lines(rows: DataFrame) -> DataFrame:
     return each.select("rid", "doc_id", "pos", normal(F.col("line")).alias("norm")).filter("norm <> ''")
 
 
-def simhashes(lines: DataFrame) -> DataFrame:
+def _ends(similarity: float) -> dict[str, Column]:
+    """Negative keys of the first and of the last m characters of ``norm``, for two neighbouring powers m of 1 / similarity.
+
+    Lengths of similar lines differ by at most one power, so two such lines have keys of the same m, at most
+    similarity / 2 of the longer one. A changed stretch of 1 - similarity of it leaves m characters whole at one end. Null
+    for lines too short for any.
+    """
+    k = F.floor(F.log(F.col("len") * (similarity / 2)) / -math.log(similarity)).cast("int")
+    out = {}
+    for up in (0, 1):
+        m = F.floor(F.pow(F.lit(1 / similarity), k + up)).cast("int")
+        for side, part in (("first", F.substring("norm", F.lit(1), m)), ("last", F.substring("norm", F.col("len") - m + 1, m))):
+            key = F.xxhash64(k + up, F.lit(side), part).bitwiseOR(F.lit(-(1 << 63)))
+            out[f"{side}{up}"] = F.when(m > 0, key)
+    return out
+
+
+def simhashes(lines: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
     """``(h, len, sim)`` of each distinct line: bit b of ``sim`` is set if most of its distinct words' hashes have it set.
 
     Words are counted by 32 sums that hold two bits each, 32 bits apart, so a word costs 32 additions in generated
     code; copies of a line only scale all counts. Words combine before the shuffle, which has one row per line and task.
+    ``more`` are further numbers of each line, from its ``norm`` and ``len``.
     """
-    words = lines.select("h", F.length("norm").alias("len"), F.explode(F.array_distinct(F.split("norm", " "))).alias("w"))
-    words = words.filter("w <> ''").select("h", "len", F.xxhash64("w").alias("x"))
+    more = more or {}
+    whole = lines.select("h", "norm", F.length("norm").alias("len")).select("*", *[c.alias(n) for n, c in more.items()])
+    words = whole.select("h", "len", *more, F.explode(F.array_distinct(F.split("norm", " "))).alias("w"))
+    words = words.filter("w <> ''").select("h", "len", *more, F.xxhash64("w").alias("x"))
     lane = [F.sum(F.shiftrightunsigned("x", j).bitwiseAND(F.lit(0x100000001))).alias(f"s{j}") for j in range(32)]
-    sums = words.groupBy("h", "len").agg(F.count("*").alias("n"), *lane)
+    sums = words.groupBy("h", "len").agg(F.count("*").alias("n"), *lane, *[F.min(n).alias(n) for n in more])
     bit = lambda on, b: F.when(on * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
     half = F.lit(0xFFFFFFFF).cast("bigint")
     sim = None
     for j in range(32):
         two = bit(F.col(f"s{j}").bitwiseAND(half), j).bitwiseOR(bit(F.shiftrightunsigned(f"s{j}", 32), j + 32))
         sim = two if sim is None else sim.bitwiseOR(two)
-    return sums.select("h", "len", sim.alias("sim"))
+    return sums.select("h", "len", sim.alias("sim"), *more)
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -70,9 +91,9 @@ def _allowed(a: str, b: str, similarity: float) -> Column:
 
 
 def _close(similarity: float) -> Column:
-    """What can be asked of a pair without its texts: block bits, SimHash distance, lengths."""
+    """What can be asked of a pair without its texts: a common key, SimHash distance unless it is one of an end, lengths."""
     return (
-        (F.col("a.key") == F.col("b.key")) & (_apart("a.sim", "b.sim") <= BITS_APART)
+        (F.col("a.key") == F.col("b.key")) & ((F.col("a.key") < 0) | (_apart("a.sim", "b.sim") <= BITS_APART))
         & (F.abs(F.col("a.len") - F.col("b.len")) <= _allowed("a.len", "b.len", similarity))
     )
 
@@ -113,26 +134,37 @@ def _perhaps(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return near.withColumn("perhaps", F.coalesce(hit, F.lit(False))).drop("_cell", "_bits")
 
 
-def groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def groups(lines: DataFrame, similarity: float = SIMILARITY, ends: bool = False) -> DataFrame:
     """``(node, root)`` of the distinct lines that belong to a connected group of unequal lines.
 
     ``lines`` has ``h`` and ``norm``. Two lines are linked if their SimHashes differ in at most BITS_APART bits and their
-    edit similarity is at least ``similarity``. First each bucket's smallest line is compared with the others (a star),
+    edit similarity is at least ``similarity``; with ``ends`` also those of that edit similarity that begin or end alike
+    (see ``_ends``), whatever their SimHashes. First each bucket's smallest line is compared with the others (a star),
     then only lines whose groups still differ, so a group of near copies emits no square of links; its connected
     groups are those of all links.
     """
-    sims = materialize(simhashes(lines))
+    more = _ends(similarity) if ends else {}
+    sims = materialize(simhashes(lines, more))
     counted = sims.groupBy("sim").agg(F.count("*").alias("n"))
     met = F.count("*").over(Window.partitionBy("key"))
     crowded = _keyed(counted.select("sim")).withColumn("met", met).filter("met > 1").select("sim")
     crowded = crowded.union(counted.filter("n > 1").select("sim")).distinct()
-    near = materialize(_keyed(sims.join(crowded, "sim", "left_semi")))
+    near = _keyed(sims.select("h", "len", "sim").join(crowded, "sim", "left_semi"))
+    if ends:
+        each = sims.select("h", "len", "sim", F.explode(F.array(*more)).alias("key")).filter("key IS NOT NULL")
+        shared = materialize(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+        each = _perhaps(each, shared, "key").filter("perhaps").drop("perhaps")
+        near = near.unionByName(each.join(shared, "key", "left_semi"))
+    near = materialize(near)
     close = _close(similarity)
     partner = near.alias("a").join(near.alias("b"), close & (F.col("a.h") != F.col("b.h")), "left_semi")
     wanted = materialize(partner.select("h", "len", "sim").distinct())
     asked = _perhaps(lines.select("h", "norm"), wanted, "h").filter("perhaps").drop("perhaps")
     texts = materialize(asked.groupBy("h").agg(F.first("norm").alias("norm")).join(wanted, "h").select("h", "len", "norm"))
-    keyed = materialize(_keyed(wanted))
+    keyed = _keyed(wanted)
+    if ends:
+        keyed = keyed.unionByName(near.filter("key < 0").join(wanted.select("h"), "h", "left_semi"))
+    keyed = materialize(keyed)
     hubs = keyed.groupBy("key").agg(F.min(F.struct("h", "sim", "len")).alias("hub")).select("key", "hub.*")
     star = keyed.alias("a").join(hubs.alias("b"), close & (F.col("a.h") != F.col("b.h"))).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"))
     star = materialize(_verified(star, texts, similarity))
@@ -143,29 +175,29 @@ def groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return components(star.union(more))
 
 
-def removals(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def removals(rows: DataFrame, similarity: float = SIMILARITY, ends: bool = False) -> DataFrame:
     """``(rid, gone)``: the positions of the lines of each numbered row that repeat an earlier line of their group.
 
     The kept occurrence of a group has the smallest (doc_id, rid, position), null ids last.
     """
     lines = _lines(rows).withColumn("h", line_key(F.col("norm")))
-    joined = groups(lines.select("h", "norm"), similarity)
+    joined = groups(lines.select("h", "norm"), similarity, ends)
     places = materialize(lines.select("rid", "pos", "doc_id", "h").join(joined, F.col("h") == F.col("node"), "left").select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos").alias("at"), F.coalesce("root", "h").alias("g")))
     firsts = places.groupBy("g").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first")
     gone = places.join(firsts, "g").filter(F.col("at") != F.col("first"))
     return gone.groupBy("at.rid").agg(F.collect_list("at.pos").alias("gone"))
 
 
-def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, ends: bool = False) -> DataFrame:
     """``row`` (all columns of ``docs``, its text without repeated lines), ``n_lines``, ``n_removed``.
 
-    Of each group of equal or nearly equal lines over all documents one occurrence stays (see ``removals``). Lines
+    Of each group of equal or nearly equal lines over all documents one occurrence stays (see ``removals`` and ``groups``). Lines
     without letters or signs are no lines: they stay and count for nothing. A null text stays null; repeated rows are
     separate documents, of which the first keeps its lines; an empty table stays so. The documents are written once
     with row numbers, then only those with lines to remove move, in one join with the positions.
     """
     rows = number_rows(docs)
-    gone = materialize(removals(rows, similarity))
+    gone = materialize(removals(rows, similarity, ends))
     asked = _perhaps(rows, gone, "rid")
     moved = asked.filter("perhaps").drop("perhaps").join(gone, "rid", "left")
     whole = moved.unionByName(asked.filter("NOT perhaps").drop("perhaps"), allowMissingColumns=True)
@@ -183,12 +215,12 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def drop_emptied(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without repeated lines; documents all of whose lines were repeats go, those that had none stay."""
-    got = deduplicate(docs, similarity).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    got = deduplicate(docs, similarity, ends=True).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     out = got.select("row.*")
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
 @query("op9_fuzzy_lines")
 def op9(spark, sf_dir):
-    got = deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), ends=True)
     return got.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("text_sha256"))

@@ -1,6 +1,6 @@
 import random
 
-from tandemrank.llm.lines import BITS_APART, _verified, deduplicate, drop_emptied, simhashes
+from tandemrank.llm.lines import BITS_APART, _verified, deduplicate, drop_emptied, groups, simhashes
 
 
 def norm(x):
@@ -96,3 +96,22 @@ def test_edit_similarity_without_common_words(spark):
     got = {(x.a, x.b) for x in _verified(spark.createDataFrame(pairs, "a string, b string"), df, 0.8).collect()}
     want = {(a, b) for a, b in pairs for x, y in [(texts[int(a)], texts[int(b)])] if edits(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9)}
     assert got == want and len(want) > 5
+
+
+def test_one_changed_stretch_links_at_every_length(spark):
+    r = random.Random(11)
+    rows = []
+    for n in [*range(5, 40), 60, 90, 150, 300, 700]:
+        for _ in range(3):
+            a = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n - 2))
+            a, d = f"x{a}y", int(n * 0.2 + 1e-9)
+            cut, put = r.choice([(d, d), (d, 0), (1, 1), (1, 0), (d, r.randrange(d + 1))])
+            at = r.randrange(1, n - cut)
+            rows.append((a, a[:at] + "".join(r.choice("0123456789") for _ in range(put)) + a[at + cut :]))
+    lines = [(f"{i}{k}", x) for i, pair in enumerate(rows) for k, x in zip("ab", pair)]
+    df = spark.createDataFrame(lines, "h string, norm string")
+    root = {x.node: x.root for x in groups(df, ends=True).collect()}
+    missed = [pair for i, pair in enumerate(rows) if root.get(f"{i}a", 0) != root.get(f"{i}b", 1)]
+    assert not missed
+    before = {x.node: x.root for x in groups(df).collect()}
+    assert sum(f"{i}a" in before for i in range(len(rows))) < len(rows) / 2
