@@ -89,7 +89,7 @@ def kernel(texts: list[str | None], rows: np.ndarray, presence: np.ndarray, norm
 def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, count: int = LANDMARKS) -> Model | None:
     """Nyström landmarks and one-versus-rest ridge weights, from rows with crc32(doc_id) mod 5 <> 0 and a language.
 
-    The sample takes, of each language (the MOST_LANGS commonest), the ``per_lang`` texts with the smallest hashes, so
+    The sample takes, of each language (the MOST_LANGS commonest), the ``per_lang`` texts with the smallest low hash bits, so
     its size is bounded at any input size; copies of a text count once. The landmarks are a part of it, dealt evenly
     over the languages. Kernel rows are computed in tasks; the driver solves a system of ``count`` unknowns. None
     without a usable row.
@@ -98,16 +98,16 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, count: int = LANDMARK
     usable = docs.filter(train_row() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
         "lang", F.xxhash64("text").alias("h"), "text"
     )
-    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    hashes = materialize(usable.select("lang", "h").distinct())
+    common = hashes.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
     if not common:
         return None
-    # Of each language about the 2 * per_lang smallest hashes go on, so that no task gathers more than the sample.
-    below = F.create_map(*[F.lit(x) for r in common for x in (r["lang"], min(1.0, 2 * per_lang / r["count"]))])[F.col("lang")]
-    first = Window.partitionBy("lang").orderBy("h")
-    keys = (
-        usable.filter(F.pmod("h", F.lit(1 << 30)) < below * (1 << 30)).select("lang", "h").distinct()
-        .withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= per_lang)
-    )
+    # About 2 * per_lang + 100 of a language's distinct hashes go on, so that no task gathers much more than the sample.
+    # They are the first in the order of the window: what is left out would not be taken.
+    below = F.create_map(*[F.lit(x) for r in common for x in (r["lang"], min(1.0, (2 * per_lang + 100) / r["count"]))])[F.col("lang")]
+    low = F.pmod("h", F.lit(1 << 30))
+    first = Window.partitionBy("lang").orderBy(low, "h")
+    keys = hashes.filter(low < below * (1 << 30)).withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= per_lang)
     keys = materialize(keys)  # at most MOST_LANGS * per_lang rows: a proven bound for the broadcast
     sample = materialize(
         usable.join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h", "nth").agg(F.min("text").alias("text"))

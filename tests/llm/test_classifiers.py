@@ -84,3 +84,12 @@ def test_language_learns_and_rejects(docs):
     assert kept.columns == d.columns and kept.count() == 82
     assert language.predict(docs([(1, "abc", None)]), language.train(docs([(1, "abc", None)]))).first().lang_pred == "und"
     assert language.predict(docs([]), language.train(docs([]))).count() == 0
+
+
+def test_a_language_of_copies_is_learnt(docs):
+    ids = [i for i in range(4000) if not held(i)]
+    copies = [(i, "eux oui nous", "fr") for i in ids[:2500]] + [(i, f"eux oui {i}", "fr") for i in ids[2500:2502]]
+    model = language.train(docs(copies + [(i, f"the river {i}", "en") for i in ids[2600:2640]]), per_lang=3, count=6)
+    assert model.langs == ["en", "fr"] and len(model.norms) == 6
+    for text in ["eux oui nous", "one", "two words", "der die das"]:
+        assert language.train(docs([(i, text, "fr") for i in ids[:2500]]), per_lang=3).langs == ["fr"]
