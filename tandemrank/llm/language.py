@@ -170,8 +170,13 @@ def _predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents whose language is recognised, with all their columns: those without letters go."""
+    """The documents with letters, with all their columns: those whose language nothing could tell go.
+
+    Also without a model, as of a corpus without a language to learn from, all documents with letters stay.
+    """
     model = train(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))  # as _LETTER
     packed = docs.select(F.struct("*").alias("row"), "text")
     return _predict(packed, model).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
 

@@ -93,3 +93,14 @@ def test_a_language_of_copies_is_learnt(docs):
     assert model.langs == ["en", "fr"] and len(model.norms) == 6
     for text in ["eux oui nous", "one", "two words", "der die das"]:
         assert language.train(docs([(i, text, "fr") for i in ids[:2500]]), per_lang=3).langs == ["fr"]
+
+
+def test_documents_with_letters_stay_without_a_model(docs):
+    texts = [(1, "abc"), (2, "12 !?"), (3, None), (4, ""), (None, "über"), (5, "x\u00b2"), (6, "\u00b2"), (7, "\n\n語")]
+    want = sorted(str(i) for i, t in texts if t and language._LETTER.search(t))
+    unlabelled = [(i, t, None) for i, t in texts]
+    out = [(i, t, "en") for i in range(50) if held(i) for t in ["in the held-out fifth"]]
+    for rows, more in ((unlabelled, []), (unlabelled + out, [str(i) for i, _, _ in out])):
+        d = docs(rows)
+        kept = language.keep_known(d)
+        assert kept.columns == d.columns and sorted(str(x.doc_id) for x in kept.collect()) == sorted(want + more)
