@@ -6,7 +6,7 @@ import importlib
 
 from tandemrank.llm.registry import QUERIES, SQL
 
-MODULES = ["neighbours", "media", "jaccard", "lines", "mixing", "quality", "pieces", "language", "secrets", "sharding", "lexical", "variants"]
+MODULES = ["neighbours", "media", "jaccard", "lines", "mixing", "quality", "pieces", "language", "secrets", "sharding", "lexical", "variants", "archives"]
 
 
 def load():
