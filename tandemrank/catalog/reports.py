@@ -17,7 +17,7 @@ from tandemrank.frame import finite_pairs
 from tandemrank.functions import formula as fm
 from tandemrank.functions import scalars as sc
 from tandemrank.functions import tensors as fn
-from tandemrank.operators import audit, models, overlap, portfolio, sampling
+from tandemrank.operators import audit, baselines, models, overlap, portfolio, sampling
 from tandemrank.operators.rank import rank_both
 from tandemrank.plans import tables
 from tandemrank.session import materialize
@@ -36,9 +36,16 @@ gm AS (SELECT train_source, seed, grp, list(m ORDER BY x) AS m FROM comp GROUP B
 own AS (SELECT source AS eval_source, seed, grp, x, avg(t[x]) AS m FROM sd, range(1, 28) r(x) WHERE NOT test GROUP BY ALL),
 gs AS (SELECT eval_source, seed, grp, list(m ORDER BY x) AS m FROM own GROUP BY ALL),
 z AS (SELECT [0.0 for i in range(27)] AS z),
-pred AS (SELECT 'zero' AS model, tx.*, z AS p FROM tx, z
-  UNION ALL SELECT 'group_mean', tx.*, coalesce(gm.m, z) FROM tx CROSS JOIN z LEFT JOIN gm ON gm.train_source = tx.train_source AND gm.seed = tx.seed AND gm.grp = tx.grp
-  UNION ALL SELECT 'source_group_mean', tx.*, coalesce(gs.m, z) FROM tx CROSS JOIN z LEFT JOIN gs ON gs.eval_source = tx.eval_source AND gs.seed = tx.seed AND gs.grp = tx.grp WHERE tx.train_source = 'pooled'),
+rx AS (SELECT vec_id AS id, CAST(embedding[28] AS DOUBLE) AS x, CASE WHEN vec_id % 2 = 0 THEN 1.0 ELSE 0.0 END AS k FROM embeddings),
+sums AS (SELECT train_source, seed, c, avg(x) AS mx, avg(k) AS mk, avg(t[c]) AS my, count(*) * var_pop(x) + 1 AS xx, count(*) * covar_pop(x, k) AS xk, count(*) * var_pop(k) + 0.5 AS kk,
+  count(*) * covar_pop(x, t[c]) AS xy, count(*) * covar_pop(k, t[c]) AS ky FROM tr JOIN rx USING (id), range(1, 28) r(c) GROUP BY ALL),
+lines AS (SELECT *, 'ridge' AS model, xy / xx AS bx, 0.0 AS bk FROM sums UNION ALL SELECT *, 'source_token_ridge', (xy * kk - xk * ky) / (xx * kk - xk * xk), (ky * xx - xk * xy) / (xx * kk - xk * xk) FROM sums),
+rp AS (SELECT model, tx.id, tx.train_source, tx.eval_source, tx.split, tx.seed, any_value(tx.t) AS t, any_value(tx.grp) AS grp, list(my + bx * (rx.x - mx) + bk * (rx.k - mk) ORDER BY c) AS p
+  FROM tx JOIN rx USING (id) JOIN lines s ON s.train_source = tx.train_source AND s.seed = tx.seed GROUP BY ALL),
+pred AS (SELECT model, id, grp, t, seed, eval_source, train_source, split, [(p[9 * (i // 9) + 3 * ((i // 3) % 3) + i % 3 + 1] + p[9 * (i // 9) + 3 * (i % 3) + (i // 3) % 3 + 1]) / 2 for i in range(27)] AS p FROM rp UNION ALL
+  SELECT 'zero' AS model, tx.id, grp, t, seed, eval_source, train_source, split, z AS p FROM tx, z
+  UNION ALL SELECT 'group_mean', tx.id, tx.grp, tx.t, tx.seed, tx.eval_source, tx.train_source, tx.split, coalesce(gm.m, z) FROM tx CROSS JOIN z LEFT JOIN gm ON gm.train_source = tx.train_source AND gm.seed = tx.seed AND gm.grp = tx.grp
+  UNION ALL SELECT 'source_group_mean', tx.id, tx.grp, tx.t, tx.seed, tx.eval_source, tx.train_source, tx.split, coalesce(gs.m, z) FROM tx CROSS JOIN z LEFT JOIN gs ON gs.eval_source = tx.eval_source AND gs.seed = tx.seed AND gs.grp = tx.grp WHERE tx.train_source = 'pooled'),
 err AS (SELECT model, train_source, eval_source, split, seed, {dsql('t', 'p')} AS a, {dsql('t', 'p')} / (0.5 * ({nsql('t')} + {nsql('p')}) + 1e-6) AS nm,
   list_sum([abs(t[i] - p[i]) for i in range(1, 28)]) / 27 AS c, list_dot_product(t, p) / ({nsql('t')} * {nsql('p')} + 1e-12) AS cs FROM pred),
 met AS (SELECT model, train_source, eval_source, split, seed, count(*) AS n_test, avg(a) AS absolute_error, avg(nm) AS normalized_error, avg(c) AS component_mae, avg(cs) AS cosine
@@ -48,14 +55,17 @@ board AS (SELECT model, train_source, eval_source, split, count(DISTINCT seed) A
 
 
 def records(spark, sf):
-    return tensors(spark, sf).selectExpr("id", "IF(id % 2 = 0, 'left', 'right') AS source", "grp", "t")
+    rows = table(spark, sf, "embeddings").selectExpr("vec_id AS id", "array(double(embedding[27])) AS x")
+    rows = tensors(spark, sf).selectExpr("id", "IF(id % 2 = 0, 'left', 'right') AS source", "grp", "t").join(rows, "id")
+    return baselines.with_token(rows, "source", ["left", "right"], "x", "xs")
 
 
 def matrix(spark, sf):
     from tandemrank.operators.resample import counter_hash
 
-    return models.baseline_matrix(
-        records(spark, sf), "id", "source", "grp", "t", [0, 1, 2], f"{counter_hash('seed', 'id')} % 5 = 0"
+    return baselines.baseline_matrix(
+        records(spark, sf), "id", "source", "grp", "t", [0, 1, 2], f"{counter_hash('seed', 'id')} % 5 = 0",
+        ridges={"ridge": "x", "source_token_ridge": "xs"},
     )
 
 
@@ -112,29 +122,52 @@ def _(spark, sf):
     return out.select("model", "train_source", "eval_source", "split", "valid")
 
 
-GAPS = """gaps AS (SELECT scope, id, gap FROM (SELECT id, dist, abs("left" - "right") AS gap FROM f WHERE metric = 'a'), (SELECT unnest(['all', 'near']) AS scope) WHERE scope = 'all' OR dist <= 20)"""
+GAPS = """gaps AS (SELECT metric || ' ' || scope AS scope, id, gap FROM (SELECT metric, id, dist, abs("left" - "right") AS gap FROM f), (SELECT unnest(['all', 'near']) AS scope) WHERE scope = 'all' OR dist <= 20)"""
 
 
 def gap_rows(spark, sf):
-    rows = finite_pairs(long_pairs(spark, sf)).filter("metric = 'a'")
-    return rows.selectExpr("id", "abs(`left` - `right`) AS gap", "explode(IF(dist <= 20, array('all', 'near'), array('all'))) AS scope")
+    rows = finite_pairs(long_pairs(spark, sf))
+    return rows.selectExpr("metric", "id", "abs(`left` - `right`) AS gap", "explode(IF(dist <= 20, array('all', 'near'), array('all'))) AS scope").selectExpr(
+        "metric || ' ' || scope AS scope", "id", "gap"
+    )
 
 
-@query(
-    "gap_ratios",
-    f"""WITH {REC}, {F_LONG.strip()}, {GAPS}, {draws_sql('gaps', 'id', by='scope')},
-    e AS (SELECT model, avg(absolute_error) AS me, median(absolute_error) AS md FROM met WHERE split = 'in_source' GROUP BY model),
-    s AS (SELECT scope, count(*) AS n_pairs, avg(gap) AS mg, median(gap) AS dg FROM gaps GROUP BY scope),
-    b AS (SELECT gaps.scope, rep, sum(w * gap) / sum(w) AS m FROM gaps JOIN draws d ON d.scope = gaps.scope AND d.unit = gaps.id GROUP BY ALL),
-    ci AS (SELECT scope, quantile_cont(m, 0.025) AS lo FROM b GROUP BY scope)
-    SELECT model, scope, n_pairs, round(mg / (me + 1e-12), 4) + 0.0 AS ratio_mean, round(dg / (md + 1e-12), 4) + 0.0 AS ratio_median, round(lo / (me + 1e-12), 4) + 0.0 AS ratio_mean_low
-    FROM e CROSS JOIN s JOIN ci USING (scope)""",
-)
+RATIO_COLUMNS = [f"{s}_{k}{x}" for k in ("gap", "ratio") for s in ("mean", "median") for x in ("", "_low", "_high")]
+RATIO_COLUMNS = [c if "gap" in c else "ratio_" + c.replace("_ratio", "") for c in RATIO_COLUMNS]
+RATIO_COLUMNS += ["mean_error", "median_error", *[f"{c}_normalized" for c in ["mean_error", "median_error", *[c for c in RATIO_COLUMNS if "ratio" in c]]]]
+
+
+def both_sides_sql() -> str:
+    """Each model's errors and each scope's gaps drawn on their own, then divided replicate by replicate."""
+    mid = "(max(v) FILTER (WHERE f <= (m - 1) // 2 AND (m - 1) // 2 < c) + max(v) FILTER (WHERE f <= m // 2 AND m // 2 < c)) / 2"
+
+    def side(name: str, source: str, unit: str, value: str) -> str:
+        return f"""
+{name}_w AS (SELECT s.k, rep, w, {value} AS v, sum(w) OVER o AS c, sum(w) OVER o - w AS f, sum(w) OVER (PARTITION BY s.k, rep) AS m
+  FROM {source} s JOIN {name}_d d ON d.k = s.k AND d.unit = s.{unit} WINDOW o AS (PARTITION BY s.k, rep ORDER BY {value}, s.{unit} ROWS UNBOUNDED PRECEDING)),
+{name}_r AS (SELECT k, rep, sum(w * v) / sum(w) AS mean, {mid} AS med FROM {name}_w GROUP BY k, rep)"""
+
+    ci = lambda x, n: f"quantile_cont({x}, 0.025) AS {n}_low, quantile_cont({x}, 0.975) AS {n}_high"
+    return f"""WITH {REC}, {F_LONG.strip()}, {GAPS}, g AS (SELECT scope AS k, id, gap FROM gaps),
+e AS (SELECT model || '|' || train_source || '|' || kind AS k, model, train_source, kind, eval_source || '|' || seed AS unit, CASE kind WHEN 'a' THEN absolute_error ELSE normalized_error END AS error
+  FROM met, (SELECT unnest(['a', 'n']) AS kind) WHERE split = 'in_source'),
+{draws_sql('g', 'id', by='k', name='g_d').strip()}, {draws_sql('e', 'unit', by='k', seed=SEED + 1, name='e_d').strip()}, {side('g', 'g', 'id', 'gap').strip()}, {side('e', 'e', 'unit', 'error').strip()},
+gp AS (SELECT k, count(*) AS n_pairs, avg(gap) AS mean_gap, median(gap) AS median_gap FROM g GROUP BY k),
+gc AS (SELECT k, {ci('mean', 'mean_gap')}, {ci('med', 'median_gap')} FROM g_r GROUP BY k),
+es AS (SELECT k, any_value(model) AS model, any_value(train_source) AS train_source, any_value(kind) AS kind, count(*) AS n_errors, avg(error) AS me, median(error) AS de FROM e GROUP BY k),
+rc AS (SELECT e_r.k, g_r.k AS scope, {ci('g_r.mean / (e_r.mean + 1e-12)', 'rm')}, {ci('g_r.med / (e_r.med + 1e-12)', 'rd')} FROM e_r JOIN g_r USING (rep) GROUP BY ALL),
+flat AS (SELECT model, train_source, scope, kind, n_pairs, n_errors, mean_gap, mean_gap_low, mean_gap_high, median_gap, median_gap_low, median_gap_high, me, de,
+  mean_gap / (me + 1e-12) AS rm, rm_low, rm_high, median_gap / (de + 1e-12) AS rd, rd_low, rd_high FROM es JOIN rc USING (k) JOIN gp ON gp.k = rc.scope JOIN gc ON gc.k = rc.scope)
+SELECT a.model, a.train_source, a.scope, a.n_pairs, a.n_errors, n.n_errors AS n_errors_normalized, {', '.join(f'round(a.{c}, 4) + 0.0 AS {c}' for c in RATIO_COLUMNS[:6])},
+  {', '.join(f'round({s}.{c}, 4) + 0.0 AS {o}{x}' for s, x in (('a', ''), ('n', '_normalized')) for c, o in (('me', 'mean_error'), ('de', 'median_error'), *[(f'r{m[0]}{y}' if m == 'mean' else f'rd{y}', f'ratio_{m}{y}') for m in ('mean', 'median') for y in ('', '_low', '_high')]))}
+FROM flat a JOIN flat n USING (model, train_source, scope) WHERE a.kind = 'a' AND n.kind = 'n'"""
+
+
+@query("gap_ratios", both_sides_sql())
 def _(spark, sf):
-    errors = matrix(spark, sf).filter("split = 'in_source'").selectExpr("model", "absolute_error AS error")
+    errors = matrix(spark, sf).filter("split = 'in_source'").selectExpr("model", "train_source", "eval_source || '|' || seed AS unit", "absolute_error", "normalized_error")
     out = models.gap_ratios(errors, gap_rows(spark, sf), B, SEED)
-    return rounded(out.select("model", "scope", "n_pairs", "ratio_mean", "ratio_median", "ratio_mean_low"),
-                   "ratio_mean", "ratio_median", "ratio_mean_low", digits=4)
+    return rounded(out, *RATIO_COLUMNS, digits=4)
 
 
 @query("smallest_gap", f"""WITH {REC}, {F_LONG.strip()}, {GAPS}
@@ -192,6 +225,25 @@ def _(spark, sf):
     return models.error_summary(out.selectExpr("'ridge' AS model", "t", f"{fn.symmetrize('pred')} AS pred"), ["model"], "t", "pred")
 
 
+@query("structural_ridge")
+def _(spark, sf):
+    """Composition, pair-distance and source-token features, lifted to random cosines, for every source pair and seed."""
+    from tandemrank.operators.resample import counter_hash
+
+    parts = fm.composition(formulas(spark, sf), "formula").filter("fractions IS NOT NULL").selectExpr("id", "fractions AS f")
+    axes = [f"IF({3 * k} + {{}} < 63, double(embedding[{3 * k} + {{}}]) * 20, NULL)" for k in range(21)]
+    points = table(spark, sf, "embeddings").selectExpr(
+        "vec_id AS id", "inline(array(" + ", ".join(f"named_struct('k', {k}, 'x0', {a.format(0, 0)}, 'x1', {a.format(1, 1)}, 'x2', {a.format(2, 2)})" for k, a in enumerate(axes)) + "))"
+    )
+    shares = materialize(baselines.distance_features(points, "id", "k", ["x0", "x1", "x2"]))
+    rows = baselines.with_distance_features(records(spark, sf).drop("x", "xs").join(parts, "id"), shares, "id", "f")
+    rows = models.fourier_features(baselines.with_token(rows, "source", ["left", "right"], "f", "ft"), "ft", 116, 256, 0.05, 42, "z")
+    out = baselines.baseline_matrix(
+        rows.drop("f", "ft"), "id", "source", "grp", "t", [0, 1, 2], f"{counter_hash('seed', 'id')} % 5 = 0", ridges={"structural_ridge": "z"}
+    )
+    return out.filter("model = 'structural_ridge'")
+
+
 @query("nested_regression")
 def _(spark, sf):
     df = fm.prototype(fm.composition(formulas(spark, sf), "formula"), "formula")

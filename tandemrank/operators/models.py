@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tandemrank.functions import tensors as fn
 from tandemrank.operators.quantile import ascending, quantile_at, quantiles
 from tandemrank.operators.resample import bootstrap_means, bootstrap_medians, percentile_ci
-from tandemrank.session import bounded, materialize
+from tandemrank.session import bounded, materialize, with_each
 
 KEY = ["model", "train_source", "eval_source", "split"]
 
@@ -65,43 +65,6 @@ def group_mean_baseline(
     return rows.selectExpr(*[f"`{c}`" for c in test.columns], f"coalesce(_mean, array_repeat(0D, {size})) AS pred")
 
 
-def baseline_matrix(
-    records: DataFrame, id: str, source: str, group: str, t: str, folds: Sequence[int], fold_text: str, size: int = 27
-) -> DataFrame:
-    """Metrics of the zero, group-mean and source-specific group-mean baselines for every (train source, eval
-    source, seed); the test fold of each seed is held out of training. One pass per baseline over all keys."""
-    seeds = ", ".join(str(s) for s in folds)
-    rows = records.selectExpr("*", f"explode(array({seeds})) AS seed").selectExpr("*", f"{fold_text} AS _test")
-    sources = records.agg(F.collect_set(source).alias("sources")).scalar()
-    train = rows.filter("NOT _test").selectExpr(
-        "*", f"inline(array(named_struct('train_source', `{source}`), named_struct('train_source', 'pooled')))"
-    )
-    test = rows.filter("_test").select(
-        f"`{id}`", f"`{group}`", f"`{t}`", "seed", F.col(source).alias("eval_source"),
-        F.explode(F.concat(sources, F.array(F.lit("pooled")))).alias("train_source"),
-    )
-    test = test.withColumn(
-        "split", F.expr("CASE WHEN train_source = 'pooled' THEN 'pooled' WHEN train_source = eval_source THEN 'in_source' ELSE 'held_out' END")
-    )
-    key = ["train_source", "eval_source", "split", "seed"]
-    own = train.filter("train_source = 'pooled'").selectExpr(
-        f"`{group}`", f"`{t}`", "seed", f"`{source}` AS eval_source"
-    )
-    parts = {
-        "zero": zero_baseline(test, size),
-        "group_mean": group_mean_baseline(train, test, ["train_source", "seed"], group, t, size),
-        "source_group_mean": group_mean_baseline(own, test, ["eval_source", "seed"], group, t, size).filter(
-            "train_source = 'pooled'"
-        ),
-    }
-    out = None
-    for name, pred in parts.items():
-        part = error_summary(pred, key, t, "pred").withColumn("model", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    n_train = train.groupBy("train_source", "seed").agg(F.expr("count(*) AS n_train"))
-    return out.join(n_train, ["train_source", "seed"], "left")
-
-
 def leaderboard(metrics: DataFrame) -> DataFrame:
     """By model, sources and split: seeds, sizes of the first seed, means and sample deviations."""
     return metrics.groupBy(*KEY).agg(
@@ -140,33 +103,51 @@ def valid_models(board: DataFrame, baselines: Sequence[str]) -> DataFrame:
     )
 
 
-def gap_ratios(errors: DataFrame, gaps: DataFrame, reps: int, seed: int, id: str = "id") -> DataFrame:
-    """Mean / mean and median / median ratio of paired gaps to model errors per (model, scope), with an interval.
-
-    ``errors``: model, error (one row per model and seed: bounded). ``gaps``: scope, id, gap. The interval resamples
-    the gaps of each scope and divides by the fixed model error, so every ratio's interval is that of its own
-    statistic.
+def gap_ratios(
+    errors: DataFrame, gaps: DataFrame, reps: int, seed: int, id: str = "id", valid: DataFrame | None = None
+) -> DataFrame:
+    """Ratios of paired gaps to model errors per (model, train_source, scope), with both sides resampled.
+
+    ``errors``: model, train_source, unit (unique per model and source, such as source and seed), absolute_error,
+    normalized_error. ``gaps``: scope, id, gap. ``valid`` (model, train_source) keeps the named models alone. Replicate b of
+    a ratio divides replicate b of the gaps (stream ``seed``) by replicate b of that model's errors (stream ``seed + 1``):
+    means by means, medians by medians, so an interval carries the spread of both. Missing errors and gaps
+    are left out; a model without an error or a scope without a gap has no row. Only means and medians per
+    replicate meet, never rows; models and scopes are tables of any length.
     """
-    model = errors.groupBy("model").agg(
-        F.expr("avg(error) AS mean_error"), F.expr("percentile(error, 0.5) AS median_error")
-    )
-    gaps = materialize(gaps)
-    points = gaps.groupBy("scope").agg(F.expr("count(*) AS n_pairs"), F.expr("avg(gap) AS mean_gap")).join(
-        quantiles(gaps, ["scope"], "gap", id, {"median_gap": 0.5}), "scope"
+    by = ["model", "train_source", "kind"]
+    if valid is not None:
+        errors = errors.join(bounded(valid.select("model", "train_source").distinct()), ["model", "train_source"], "left_semi")
+    kinds = "stack(2, 'absolute', double(absolute_error), 'normalized', double(normalized_error)) AS (kind, error)"
+    long = materialize(errors.selectExpr("model", "train_source", "unit", kinds).filter("error IS NOT NULL AND NOT isnan(error)"))
+    gaps = materialize(gaps.select("scope", id, "gap").filter("gap IS NOT NULL AND NOT isnan(gap)"))
+    sides = {}
+    for name, df, key, value, unit, stream in (("error", long, by, "error", "unit", seed + 1), ("gap", gaps, ["scope"], "gap", id, seed)):
+        points = df.groupBy(*key).agg(F.expr("count(*) AS n"), F.expr(f"avg({value}) AS mean")).join(
+            quantiles(df, key, value, unit, {"median": 0.5}), key
+        )
+        draws = bootstrap_means(df, key, unit, [value], reps, stream, unit).withColumnRenamed(value, "mean_rep")
+        draws = draws.join(bootstrap_medians(df, key, value, reps, stream, unit).withColumnRenamed(value, "median_rep"), [*key, "rep"])
+        sides[name] = materialize(points), materialize(draws)
+    (error, error_reps), (gap, gap_reps) = sides["error"], sides["gap"]
+    own = gap.selectExpr("scope", "n AS n_pairs", "mean AS mean_gap", "median AS median_gap")
+    for s in ("mean", "median"):
+        own = own.join(percentile_ci(gap_reps, ["scope"], f"{s}_rep", reps, f"{s}_gap"), "scope")
+    own = materialize(own)
+    each = error.selectExpr(*by, "n AS n_errors", "mean AS mean_error", "median AS median_error")
+    points = with_each(each, own, "model").selectExpr(
+        "*", "mean_gap / (mean_error + 1e-12D) AS ratio_mean", "median_gap / (median_error + 1e-12D) AS ratio_median"
     )
-    means = percentile_ci(bootstrap_means(gaps, ["scope"], id, ["gap"], reps, seed, id), ["scope"], "gap", reps, "mean_gap")
-    meds = percentile_ci(bootstrap_medians(gaps, ["scope"], "gap", reps, seed, id), ["scope"], "gap", reps, "median_gap")
-    scopes = points.join(means, "scope").join(meds, "scope")
-    # The models are unfolded on every scope.
-    models = model.agg(F.collect_list(F.struct("model", "mean_error", "median_error")).alias("models")).scalar()
-    rows = scopes.select("*", F.inline(models))
-    ratio = "{g} / ({e} + 1e-12D) AS {o}"
-    return rows.selectExpr(
-        "model", "scope", "n_pairs", "mean_gap", "median_gap",
-        *[
-            ratio.format(g=f"{s}_gap{x}", e=f"{s}_error", o=f"ratio_{s}{x}")
-            for s in ("mean", "median") for x in ("", "_low", "_high")
-        ],
+    met = error_reps.withColumnsRenamed({"mean_rep": "_me", "median_rep": "_de"}).join(bounded(gap_reps), "rep")
+    met = met.selectExpr(*by, "scope", "mean_rep / (_me + 1e-12D) AS ratio_mean", "median_rep / (_de + 1e-12D) AS ratio_median")
+    key = [*by, "scope"]
+    for s in ("mean", "median"):
+        points = points.join(percentile_ci(met, key, f"ratio_{s}", reps, f"ratio_{s}"), key)
+    pick = lambda kind, c: F.expr(f"max(IF(kind = '{kind}', {c}, NULL)) AS {c}" + ("" if kind == "absolute" else "_normalized"))
+    gap_columns = ["n_pairs", *[f"{s}_gap{x}" for s in ("mean", "median") for x in ("", "_low", "_high")]]
+    per_kind = ["n_errors", "mean_error", "median_error", *[f"ratio_{s}{x}" for s in ("mean", "median") for x in ("", "_low", "_high")]]
+    return points.groupBy("model", "train_source", "scope").agg(
+        *[F.max(c).alias(c) for c in gap_columns], *[pick(k, c) for k in ("absolute", "normalized") for c in per_kind]
     )
 
 

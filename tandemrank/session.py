@@ -104,3 +104,20 @@ def spread_join(
         .drop("_hot")
     )
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def with_each(rows: DataFrame, values: DataFrame, spread: str, size: int = 1000) -> DataFrame:
+    """Each row of ``rows`` with each row of ``values`` (levels, sources, models, scopes): the grid that a report asks for.
+
+    ``values`` is written and packed into arrays of about ``size`` rows, so no single row or task holds all of them; every row
+    is sent to each block once and unfolds there.
+    """
+    values = materialize(values)
+    blocks = -(-values.count() // size)
+    if not blocks:
+        return rows.crossJoin(values.limit(0))
+    number = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in values.columns]), F.lit(blocks)).cast("int")
+    packed = values.groupBy(number.alias("_block")).agg(F.collect_list(F.struct("*")).alias("_values"))
+    sent = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = spread_join(sent, packed, ["_block"], spread)
+    return met.select(*rows.columns, F.inline("_values"))
