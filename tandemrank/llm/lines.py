@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +11,12 @@ from pyspark.sql.window import Window
 from tandemrank.llm.common import components, materialize, number_rows, table
 from tandemrank.llm.registry import query
 
-BITS_APART, SIMILARITY, FILTER_BITS = 3, 0.8, 24
-# Five blocks of the 64 bits: if at most 3 bits differ, two blocks are free of differences.
-BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+SIMILARITY, FILTER_BITS = 0.8, 24
+# Blocks of a line's SimHash, keys of two blocks each, blocks that a pair of lines shares at least, letters of a long word.
+BLOCKS, TREES, SHARED, LONG_WORD = 8, 4, 3, 5
+# Lines below SHORT characters have few words: they also meet by their ends. A bucket of more than CROWD lines is cut by
+# further blocks; DEPTHS are the numbers of blocks in turn, and at the last HUBS centres are tried.
+SHORT, CROWD, DEPTHS, HUBS = 80, 32, (2, 3, 4, 6, 8), 8
 
 
 def normal(line: Column) -> Column:
@@ -33,7 +35,7 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def _ends(similarity: float) -> dict[str, Column]:
-    """Negative keys of the first and of the last m characters of ``norm``, for two neighbouring powers m of 1 / similarity.
+    """Keys of the first and of the last m characters of ``norm``, for two neighbouring powers m of 1 / similarity.
 
     Lengths of similar lines differ by at most one power, so two such lines have keys of the same m, at most
     similarity / 2 of the longer one. A changed stretch of 1 - similarity of it leaves m characters whole at one end. Null
@@ -44,45 +46,44 @@ def _ends(similarity: float) -> dict[str, Column]:
     for up in (0, 1):
         m = F.floor(F.pow(F.lit(1 / similarity), k + up)).cast("int")
         for side, part in (("first", F.substring("norm", F.lit(1), m)), ("last", F.substring("norm", F.col("len") - m + 1, m))):
-            key = F.xxhash64(k + up, F.lit(side), part).bitwiseOR(F.lit(-(1 << 63)))
+            key = F.xxhash64(k + up, F.lit(side), part)
             out[f"{side}{up}"] = F.when(m > 0, key)
     return out
 
 
 def simhashes(lines: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
-    """``(h, len, sim)`` of each distinct line: bit b of ``sim`` is set if most of its distinct words' hashes have it set.
+    """``(h, len, b0, b1, ...)`` of each distinct line: the blocks of its SimHash, 31 signs each.
 
-    Words are counted by 32 sums that hold two bits each, 32 bits apart, so a word costs 32 additions in generated
-    code; copies of a line only scale all counts. Words combine before the shuffle, which has one row per line and task.
+    A sign of a SimHash is that of the weighted sum of the words' hashed signs. Each block has weights of its own, which fall
+    so steeply from word to word that the heaviest word turns all signs of the block, words of LONG_WORD letters or more
+    before shorter ones. So a changed word disturbs the blocks it is heaviest in and leaves the others whole, where even
+    weights would turn some signs in every block. Words combine before the shuffle, which has one row per line and task.
     ``more`` are further numbers of each line, from its ``norm`` and ``len``.
     """
     more = more or {}
     whole = lines.select("h", "norm", F.length("norm").alias("len")).select("*", *[c.alias(n) for n, c in more.items()])
-    words = whole.select("h", "len", *more, F.explode(F.array_distinct(F.split("norm", " "))).alias("w"))
-    words = words.filter("w <> ''").select("h", "len", *more, F.xxhash64("w").alias("x"))
-    lane = [F.sum(F.shiftrightunsigned("x", j).bitwiseAND(F.lit(0x100000001))).alias(f"s{j}") for j in range(32)]
-    sums = words.groupBy("h", "len").agg(F.count("*").alias("n"), *lane, *[F.min(n).alias(n) for n in more])
-    bit = lambda on, b: F.when(on * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
-    half = F.lit(0xFFFFFFFF).cast("bigint")
-    sim = None
-    for j in range(32):
-        two = bit(F.col(f"s{j}").bitwiseAND(half), j).bitwiseOR(bit(F.shiftrightunsigned(f"s{j}", 32), j + 32))
-        sim = two if sim is None else sim.bitwiseOR(two)
-    return sums.select("h", "len", sim.alias("sim"), *more)
+    words = whole.select("h", "len", *more, F.explode(F.split("norm", " ")).alias("w")).filter("w <> ''")
+    words = words.select("h", "len", *more, (F.length("w") < LONG_WORD).alias("short"), F.xxhash64("w").alias("x"))
+    order = F.when(F.col("short"), F.lit(-(1 << 63))).otherwise(F.lit(0).cast("bigint"))
+    heaviest = [F.max(F.shiftrightunsigned(F.xxhash64("x", F.lit(g)), 1).bitwiseOR(order)).alias(f"b{g}") for g in range(BLOCKS)]
+    sums = words.groupBy("h").agg(F.max("len").alias("len"), *heaviest, *[F.max(n).alias(n) for n in more])
+    signs = [F.col(f"b{g}").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias(f"b{g}") for g in range(BLOCKS)]
+    return sums.select("h", "len", *signs, *more)
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    """``df`` once for each pair of blocks of ``sim``, with their bits and the pair's number as ``key``."""
-    cut = lambda b: F.shiftrightunsigned("sim", BLOCKS[b][0]).bitwiseAND(F.lit((1 << BLOCKS[b][1]) - 1))
-    keys = [
-        F.shiftleft(F.shiftleft(cut(a), 13).bitwiseOR(cut(b)), 4).bitwiseOR(F.lit(i).cast("bigint"))
-        for i, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))
-    ]
-    return df.select("*", F.explode(F.array(*keys)).alias("key"))
+B = [f"b{g}" for g in range(BLOCKS)]
 
 
-def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def _block(tree: Column, depth: int) -> Column:
+    """The block that stands at ``depth`` (from 0) in a tree's own order of all blocks."""
+    return F.element_at(F.array(*B), F.pmod(tree * 2 + depth, F.lit(BLOCKS)) + 1)
+
+
+def _keyed(sims: DataFrame, ends: list[str]) -> DataFrame:
+    """``sims`` once for each key: two blocks of each tree, and the ends of short lines, a tree for either end."""
+    keys = [F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), f"b{2 * t}", f"b{2 * t + 1}").alias("key")) for t in range(TREES)]
+    keys += [F.when(F.col(e).isNotNull(), F.struct(F.lit(TREES + i % 2).alias("tree"), F.col(e).alias("key"))) for i, e in enumerate(ends)]
+    return sims.select("h", "len", *B, F.explode(F.array_compact(F.array(*keys))).alias("k")).select("h", "len", *B, "k.tree", "k.key")
 
 
 def _allowed(a: str, b: str, similarity: float) -> Column:
@@ -91,9 +92,10 @@ def _allowed(a: str, b: str, similarity: float) -> Column:
 
 
 def _close(similarity: float) -> Column:
-    """What can be asked of a pair without its texts: a common key, SimHash distance unless it is one of an end, lengths."""
+    """What can be asked of two lines of a bucket without their texts: common blocks (of long lines) and lengths."""
+    common = sum((F.when(F.col(f"a.{c}") == F.col(f"b.{c}"), 1).otherwise(0) for c in B), F.lit(0))
     return (
-        (F.col("a.key") == F.col("b.key")) & ((F.col("a.key") < 0) | (_apart("a.sim", "b.sim") <= BITS_APART))
+        (F.col("a.key") == F.col("b.key")) & ((F.least("a.len", "b.len") < SHORT) | (common >= SHARED))
         & (F.abs(F.col("a.len") - F.col("b.len")) <= _allowed("a.len", "b.len", similarity))
     )
 
@@ -134,42 +136,53 @@ def _perhaps(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return near.withColumn("perhaps", F.coalesce(hit, F.lit(False))).drop("_cell", "_bits")
 
 
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """``keyed`` rows that share their key, with the number ``n`` of such rows and the bucket's smallest line as ``hub``."""
+    counted = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("h", "len", *B)).alias("hub")).filter("n > 1")
+    shared = materialize(counted)
+    kept = _perhaps(keyed, shared, "key").filter("perhaps").drop("perhaps")
+    return materialize(kept.join(shared, "key"))
+
+
 def groups(lines: DataFrame, similarity: float = SIMILARITY, ends: bool = False) -> DataFrame:
     """``(node, root)`` of the distinct lines that belong to a connected group of unequal lines.
 
-    ``lines`` has ``h`` and ``norm``. Two lines are linked if their SimHashes differ in at most BITS_APART bits and their
-    edit similarity is at least ``similarity``; with ``ends`` also those of that edit similarity that begin or end alike
-    (see ``_ends``), whatever their SimHashes. First each bucket's smallest line is compared with the others (a star),
-    then only lines whose groups still differ, so a group of near copies emits no square of links; its connected
-    groups are those of all links.
+    ``lines`` has ``h`` and ``norm``. Lines that share two blocks of a tree are compared: their edit similarity must be at
+    least ``similarity``. With ``ends``, lines below SHORT characters that begin or end alike are compared as well (see
+    ``_ends``). In each bucket all lines are first compared with one, the hub, so a group of near copies makes no square
+    of comparisons. Of buckets of up to CROWD lines those whose groups still differ are then compared with each other. In
+    larger ones the lines not linked to the hub go on to smaller buckets, of more blocks of the tree (DEPTHS); those that
+    share all blocks try up to HUBS hubs and are then compared with each other. Groups are the connected ones of all links.
     """
-    more = _ends(similarity) if ends else {}
-    sims = materialize(simhashes(lines, more))
-    counted = sims.groupBy("sim").agg(F.count("*").alias("n"))
-    met = F.count("*").over(Window.partitionBy("key"))
-    crowded = _keyed(counted.select("sim")).withColumn("met", met).filter("met > 1").select("sim")
-    crowded = crowded.union(counted.filter("n > 1").select("sim")).distinct()
-    near = _keyed(sims.select("h", "len", "sim").join(crowded, "sim", "left_semi"))
-    if ends:
-        each = sims.select("h", "len", "sim", F.explode(F.array(*more)).alias("key")).filter("key IS NOT NULL")
-        shared = materialize(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
-        each = _perhaps(each, shared, "key").filter("perhaps").drop("perhaps")
-        near = near.unionByName(each.join(shared, "key", "left_semi"))
-    near = materialize(near)
-    close = _close(similarity)
-    partner = near.alias("a").join(near.alias("b"), close & (F.col("a.h") != F.col("b.h")), "left_semi")
-    wanted = materialize(partner.select("h", "len", "sim").distinct())
+    own = {n: F.when(F.col("len") < SHORT, c) for n, c in _ends(similarity).items()} if ends else {}
+    sims = materialize(simhashes(lines, own))
+    near = _buckets(_keyed(sims, list(own)))
+    wanted = materialize(near.select("h", "len").distinct())
     asked = _perhaps(lines.select("h", "norm"), wanted, "h").filter("perhaps").drop("perhaps")
     texts = materialize(asked.groupBy("h").agg(F.first("norm").alias("norm")).join(wanted, "h").select("h", "len", "norm"))
-    keyed = _keyed(wanted)
-    if ends:
-        keyed = keyed.unionByName(near.filter("key < 0").join(wanted.select("h"), "h", "left_semi"))
-    keyed = materialize(keyed)
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("h", "sim", "len")).alias("hub")).select("key", "hub.*")
-    star = keyed.alias("a").join(hubs.alias("b"), close & (F.col("a.h") != F.col("b.h"))).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"))
-    star = materialize(_verified(star, texts, similarity))
+    close, links, small, step = _close(similarity), [], [], 0
+    while True:
+        hubs = near.filter(F.col("h") == F.col("hub.h")).select("key", "hub.*").distinct()
+        star = near.alias("a").join(hubs.alias("b"), close & (F.col("a.h") != F.col("b.h"))).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"))
+        links.append(materialize(_verified(star, texts, similarity)))
+        last = step >= len(DEPTHS) - 2 + HUBS
+        small.append(near if last else near.filter(F.col("n") <= CROWD))
+        crowded = near.filter((F.col("n") > CROWD) & (F.col("h") != F.col("hub.h")))
+        if last or crowded.limit(1).count() == 0:
+            break
+        done = links[-1].select(F.col("a").alias("h"), F.col("b").alias("_hub"))
+        open_ = crowded.join(done, (crowded["h"] == done["h"]) & (F.col("hub.h") == F.col("_hub")), "left_anti")
+        further = DEPTHS[step : step + 2] if step + 1 < len(DEPTHS) else ()
+        key = F.xxhash64("key", *[_block(F.col("tree"), d) for d in range(*further)]) if further else F.col("key")
+        near, step = _buckets(open_.select("h", "len", *B, "tree", key.alias("key"))), step + 1
+    star = links[0]
+    for more in links[1:]:
+        star = star.union(more)
     first = components(star)
-    known = materialize(keyed.join(first, F.col("h") == F.col("node"), "left").select("key", "h", "sim", "len", F.coalesce("root", "h").alias("root")))
+    known = small[0]
+    for more in small[1:]:
+        known = known.union(more)
+    known = materialize(known.join(first, F.col("h") == F.col("node"), "left").select("key", "h", "len", *B, F.coalesce("root", "h").alias("root")))
     across = known.alias("a").join(known.alias("b"), close & (F.col("a.h") < F.col("b.h")) & (F.col("a.root") != F.col("b.root")))
     more = _verified(across.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")), texts, similarity)
     return components(star.union(more))

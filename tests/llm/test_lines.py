@@ -1,6 +1,11 @@
 import random
 
-from tandemrank.llm.lines import BITS_APART, _verified, deduplicate, drop_emptied, groups, simhashes
+import duckdb
+import pandas as pd
+import pytest
+
+from tandemrank.llm import lines as llm_lines
+from tandemrank.llm.lines import BLOCKS, LONG_WORD, _verified, deduplicate, drop_emptied, groups, simhashes
 
 
 def norm(x):
@@ -16,29 +21,41 @@ def edits(a, b):
     return row[-1]
 
 
-def brute(spark, rows):
-    """Kept texts of (doc_id, text) rows in order, by comparing all pairs of distinct lines."""
-    hash_of = {r.w: r.x for r in spark.createDataFrame(sorted({(w,) for _, t in rows for x in (t or "").split("\n") for w in norm(x).split(" ") if w}) or [("a",)], "w string").selectExpr("w", "xxhash64(w) x").collect()}
-    lines = sorted({norm(x) for _, t in rows for x in (t or "").split("\n")} - {""})
+def similar_pairs(lines):
+    """All pairs of edit similarity 0.8 or more, by comparing everything."""
+    rows = pd.DataFrame({"i": range(len(lines)), "x": lines})  # noqa: F841
+    near = "abs(length(a.x) - length(b.x)) <= 0.2 * greatest(length(a.x), length(b.x)) + 1e-9 AND levenshtein(a.x, b.x) <= 0.2 * greatest(length(a.x), length(b.x)) + 1e-9"
+    return duckdb.sql(f"SELECT a.x, b.x FROM rows a JOIN rows b ON a.i > b.i AND {near}").fetchall()
 
-    def sim(x):
-        ws = [hash_of[w] % 2**64 for w in set(x.split(" ")) if w]
-        return sum(1 << b for b in range(64) if 2 * sum(w >> b & 1 for w in ws) > len(ws))
 
-    sims, root = {x: sim(x) for x in lines}, {x: x for x in lines}
+def found(links, lines):
+    root = {x: x for x in lines}
 
     def find(x):
-        return x if root[x] == x else find(root[x])
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in links:
+        root[find(x)] = find(y)
+    return {x: find(x) for x in lines}
+
 
-    for i, x in enumerate(lines):
-        for y in lines[:i]:
-            if bin(sims[x] ^ sims[y]).count("1") <= BITS_APART and edits(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
-                root[find(x)] = find(y)
+def grouped(spark, lines, ends=True):
+    """Root of each line by the operator."""
+    df = spark.createDataFrame([(f"{i:06}", x) for i, x in enumerate(lines)], "h string, norm string")
+    got = {int(r.node): int(r.root) for r in groups(df, ends=ends).collect()}
+    return {x: lines[got.get(i, i)] for i, x in enumerate(lines)}
+
+
+def expected(rows, root):
+    """Kept texts of (doc_id, text) rows in order: of each group the first line."""
     seen, out = set(), {}
     for n in sorted(range(len(rows)), key=lambda n: (rows[n][0] is None, rows[n][0] or 0, n)):
         t, kept = rows[n][1], []
         for x in (t or "").split("\n"):
-            g = find(norm(x)) if norm(x) else None
+            g = root[norm(x)] if norm(x) else None
             if g is None or g not in seen:
                 kept.append(x)
             seen.add(g)
@@ -67,16 +84,60 @@ def made():
 def test_against_brute_force(spark, docs):
     rows = made()
     d = docs(rows).coalesce(1).selectExpr("*", "1 as rid", "1 as gone")
-    got = [(r.row.doc_id, r.row.text) for r in deduplicate(d).collect()]
-    want = [(i, t) for (i, _), t in zip(rows, brute(spark, rows))]
+    got = [(r.row.doc_id, r.row.text) for r in deduplicate(d, ends=True).collect()]
+    lines = sorted({norm(x) for _, t in rows for x in (t or "").split("\n")} - {""})
+    links = similar_pairs(lines)
+    root, true = grouped(spark, lines), found(links, lines)
+    assert sum(root[x] == root[y] for x, y in links) >= 0.95 * len(links) and len(links) > 300
+    assert all(true[x] == true[root[x]] for x in lines)
+    want = [(i, t) for (i, _), t in zip(rows, expected(rows, root))]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_simhash_is_the_majority(spark):
-    lines = spark.createDataFrame([("k1", "a b c a a"), ("k1", "a b c a a"), ("k2", "a")], "h string, norm string")
-    got = {r.h: r.sim % 2**64 for r in simhashes(lines).collect()}
-    x = [r.x % 2**64 for r in spark.sql("select xxhash64(w) x from values ('a'), ('b'), ('c') as t(w)").collect()]
-    assert got == {"k1": (x[0] & x[1]) | (x[0] & x[2]) | (x[1] & x[2]), "k2": x[0]}
+@pytest.mark.parametrize("crowd, hubs", [(4, 2), (4, 8), (1000, 8)])
+def test_crowded_buckets_lose_no_links_and_make_no_false_ones(spark, monkeypatch, crowd, hubs):
+    monkeypatch.setattr(llm_lines, "CROWD", crowd)
+    monkeypatch.setattr(llm_lines, "HUBS", hubs)
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 10)))
+    passage = [word() for _ in range(25)]
+    lines = [" ".join(passage + [word() for _ in range(14)]) for _ in range(40)]  # alike in a long passage only
+    for x in lines[:10] + [" ".join(word() for _ in range(40))]:
+        for _ in range(8):
+            w = x.split(" ")
+            for _ in range(r.choice([1, 2])):
+                w[r.randrange(len(w))] = word()
+            lines.append(" ".join(w))
+    lines = sorted(set(lines))
+    links = similar_pairs(lines)
+    root, true = grouped(spark, lines), found(links, lines)
+    assert all(true[x] == true[root[x]] for x in lines) and len(set(true.values())) > 30
+    assert sum(root[x] == root[y] for x, y in links) >= 0.97 * len(links)
+
+
+def test_scattered_changes_are_found(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 10)))
+    for share, least in ((0.02, 0.97), (0.05, 0.6)):
+        pairs = []
+        for _ in range(150):
+            x = " ".join(word() for _ in range(r.randrange(20, 60)))
+            y = "".join(r.choice("abcxyz") if c != " " and r.random() < share else c for c in x)
+            pairs.append((x, y))
+        pairs = [(x, y) for x, y in pairs if x != y]
+        root = grouped(spark, [z for p in pairs for z in p])
+        assert sum(root[x] == root[y] for x, y in pairs) >= least * len(pairs)
+
+
+def test_simhash_blocks_follow_the_heaviest_word(spark):
+    lines = spark.createDataFrame([("k1", "long words and a bc"), ("k1", "long words and a bc"), ("k2", "a bc"), ("k3", "a  wordy bc words")], "h string, norm string")
+    got = {r.h: [r[f"b{g}"] for g in range(BLOCKS)] for r in simhashes(lines).collect()}
+    words = ["long", "words", "and", "a", "bc", "wordy"]
+    hashed = spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", *[f"xxhash64(xxhash64(w), {g}) x{g}" for g in range(BLOCKS)]).collect()
+    weight = {r.w: [r[f"x{g}"] % 2**64 >> 1 for g in range(BLOCKS)] for r in hashed}
+    for h, own in (("k1", words[:5]), ("k2", ["a", "bc"]), ("k3", ["a", "wordy", "bc", "words"])):
+        heavy = [max(own, key=lambda w: (len(w) >= LONG_WORD, weight[w][g])) for g in range(BLOCKS)]
+        assert got[h] == [weight[w][g] & 0x7FFFFFFF for g, w in enumerate(heavy)]
 
 
 def test_emptied_documents_go(docs):
@@ -98,7 +159,7 @@ def test_edit_similarity_without_common_words(spark):
     assert got == want and len(want) > 5
 
 
-def test_one_changed_stretch_links_at_every_length(spark):
+def test_one_changed_stretch_links_short_lines_always(spark):
     r = random.Random(11)
     rows = []
     for n in [*range(5, 40), 60, 90, 150, 300, 700]:
@@ -112,6 +173,6 @@ def test_one_changed_stretch_links_at_every_length(spark):
     df = spark.createDataFrame(lines, "h string, norm string")
     root = {x.node: x.root for x in groups(df, ends=True).collect()}
     missed = [pair for i, pair in enumerate(rows) if root.get(f"{i}a", 0) != root.get(f"{i}b", 1)]
-    assert not missed
+    assert all(len(x) >= llm_lines.SHORT for x, _ in missed) and len(missed) <= 2
     before = {x.node: x.root for x in groups(df).collect()}
     assert sum(f"{i}a" in before for i in range(len(rows))) < len(rows) / 2
