@@ -149,7 +149,7 @@ def _tag(data: bytes, at: int, out: Stream) -> int:
     while p + 10 <= end and data[p] and out.title is None:
         raw = data[p + 4 : p + 8]
         n = struct.unpack(">I", raw)[0] if data[at + 3] < 4 else (raw[0] << 21 | raw[1] << 14 | raw[2] << 7 | raw[3])
-        if data[p : p + 4] == b"TIT2" and n > 1:
+        if data[p : p + 4] == b"TIT2" and n > 1 and p + 10 < end:
             code = ("latin-1", "utf-16", "utf-16-be", "utf-8")[data[p + 10] & 3]
             out.title = data[p + 11 : min(end, p + 10 + n)].decode(code, "replace").rstrip("\0")
         p += 10 + n
@@ -170,18 +170,25 @@ def _next_frame(data: bytes, at: int, end: int, like: Header | None) -> int:
 
 
 def _table(data: bytes, at: int, h: Header, out: Stream) -> bool:
-    """Read a variable-bitrate table in the frame at ``at``: true if there is one, and then the frame holds no audio."""
-    for p in (at + 4 + h.side, at + 6 + h.side):
-        if data[p : p + 4] in (b"Xing", b"Info"):
-            flags, q = struct.unpack(">I", data[p + 4 : p + 8])[0], p + 8
+    """Read a variable-bitrate table in the frame at ``at``: true if there is one, and then the frame holds no audio.
+
+    A table whose announced counts do not fit into its frame is none.
+    """
+    frame = data[at : at + h.length]
+    for p in (4 + h.side, 6 + h.side):
+        if frame[p : p + 4] in (b"Xing", b"Info") and len(frame) >= p + 8:
+            flags = int.from_bytes(frame[p + 4 : p + 8], "big")
+            counts = frame[p + 8 : p + 8 + 4 * ((flags & 1) + (flags >> 1 & 1))]
+            if len(counts) < 4 * ((flags & 1) + (flags >> 1 & 1)):
+                continue
             if flags & 1:
-                out.table_frames, q = struct.unpack(">I", data[q : q + 4])[0], q + 4
+                out.table_frames = int.from_bytes(counts[:4], "big")
             if flags & 2:
-                out.table_bytes = struct.unpack(">I", data[q : q + 4])[0]
-            out.table = data[p : p + 4].decode()
+                out.table_bytes = int.from_bytes(counts[-4:], "big")
+            out.table = frame[p : p + 4].decode()
             return True
-    if data[at + 36 : at + 40] == b"VBRI":
-        out.table_bytes, out.table_frames = struct.unpack(">II", data[at + 46 : at + 54])
+    if frame[36:40] == b"VBRI" and len(frame) >= 54:
+        out.table_bytes, out.table_frames = struct.unpack(">II", frame[46:54])
         out.table = "VBRI"
         return True
     return False

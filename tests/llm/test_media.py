@@ -35,6 +35,34 @@ def test_resynchronises_after_junk_and_damage():
     assert len(cut.seek) == 2 and probe(b"").seek == [] and probe(b"\xff" * 500).seek == []
 
 
+def test_tables_that_do_not_fit_their_frame_are_none():
+    low = b"\xff\xf3\x14\xc0"  # 24 bytes of version 2
+    assert header_of(low).length == 24
+    assert probe(low + bytes(9) + b"Xing" + b"\0\0\0\1" + bytes(3)).table is None
+    longer = b"\xff\xf3\x24\xc0"
+    n = header_of(longer).length
+    assert n < 54 and probe((longer + bytes(32) + b"VBRI" + bytes(60))[:n]).table is None
+
+
+def test_damaged_streams_never_fail():
+    r = random.Random(5)
+    clean = encode(b"abc" * 576)
+    heads = [bytes((0xFF, r.randrange(0xE0, 256), r.randrange(256), r.randrange(256))) for _ in range(300)]
+    for k in range(1500):
+        bad = bytearray(clean if k % 2 else b"ID3\x03\x00\x00\0\0\0\x14TIT2" + bytes(r.randrange(256) for _ in range(40)))
+        for _ in range(r.randrange(1, 6)):
+            at = r.randrange(len(bad))
+            put = r.choice([*heads[:50], b"Xing\0\0\0\3", b"Info\0\0\0\xff", b"VBRI", b"TAG", b"ID3\x04\0\0\0\0\0\x7f", bytes([r.randrange(256)])])
+            bad[at : at + len(put)] = put
+        bad = bytes(bad[: r.randrange(len(bad) + 1)])
+        s = probe(bad)
+        assert all(0 <= a < len(bad) for a in s.seek)
+    for h in heads:
+        for cut in range(0, 80, 3):
+            for mark in (b"Xing\0\0\0\3", b"VBRI"):
+                probe((h + bytes(r.choice((9, 13, 17, 21, 32, 36))) + mark + bytes(40))[: cut + 4])
+
+
 def test_known_headers_and_checksum():
     h = header_of(b"\xff\xfb\x90\x00")
     assert (h.kbits, h.rate, h.length, h.samples, h.side, h.protected) == (128, 44100, 417, 1152, 32, False)
