@@ -76,12 +76,12 @@ def robustness(
 ) -> DataFrame:
     """Rank record over named subsets, score transforms and leave-one-stratum-out, all in one pass of each operator.
 
-    ``subsets`` are SQL conditions. The stratum list is taken from the data; a row belongs to every subset it
+    ``subsets`` are SQL conditions. The levels of the stratum are a table that the rows meet in blocks; a row belongs to every subset it
     meets, and a row without a stratum to every leave-one-out subset.
     """
     from tandemrank.operators.quantile import quantiles
     from tandemrank.operators.summary import log_scores, winsorized
-    from tandemrank.session import bounded
+    from tandemrank.session import bounded, with_each
 
     base = materialize(finite_pairs(pairs))
     mean = base.selectExpr("*", "(`left` + `right`) / 2.0D AS _mean")
@@ -90,14 +90,13 @@ def robustness(
     items.append(F.when(F.expr("_mean < _p99"), F.lit("exclude_top_1pct")))
     tags = F.array_compact(F.array(*items))
     rows = mean.join(cut, by)
-    if stratum:
-        level = F.col(f"`{stratum}`").cast("string")
-        levels = base.agg(F.sort_array(F.collect_set(level)).alias("levels")).scalar()
-        rows = rows.withColumn("_levels", levels)
-        others = F.filter("_levels", lambda s: ~s.eqNullSafe(level))
-        tags = F.concat(tags, F.transform(others, lambda s: F.concat(F.lit("without_"), s)))
     keep = [*by, f"`{id}`", "`left`", "`right`"]
     long = rows.select(*keep, F.explode(tags).alias("subset"))
+    if stratum:
+        level = F.col(f"`{stratum}`").cast("string")
+        levels = base.select(level.alias("_level")).filter("_level IS NOT NULL").distinct()
+        each = with_each(base.select(*keep, level.alias("_own")), levels, id).filter("NOT (_own <=> _level)")
+        long = long.unionByName(each.select(*keep, F.concat(F.lit("without_"), "_level").alias("subset")))
     if transforms:
         long = long.unionByName(winsorized(base, by, id=id).selectExpr(*keep, "'winsorized_5_95' AS subset"))
         long = long.unionByName(log_scores(base).selectExpr(*keep, "'log_eps' AS subset"))
