@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tandemrank.catalog.registry import query, rounded
-from tandemrank.catalog.resampling import B, F_LONG, M, PLAIN_TAU, QS, draws_sql, h_sql
+from tandemrank.catalog.resampling import B, COPIES, F_LONG, M, PLAIN_TAU, QS, WEIGHTED, curves_sql, draws_sql, h_sql, weighted_tau
 from tandemrank.catalog.views import CUST, FINITE, long_pairs, null_sql, pairs_cust, ranked_sql
 from tandemrank.frame import finite_pairs
 from tandemrank.operators import portfolio, subsets
@@ -322,6 +322,32 @@ def _(spark, sf):
     return rounded(out.select(*M, "method", "fraction", "n", "naucc", "tau"), "naucc", "tau")
 
 
+@query(
+    "high_response_intervals",
+    f"""WITH f AS (SELECT metric || '|' || method || '|' || fraction AS metric, metric AS m0, method, CAST(fraction AS DOUBLE) AS fraction, id, grp, "left", "right"
+      FROM (WITH {F_LONG}, {ranked_sql('f', 'metric')}, {HIGH} SELECT * FROM high)),
+    {draws_sql('f', 'grp').strip()}, {WEIGHTED.format(unit='grp')}, {weighted_tau('wf', 'metric, rep').strip()}, {COPIES.format(unit='grp').strip()}, {curves_sql(True).strip()},
+    {ranked_sql('f', 'metric', 'hr').strip()}, {area_of('hr', 'metric', 'ar').strip()}, {PLAIN_TAU.format(name='whole', by='metric', src='f')},
+    sel AS (SELECT metric, id, "left", "right" FROM f WHERE method = 'pooled'),
+    sw AS (SELECT metric, rep, id, CASE WHEN {h_sql('42', 'rep', 'id')} % 2 = 1 THEN "right" ELSE "left" END AS "left",
+             CASE WHEN {h_sql('42', 'rep', 'id')} % 2 = 1 THEN "left" ELSE "right" END AS "right" FROM sel, range({B}) r(rep)),
+    {ranked_sql('sw', 'metric, rep', 'swr').strip()}, {area_of('swr', 'metric, rep', 'pm').strip()},
+    pv AS (SELECT pm.metric, (1 + count(*) FILTER (WHERE pm.naucc >= ar.naucc)) / (count(*) + 1.0) AS p FROM pm JOIN ar ON ar.metric = pm.metric GROUP BY pm.metric),
+    tc AS (SELECT metric, quantile_cont(tau, 0.025) AS tl, quantile_cont(tau, 0.975) AS th FROM taus GROUP BY metric),
+    nc AS (SELECT metric, quantile_cont(naucc, 0.025) AS nl, quantile_cont(naucc, 0.975) AS nh FROM boot_area GROUP BY metric),
+    ks AS (SELECT metric, any_value(m0) AS m0, any_value(method) AS method, any_value(fraction) AS fraction, count(*) AS n FROM f GROUP BY metric)
+    SELECT m0 AS metric, method, fraction, n, round(ar.naucc, 9) + 0.0 AS naucc, round(whole.tau, 9) + 0.0 AS tau, round(tl, 9) + 0.0 AS tau_ci95_low, round(th, 9) + 0.0 AS tau_ci95_high,
+      round(nl, 9) + 0.0 AS naucc_ci95_low, round(nh, 9) + 0.0 AS naucc_ci95_high, round(p, 9) + 0.0 AS swap_pvalue
+    FROM ks JOIN ar USING (metric) JOIN whole USING (metric) LEFT JOIN tc USING (metric) LEFT JOIN nc USING (metric) LEFT JOIN pv USING (metric)""",
+)
+def _(spark, sf):
+    from tandemrank.plans.tables import high_response_intervals
+
+    out = high_response_intervals(long_pairs(spark, sf), M, [0.1, 0.25], "grp", B, B)
+    shown = ["naucc", "tau", "tau_ci95_low", "tau_ci95_high", "naucc_ci95_low", "naucc_ci95_high", "swap_pvalue"]
+    return rounded(out.select(*M, "method", "fraction", "n", *shown), *shown)
+
+
 @query(
     "swap_permutation",
     f"""WITH {F_LONG}, {ranked_sql('f', 'metric')}, {HIGH}, sel AS (SELECT metric, id, "left", "right" FROM high WHERE method = 'pooled' AND fraction = 0.25),

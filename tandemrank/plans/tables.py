@@ -45,6 +45,31 @@ def high_response_table(pairs: DataFrame, by: list[str], fractions: Sequence[flo
     return agreement(high_response(pairs, by, fractions, id), key, area=True, id=id)
 
 
+def high_response_intervals(
+    pairs: DataFrame, by: list[str], fractions: Sequence[float], unit: str, reps: int, perms: int, seed: int = 42, id: str = "id"
+) -> DataFrame:
+    """``high_response_table`` with cluster-bootstrap intervals of tau and nAUCC and, for pooled subsets, the swap p-value.
+
+    The subsets are selected and ranked once. Both bootstraps draw by the same counters, so replicate b of tau and of nAUCC
+    come from the same clusters. ``swap_pvalue`` is null for the other methods, whose selection a swap would change.
+    """
+    from tandemrank.operators.resample import bootstrap_naucc, bootstrap_tau, percentile_ci
+    from tandemrank.operators.subsets import swap_permutation
+
+    key = [*by, "method", "fraction"]
+    rows = materialize(high_response(pairs, by, fractions, id).select(*key, *dict.fromkeys([id, unit]), "left", "right"))
+    out = agreement(rows, key, area=True, id=id)
+    taus = bootstrap_tau(rows, key, unit, reps, seed, id)
+    areas = bootstrap_naucc(materialize(rank_both(rows, key, id)), key, unit, reps, seed, id=id)
+    for frame, name in ((taus, "tau"), (areas, "naucc")):
+        out = out.join(percentile_ci(frame, key, name, reps, f"{name}_ci95"), key, "left")
+    swaps = None
+    for f in fractions:
+        one = swap_permutation(pairs, by, f, perms, seed, id=id).selectExpr(*by, "'pooled' AS method", f"{f}D AS fraction", "pvalue AS swap_pvalue")
+        swaps = one if swaps is None else swaps.unionByName(one)
+    return out.join(swaps, key, "left")
+
+
 def rank_record(
     pairs: DataFrame, by: list[str], unit: str, reps: int, perms: int, seed: int = 42, id: str = "id"
 ) -> DataFrame:
