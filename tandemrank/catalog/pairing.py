@@ -79,13 +79,13 @@ Z_LIST = "[" + ", ".join(f"'{s}'" for s in fm.SYMBOLS) + "]"
     f"""WITH {FORMULAS}, z AS (SELECT id, n, list_position({Z_LIST}, e) AS z FROM cnt),
     s AS (SELECT id, sum(n) FILTER (WHERE z > 20) AS h, sum(n) AS t, count(*) AS c, max(z) AS m, sum(n * z) AS w FROM z GROUP BY id)
     SELECT id, round(coalesce(h, 0) / t, 9) + 0.0 AS heavy_fraction, t AS atom_count, CAST(c AS INT) AS n_elements, CAST(m AS INT) AS max_z, round(w / t, 7) + 0.0 AS mean_z
-    FROM forms LEFT JOIN s USING (id) WHERE formula <> 'x?'""",
+    FROM forms LEFT JOIN s USING (id)""",
 )
 def _(spark, sf):
     df = fm.with_source_token(
         fm.composition(formulas(spark, sf), "formula").withColumn("source", F.lit("left")), "source", ["left", "right"]
     )
-    df = df.filter("formula != 'x?'").selectExpr(
+    df = df.selectExpr(
         "id", "heavy_fraction", "atom_count", "n_elements", "max_z",
         "aggregate(transform(slice(fractions, 1, 94), (x, i) -> x * (i + 1)), 0D, (a, x) -> a + x) AS mean_z",
     )
@@ -365,18 +365,18 @@ def _(spark, sf):
 
 @query(
     "scope_membership",
-    f"""WITH {LONG}, one AS (SELECT * FROM long_pairs WHERE metric = 'a' AND {FINITE}), m AS (SELECT median(greatest("left", "right")) AS m FROM one)
-    SELECT id, dist <= 10 AS core, stratum = 'PROMO' AS t1a, greatest("left", "right") >= m AS high_response FROM one, m""",
+    f"""WITH {LONG}, one AS (SELECT * FROM long_pairs WHERE {FINITE}), m AS (SELECT metric, median(greatest("left", "right")) AS m FROM one GROUP BY metric)
+    SELECT metric, id, dist <= 10 AS core, stratum = 'PROMO' AS t1a, greatest("left", "right") >= m AS high_response FROM one JOIN m USING (metric)""",
 )
 def _(spark, sf):
     from tandemrank.frame import finite_pairs
     from tandemrank.operators.quantile import quantiles
     from tandemrank.session import bounded
 
-    one = materialize(finite_pairs(long_pairs(spark, sf)).filter("metric = 'a'").selectExpr("*", "greatest(`left`, `right`) AS big"))
+    one = materialize(finite_pairs(long_pairs(spark, sf)).selectExpr("*", "greatest(`left`, `right`) AS big"))
     med = bounded(quantiles(one, ["metric"], "big", "id", {"m": 0.5}))
     sets = {
         "core": one.filter("dist <= 10"), "t1a": one.filter("stratum = 'PROMO'"),
         "high_response": one.join(med, "metric").filter("big >= m"),
     }
-    return pairing.membership(one.select("id"), ["id"], sets, "id")
+    return pairing.membership(one.select("metric", "id"), ["metric", "id"], sets, "id")

@@ -55,9 +55,9 @@ def decode_matrix(text: str, rows: int, cols: int) -> str:
 
 
 def reproduction_status(reported: str, computed: str, tol: float = 1e-2, window: float = 2e-3) -> str:
-    """``verified`` within a relative tolerance, or where both are near zero."""
+    """``verified`` within a relative tolerance, or where both are near zero; rows without a reported value are ``not_reported``."""
     rel = f"abs({reported} - {computed}) / greatest(abs({reported}), 1e-12D)"
     return (
-        f"CASE WHEN {computed} IS NULL THEN 'tensor_not_verified' WHEN {rel} < {tol}D OR "
+        f"CASE WHEN {reported} IS NULL THEN 'not_reported' WHEN {computed} IS NULL THEN 'tensor_not_verified' WHEN {rel} < {tol}D OR "
         f"(abs({reported}) < {window}D AND abs({computed}) < {window}D) THEN 'verified' ELSE 'mismatch' END"
     )

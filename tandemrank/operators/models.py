@@ -76,12 +76,12 @@ def leaderboard(metrics: DataFrame) -> DataFrame:
 
 
 def rank_inversion(board: DataFrame) -> DataFrame:
-    """In-source against held-out error per model and evaluation source."""
+    """In-source against held-out error per model and evaluation source; errors equal up to rounding are no inversion."""
     pick = "max(IF(split = '{s}', absolute_mean, NULL)) AS {a}"
     return board.groupBy("model", "eval_source").agg(
         F.expr(pick.format(s="in_source", a="in_source_mae")), F.expr(pick.format(s="held_out", a="held_out_mae"))
     ).filter("in_source_mae IS NOT NULL AND held_out_mae IS NOT NULL").selectExpr(
-        "*", "held_out_mae / (in_source_mae + 1e-12D) AS degradation_ratio", "held_out_mae > in_source_mae AS rank_inversion"
+        "*", "held_out_mae / (in_source_mae + 1e-12D) AS degradation_ratio", "held_out_mae > in_source_mae + 1e-12D AS rank_inversion"
     )
 
 
@@ -94,12 +94,13 @@ def paired_gain(board: DataFrame, base: str, other: str) -> DataFrame:
 
 
 def valid_models(board: DataFrame, baselines: Sequence[str]) -> DataFrame:
-    """In-source rows whose mean error is below that of every named baseline on the same (evaluation source, split)."""
+    """In-source rows whose mean error is below that of every named baseline on the same (evaluation source, split)
+    by more than rounding."""
     names = ", ".join(f"'{b}'" for b in baselines)
     floor = board.filter(f"model IN ({names})").groupBy("eval_source", "split").agg(F.expr("min(absolute_mean) AS _floor"))
     return board.join(floor, ["eval_source", "split"], "left").selectExpr(
         *[f"`{c}`" for c in board.columns],
-        "split = 'in_source' AND absolute_mean < coalesce(_floor, double('inf')) AS valid",
+        "split = 'in_source' AND absolute_mean < coalesce(_floor, double('inf')) - 1e-12D AS valid",
     )
 
 
