@@ -281,7 +281,7 @@ def _(spark, sf):
              ('(-5,-2]', -5, -2), ('(-2,0]', -2, 0), ('(0,2]', 0, 2), ('(2,5]', 2, 5), ('(5,10]', 5, 10),
              ('(10,20]', 10, 20), ('(20,inf)', 20, 1e9)) v(distance_bin, lo, hi)),
     frame AS (SELECT DISTINCT panel, metric, q, distance_bin, lo, hi FROM rows, bins)
-    SELECT f.panel, f.metric, f.q, distance_bin, count(d) AS n, count(*) FILTER (WHERE differs) AS disagreements,
+    SELECT f.panel, f.metric, f.q, distance_bin, nullif(CAST(lo AS DOUBLE), -1e9) AS bin_low, nullif(CAST(hi AS DOUBLE), 1e9) AS bin_high, count(d) AS n, count(*) FILTER (WHERE differs) AS disagreements,
            round(count(*) FILTER (WHERE differs) / nullif(count(d), 0), 9) + 0.0 AS disagreement_rate
     FROM frame f LEFT JOIN rows r ON r.panel = f.panel AND r.metric = f.metric AND r.q = f.q AND d > lo AND d <= hi
     GROUP BY ALL""",

@@ -47,7 +47,7 @@ def retention_map(ranked: DataFrame, by: list[str], levels: Sequence[float] = LE
 
 
 def boundary_risk(ranked: DataFrame, by: list[str], qs: Sequence[float] = (5.0, 10.0, 20.0)) -> DataFrame:
-    """Disagreement about membership by signed percentile distance from the cutoff; empty bins are kept."""
+    """Disagreement about membership by signed percentile distance from the cutoff, with each bin's bounds; empty bins are kept."""
     arms = " ".join(f"WHEN d <= {e}D THEN {i}" for i, e in enumerate(BOUNDARY_EDGES))
     grid = ", ".join(f"{float(q)}D" for q in qs)
     rows = ranked.selectExpr(*by, "n", "l_pos", "r_pos", f"explode(array({grid})) AS q").selectExpr(
@@ -56,10 +56,14 @@ def boundary_risk(ranked: DataFrame, by: list[str], qs: Sequence[float] = (5.0,
     hist = rows.selectExpr(
         *by, "q", f"CASE {arms} ELSE {len(BOUNDARY_EDGES)} END AS bin", "(l_pos <= k) != (r_pos <= k) AS differs"
     ).groupBy(*by, "q", "bin").agg(F.expr("count(*) AS n"), F.expr("count_if(differs) AS disagreements"))
-    labels = ", ".join(f"named_struct('bin', {i}, 'distance_bin', '{s}')" for i, s in enumerate(BOUNDARY_LABELS))
+    edges = ["NULL", *[f"{float(e)}D" for e in BOUNDARY_EDGES], "NULL"]  # the outer bins have one bound
+    labels = ", ".join(
+        f"named_struct('bin', {i}, 'distance_bin', '{s}', 'bin_low', CAST({edges[i]} AS DOUBLE), 'bin_high', CAST({edges[i + 1]} AS DOUBLE))"
+        for i, s in enumerate(BOUNDARY_LABELS)
+    )
     frame = hist.select(*by, "q").distinct().selectExpr(*by, "q", f"inline(array({labels}))")
     return frame.join(hist, [*by, "q", "bin"], "left").selectExpr(
-        *by, "q", "distance_bin", "coalesce(n, 0L) AS n", "coalesce(disagreements, 0L) AS disagreements",
+        *by, "q", "distance_bin", "bin_low", "bin_high", "coalesce(n, 0L) AS n", "coalesce(disagreements, 0L) AS disagreements",
         "disagreements / CAST(n AS DOUBLE) AS disagreement_rate",
     )
 
