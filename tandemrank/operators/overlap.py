@@ -214,24 +214,30 @@ def topk_measures(counts: DataFrame) -> DataFrame:
     )
 
 
-def rank_biased_overlap(ranked: DataFrame, by: list[str], p: float = 0.95, agreement: str = "jaccard") -> DataFrame:
+def rank_biased_overlap(
+    ranked: DataFrame, by: list[str], p: float = 0.95, agreement: str = "jaccard", size: int | None = None
+) -> DataFrame:
     """Extrapolated rank-biased overlap.
 
-    Depths beyond D with p**D < 1e-17 cannot change a double, so only the D newest pairs are looked at: D depends
-    on ``p`` alone. ``agreement``: 'jaccard' (intersection / union) or 'overlap' (intersection / depth).
+    Every depth is summed whose weight can change a double: those beyond D with p**D < 1e-17 cannot, and D depends on ``p``
+    alone. Overlaps run up in blocks of ``size`` depths, so ``p`` may be as near to 1 as the ranking is long; no task holds a
+    whole ranking. ``agreement``: 'jaccard' (intersection / union) or 'overlap' (intersection / depth).
     """
     import math
 
+    from tandemrank.operators.resample import cumulative
+    from tandemrank.operators.tau import TASK_ROWS
+
+    if not 0 < p < 1:
+        raise ValueError(f"p must lie between 0 and 1, got {p}")
+    size = size or TASK_ROWS
     depth = max(1, math.ceil(math.log(1e-17) / math.log(p)))
-    last = F.least(F.col("n"), F.lit(depth))
-    hist = (
-        ranked.select(*by, "n", F.greatest("l_pos", "r_pos").alias("d")).filter(F.col("d") <= depth)
-        .groupBy(*by, "d").agg(F.count("*").alias("_c"))
-    )
-    keys = ranked.groupBy(*by).agg(F.max("n").alias("n"))
-    grid = keys.withColumn("d", F.explode(F.sequence(F.lit(1).cast("bigint"), last.cast("bigint"))))
-    run = Window.partitionBy(*by).orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = grid.join(hist, [*by, "d"], "left").withColumn("_x", F.sum(F.coalesce("_c", F.lit(0))).over(run))
+    # Left positions are all depths once; a pair is common from the larger of its two positions on.
+    each = F.explode(F.array(*[F.struct(d.alias("d"), F.lit(c).cast("bigint").alias("_c")) for d, c in ((F.col("l_pos"), 0), (F.greatest("l_pos", "r_pos"), 1))]))
+    rows = ranked.select(*by, "n", each.alias("_e")).select(*by, "n", "_e.d", "_e._c").filter(F.col("d") <= depth)
+    rows = rows.groupBy(*by, "n", "d").agg(F.sum("_c").alias("_c"))
+    largest = depth if depth <= size else min(depth, int(ranked.agg(F.max("n")).first()[0] or 0))
+    rows = cumulative(rows, by, "d", "_c", "_x", largest, size)
     share = F.col("_x") / (F.lit(2.0) * F.col("d") - F.col("_x") if agreement == "jaccard" else F.col("d"))
     term = F.lit(1.0 - p) * F.pow(F.lit(p), F.col("d") - 1) * share
     tail = F.when(F.col("d") == F.col("n"), F.pow(F.lit(p), F.col("d")) * share).otherwise(F.lit(0.0))

@@ -226,3 +226,20 @@ def test_spread_join_keeps_every_row(spark):
     assert small is table
     want = rows.join(table, "k").agg(F.count("*"), F.sum("v")).first()
     assert got == want
+
+
+@pytest.mark.parametrize("p, size", [(0.95, 1000), (0.9999, 64), (0.9999999, 7), (0.5, 3)])
+def test_rank_biased_overlap_at_full_depth(spark, p, size):
+    rng = np.random.default_rng(4)
+    n = 300
+    right = rng.permutation(n) + 1
+    rows = [("k", i + 1, int(r), n) for i, r in enumerate(right)] + [("one", 1, 1, 1)]
+    ranked = spark.createDataFrame(rows, "key string, l_pos bigint, r_pos bigint, n bigint")
+    for agreement in ("jaccard", "overlap"):
+        got = {r.key: r.rbo for r in overlap.rank_biased_overlap(ranked, ["key"], p, agreement, size).collect()}
+        total, x = 0.0, 0
+        for d in range(1, n + 1):
+            x = sum(max(a, b) <= d for _, a, b, _ in rows[:n])
+            share = x / (2 * d - x) if agreement == "jaccard" else x / d
+            total += (1 - p) * p ** (d - 1) * share + (p**d * share if d == n else 0)
+        assert got["k"] == pytest.approx(total, rel=1e-9) and got["one"] == pytest.approx(1.0)
