@@ -569,14 +569,20 @@ def _(spark, sf):
 
 @query(
     "distance_thresholds",
-    f"""WITH {F_LONG}, t AS (SELECT metric, unnest(list_distinct(quantile_cont(dist, [0.5, 0.625, 0.75, 0.875, 1.0]))) AS threshold FROM f GROUP BY metric),
-    sub AS (SELECT metric, threshold, id, "left", "right" FROM f JOIN t USING (metric) WHERE dist <= threshold + 1e-15), {agreement_sql('sub', 'metric, threshold', True)}
-    SELECT metric, threshold, n, {TAU}, round(rho, 9) + 0.0 AS rho, round(naucc, 9) + 0.0 AS naucc
-    FROM rho JOIN pairwise USING (metric, threshold) JOIN ar USING (metric, threshold)""",
+    f"""WITH {F_LONG}, t0 AS (SELECT metric, unnest(list_distinct(quantile_cont(dist, [0.5, 0.625, 0.75, 0.875, 1.0]))) AS threshold FROM f GROUP BY metric),
+    t AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY threshold) - 1 AS i, greatest(count(*) OVER (PARTITION BY metric) - 1, 1) AS steps FROM t0),
+    sub AS (SELECT metric, threshold, id, "left", "right" FROM f JOIN t USING (metric) WHERE dist <= threshold + 1e-15), {agreement_sql('sub', 'metric, threshold', True)},
+    c AS (SELECT metric, threshold, any_value(0.5 + 0.5 * i / steps) AS threshold_quantile, count(*) FILTER (WHERE dist IS NULL OR dist > threshold + 1e-15) AS n_excluded,
+      count(*) FILTER (WHERE abs(dist - threshold) <= 1e-12) AS boundary_count, count(*) FILTER (WHERE dist <= threshold + 1e-15 AND stratum <> 'PROMO') AS n_not_identical
+      FROM f JOIN t USING (metric) GROUP BY metric, threshold)
+    SELECT metric, threshold, n, {TAU}, round(rho, 9) + 0.0 AS rho, round(naucc, 9) + 0.0 AS naucc, round(threshold_quantile, 9) + 0.0 AS threshold_quantile, n_excluded, boundary_count, n_not_identical
+    FROM rho JOIN pairwise USING (metric, threshold) JOIN ar USING (metric, threshold) JOIN c USING (metric, threshold)""",
 )
 def _(spark, sf):
-    out = tables.distance_thresholds(long_pairs(spark, sf), M, ["dist"], 5)
-    return rounded(out.select("metric", "threshold", "n", "tau", "rho", "naucc"), "tau", "rho", "naucc")
+    rows = long_pairs(spark, sf).withColumn("relation", F.expr("IF(stratum = 'PROMO', 'identical', 'other')"))
+    out = tables.distance_thresholds(rows, M, ["dist"], 5, relation="relation")
+    counts = ["threshold_quantile", "n_excluded", "boundary_count", "n_not_identical"]
+    return rounded(out.select("metric", "threshold", "n", "tau", "rho", "naucc", *counts), "tau", "rho", "naucc", "threshold_quantile")
 
 
 @query(

@@ -188,28 +188,38 @@ def heterogeneity(
 
 
 def distance_thresholds(
-    pairs: DataFrame, by: list[str], distances: Sequence[str], points: int = 11, id: str = "id"
+    pairs: DataFrame, by: list[str], distances: Sequence[str], points: int = 11, id: str = "id", relation: str | None = None
 ) -> DataFrame:
     """Agreement of the pairs within each of ``points`` distance quantiles from the median to the maximum.
 
-    A row belongs to every threshold at or above its distance. Equal thresholds are kept once.
+    A row belongs to every threshold at or above its distance. Equal thresholds are kept once, and ``threshold_quantile``
+    spreads what is left evenly over 0.5 to 1. ``n_excluded`` counts the finite pairs outside (those without a distance
+    too), ``boundary_count`` pairs at the threshold, and ``n_not_identical`` those inside whose ``relation`` is not "identical".
     """
     from tandemrank.operators.quantile import quantiles
     from tandemrank.session import bounded
 
     items = ", ".join(f"named_struct('distance', '{d}', 'd', CAST(`{d}` AS DOUBLE))" for d in distances)
-    rows = materialize(
-        finite_pairs(pairs).selectExpr(*by, f"`{id}`", "`left`", "`right`", f"inline(array({items}))").filter(
-            "d IS NOT NULL AND NOT isnan(d)"
-        )
-    )
+    other = f"NOT coalesce(`{relation}` = 'identical', false)" if relation else "CAST(NULL AS BOOLEAN)"
+    every = materialize(finite_pairs(pairs).selectExpr(*by, f"`{id}`", "`left`", "`right`", f"{other} AS _other", f"inline(array({items}))"))
+    rows = every.filter("d IS NOT NULL AND NOT isnan(d)")
     key = [*by, "distance"]
     probs = {f"t{i}": 0.5 + 0.5 * i / (points - 1) for i in range(points)}
     cuts = quantiles(rows, key, "d", id, probs).selectExpr(*key, f"array_distinct(array({', '.join(probs)})) AS cuts")
-    rows = rows.join(bounded(cuts), key).selectExpr(
-        *by, "distance", f"`{id}`", "`left`", "`right`", "explode(filter(cuts, c -> d <= c + 1e-15D)) AS threshold"
+    met = rows.join(bounded(cuts), key).selectExpr(
+        *by, "distance", f"`{id}`", "`left`", "`right`", "d", "_other", "greatest(size(cuts) - 1, 1) AS _steps",
+        "inline(filter(transform(cuts, (c, i) -> named_struct('threshold', c, '_i', i)), x -> d <= x.threshold + 1e-12D))",
+    )
+    inside = "d <= threshold + 1e-15D"
+    counts = met.groupBy(*key, "threshold").agg(
+        F.expr("0.5D + 0.5D * max(_i) / max(_steps) AS threshold_quantile"), F.expr(f"count_if({inside}) AS _inside"),
+        F.expr("count_if(abs(d - threshold) <= 1e-12D) AS boundary_count"),
+        F.expr(f"IF(max(_other) IS NULL, NULL, count_if(_other AND {inside})) AS n_not_identical"),
     )
-    return agreement(rows, [*key, "threshold"], area=True, id=id)
+    counts = counts.join(bounded(every.groupBy(*key).agg(F.count("*").alias("_all"))), key)
+    counts = counts.selectExpr(*key, "threshold", "threshold_quantile", "_all - _inside AS n_excluded", "boundary_count", "n_not_identical")
+    out = agreement(met.filter(inside).select(*key, "threshold", id, "left", "right"), [*key, "threshold"], area=True, id=id)
+    return out.join(counts, [*key, "threshold"], "left")
 
 
 def distance_strata(pairs: DataFrame, by: list[str], distance: str, id: str = "id") -> DataFrame:
