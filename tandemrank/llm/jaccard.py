@@ -13,7 +13,7 @@ from tandemrank.llm.common import components, fold_pieces, materialize, mix, tab
 from tandemrank.llm.registry import query
 
 WORDS, SIMILARITY, TREES, DEPTH, RECALL = 5, 0.8, 32, 9, 0.9995
-BLOCK, FILTER_BITS = 512, 24
+BLOCK, FILTER_BITS, MARGIN = 512, 24, 0.1
 _SEEDS = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -54,12 +54,14 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return (mix(low) >> np.uint64(48)).astype(">u2").reshape(TREES, DEPTH)
 
 
-def chosen_depth(similarity: float, recall: float = RECALL) -> int:
-    """Prefixes are shortened from DEPTH until a pair of just this similarity is met in some tree with probability ``recall``."""
-    depth = DEPTH
-    while depth > 1 and 1 - (1 - similarity**depth) ** TREES < recall:
-        depth -= 1
-    return depth
+def met(similarity, depth: int):
+    """Probability that a pair of this similarity shares a prefix of ``depth`` levels in some tree (a number or a column)."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def least_depth(similarity: float, recall: float = RECALL) -> int:
+    """The depth below which no prefix need be shortened: there every pair of the similarity is met with probability ``recall``."""
+    return next((d for d in range(DEPTH, 1, -1) if met(similarity, d) >= recall), 1)
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
@@ -82,15 +84,87 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return each.groupBy("k").agg(F.min("sig").alias("sig"))
 
 
-def _buckets(sigs: DataFrame, depth: int) -> DataFrame:
-    """``(bucket, k, hub)``: texts that share a prefix of ``depth`` levels in some tree, with the smallest key of the bucket."""
+def _forest(sigs: DataFrame, low: int) -> tuple[DataFrame, DataFrame]:
+    """The tries below their prefixes of ``low`` levels, without what stands alone there: leaves and entries.
+
+    A leaf is a whole label: ``bucket`` (tree and first ``low`` levels), ``tail`` (the levels after) and for each depth
+    ``h<d>``, the smallest key under its prefix of d levels. Entries are ``(k, bucket, tail)``. Equal labels combine before
+    the leaves of a bucket are sorted by their tails, so a large group of near copies comes as few leaves.
+    """
+    part = lambda t, at, n: F.substring("sig", t * F.lit(2 * DEPTH) + F.lit(2 * at + 1), F.lit(2 * n))
     labels = F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
-        lambda t: F.xxhash64(t, F.substring("sig", t * F.lit(2 * DEPTH) + 1, F.lit(2 * depth))),
+        lambda t: F.struct(F.xxhash64(t, part(t, 0, low)).alias("bucket"), part(t, low, DEPTH - low).alias("tail")),
     )
-    rows = sigs.select("k", F.explode(labels).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("hub")).filter("n > 1").select("bucket", "hub")
-    return rows.join(shared, "bucket").select("bucket", "k", "hub")
+    rows = sigs.select("k", F.explode(labels).alias("at")).select("k", "at.bucket", "at.tail")
+    leaves = rows.groupBy("bucket", "tail").agg(F.count("*").alias("n"), F.min("k").alias(f"h{DEPTH}"))
+    leaves = leaves.withColumn("met", F.sum("n").over(Window.partitionBy("bucket"))).filter("met > 1")
+    for d in range(low, DEPTH):
+        leaves = leaves.withColumn(f"h{d}", F.min(f"h{DEPTH}").over(_under(d, low)))
+    leaves = materialize(leaves.drop("met", "n"))
+    return leaves, rows.join(leaves.select("bucket", "tail"), ["bucket", "tail"], "left_semi")
+
+
+def _under(depth: int, low: int) -> Window:
+    """All leaves under the same prefix of ``depth`` levels."""
+    return Window.partitionBy("bucket", F.substring("tail", F.lit(1), F.lit(2 * (depth - low))))
+
+
+def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """``pairs(k, hub, depth)`` with ``near``, the share of equal values of their signatures: an estimate of their similarity."""
+    both = pairs.join(sigs, "k").join(sigs.select(F.col("k").alias("hub"), F.col("sig").alias("other")), "hub")
+
+    def share(frames):
+        for f in frames:
+            if len(f):
+                one, two = (np.frombuffer(b"".join(f[c]), ">u2").reshape(len(f), -1) for c in ("sig", "other"))
+                yield pd.DataFrame({"k": f["k"], "hub": f["hub"], "depth": f["depth"], "near": (one == two).mean(axis=1)})
+
+    return both.mapInPandas(share, "k binary, hub binary, depth int, near double")
+
+
+def _depths(entries: DataFrame, leaves: DataFrame, sigs: DataFrame, similarity: float, recall: float, low: int) -> DataFrame:
+    """``(k, depth)``: the greatest depth at which a text's prefixes need no more shortening; texts not named need ``low``.
+
+    A text is compared by signature with the smallest key under each of its prefixes, and so are those keys with it. Each
+    partner of estimated similarity s found at depth d stands for 1 / met(s, d) partners. Found over estimated ones is the
+    text's recall at d; at the greatest d where it reaches ``recall`` the shortening ends. Partners a little below
+    ``similarity`` count too, as estimates scatter; a text that meets no partner goes on to ``low``.
+    """
+    depths = range(DEPTH, low - 1, -1)
+    tops = F.array(*[F.struct(F.lit(d).alias("depth"), F.col(f"h{d}").alias("hub")) for d in depths])
+    star = entries.join(leaves, ["bucket", "tail"]).select("k", F.explode(F.array_distinct(tops)).alias("at")).select("k", "at.hub", "at.depth")
+    star = star.filter("k <> hub").groupBy("k", "hub").agg(F.max("depth").alias("depth"))
+    judged = materialize(_agreement(star, sigs).filter(F.col("near") >= similarity - MARGIN))
+    sides = judged.select("k", "depth", "near").union(judged.select("hub", "depth", "near"))
+    found = {d: F.count(F.when(F.col("depth") >= d, 1)) for d in depths}
+    stand = {d: F.sum(F.when(F.col("depth") >= d, 1 / met(F.col("near"), d))) for d in depths}
+    enough = [F.when(found[d] >= F.lit(recall) * stand[d], d) for d in depths]
+    return sides.groupBy("k").agg(F.coalesce(*enough, F.lit(low)).cast("int").alias("depth"))
+
+
+def _buckets(sigs: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """``(bucket, k, hub)``: texts that share a prefix in some tree, with the smallest key of the bucket.
+
+    Prefixes start at DEPTH levels. One is shortened as long as a text under the shorter one still asks for it (see
+    ``_depths``), so how deep the buckets lie follows from the data, tree by tree and branch by branch.
+    """
+    low = least_depth(similarity, recall)
+    leaves, entries = _forest(sigs, low)
+    entries = materialize(entries)
+    depths = materialize(_depths(entries, leaves, sigs, similarity, recall, low))
+    asked = entries.join(depths, "k", "left").groupBy("bucket", "tail").agg(F.min(F.coalesce("depth", F.lit(low))).alias("asked"))
+    cut = leaves.join(asked, ["bucket", "tail"])
+    for d in range(low, DEPTH):
+        cut = cut.withColumn(f"a{d}", F.min("asked").over(_under(d, low)))
+    depth = F.coalesce(*[F.when(F.col(f"a{d}") <= d, d) for d in range(low, DEPTH)], F.lit(DEPTH))
+    cut = cut.withColumn("depth", depth)
+    hub = F.coalesce(*[F.when(F.col("depth") == d, F.col(f"h{d}")) for d in range(low, DEPTH + 1)])
+    name = F.xxhash64("bucket", "depth", F.expr(f"substring(tail, 1, 2 * (depth - {low}))"))
+    cut = cut.select("bucket", "tail", name.alias("name"), hub.alias("hub"))
+    rows = entries.join(cut, ["bucket", "tail"]).select(F.col("name").alias("bucket"), "k", "hub")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    return rows.join(shared, "bucket", "left_semi")
 
 
 def _verify(frame: pd.DataFrame, similarity: float, left: int, right: int) -> pd.DataFrame:
@@ -143,12 +217,12 @@ def near_texts(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     """``(k, root, n_links)`` of each distinct text with at least one other text of Jaccard similarity ``similarity``.
 
     ``root`` is the smallest key of the connected group, ``n_links`` the number of other distinct texts linked to this
-    one. Candidates are the texts that share a trie prefix; they are grouped into connected candidate sets, a set is
+    one. Candidates are the texts that share a trie prefix (see ``_buckets``); they are grouped into connected candidate sets, a set is
     cut into blocks of about BLOCK texts by hash, and a task compares two blocks and returns counts and a forest, so
     no pair is ever emitted and every pair is compared once. Word sequences of candidates alone are read again.
     """
     sigs = materialize(_signatures(docs))
-    shared = materialize(_buckets(sigs, chosen_depth(similarity, recall)))
+    shared = materialize(_buckets(sigs, similarity, recall))
     sets = components(shared.select(F.col("k").alias("a"), F.col("hub").alias("b")).distinct())
     place = materialize(shared.groupBy("k").agg(F.array_sort(F.collect_list("bucket")).alias("buckets")).join(sets, F.col("k") == F.col("node")).select("k", F.col("root").alias("part"), "buckets"))
     # One bit per hash of a wanted key: a table of at most 2**(FILTER_BITS - 6) rows, whatever the input's size.

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 
 from tandemrank.llm import jaccard
 from tandemrank.llm.common import components
-from tandemrank.llm.jaccard import chosen_depth, classes, keep_one, shingles
+from tandemrank.llm.jaccard import classes, keep_one, least_depth, met, shingles
 
 
 def sets(text):
@@ -67,10 +68,63 @@ def test_pieces_do_not_matter(monkeypatch):
     assert np.array_equal(shingles(text), whole)
 
 
-def test_depth_shortens_until_the_recall():
-    d = chosen_depth(0.8)
-    assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
-    assert chosen_depth(0.99) == jaccard.DEPTH and chosen_depth(0.01) == 1
+def test_least_depth_reaches_the_recall():
+    d = least_depth(0.8)
+    assert met(0.8, d) >= jaccard.RECALL > met(0.8, d + 1)
+    assert least_depth(0.99) == jaccard.DEPTH and least_depth(0.01) == 1
+
+
+def swapped(base, share, n, r):
+    """``n`` variants of the words ``base``, each with that share of single words replaced at random places."""
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for at in r.sample(range(len(w)), round(share * len(w))):
+            w[at] = f"new{r.random()}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_prefixes_shorten_only_where_the_data_ask_for_it(docs):
+    r = random.Random(3)
+    close = swapped([f"c{i}" for i in range(2000)], 0.001, 20, r)  # similarities of about 0.98
+    far = swapped([f"f{i}" for i in range(2000)], 0.01, 20, r)  # about 0.82
+    alone = [" ".join(f"a{i}x{j}" for j in range(50)) for i in range(20)]
+    low = least_depth(0.8)
+
+    def depth_of(texts):
+        sigs = jaccard.materialize(jaccard._signatures(docs(list(enumerate(texts)))))
+        leaves, entries = jaccard._forest(sigs, low)
+        got = jaccard._depths(entries, leaves, sigs, 0.8, jaccard.RECALL, low).collect()
+        return {bytes(x.k): x.depth for x in got}
+
+    key = lambda t: hashlib.md5(t.encode()).digest()
+    got = depth_of(close + far + alone)
+    assert {got[key(t)] for t in close} == {jaccard.DEPTH}
+    assert sum(got[key(t)] < jaccard.DEPTH for t in far) > 15 and not any(key(t) in got for t in alone)
+
+
+def test_buckets_are_shared_prefixes(docs):
+    texts = [x or "" for _, x in made()]
+    sigs = jaccard.materialize(jaccard._signatures(docs(list(enumerate(texts)))))
+    label = {bytes(x.k): np.frombuffer(x.sig, ">u2").reshape(jaccard.TREES, jaccard.DEPTH) for x in sigs.collect()}
+    low = least_depth(0.8)
+    buckets = {}
+    for x in jaccard._buckets(sigs, 0.8, jaccard.RECALL).collect():
+        buckets.setdefault(x.bucket, []).append((bytes(x.k), bytes(x.hub)))
+    shared = []
+    for rows in buckets.values():
+        keys = [k for k, _ in rows]
+        assert len(set(keys)) == len(keys) > 1 and {h for _, h in rows} == {min(keys)}
+        same = [min(int((label[k][t] == label[keys[0]][t]).cumprod().sum()) for k in keys) for t in range(jaccard.TREES)]
+        assert max(same) >= low
+        shared.append(max(same))
+    assert min(shared) < jaccard.DEPTH
+    # Whole prefixes of full length always meet.
+    met_pairs = {frozenset((a, b)) for rows in buckets.values() for a, _ in rows for b, _ in rows if a != b}
+    keys = sorted(label)
+    full = {frozenset((a, b)) for i, a in enumerate(keys) for b in keys[:i] if (label[a] == label[b]).all(axis=1).any()}
+    assert full <= met_pairs
 
 
 @pytest.mark.parametrize("block", [512, 16])
