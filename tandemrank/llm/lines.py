@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tandemrank.llm.common import components, materialize, number_rows, table
+from tandemrank.llm.common import components, drop, materialize, number_rows, table
 from tandemrank.llm.registry import query
 
 BITS_APART, SIMILARITY, FILTER_BITS = 3, 0.8, 24
+# Lines of a bucket that meet all others in the first round after the star, and how many times more in each later round.
+HUBS, MORE_HUBS = 4, 8
 # Five blocks of the 64 bits: if at most 3 bits differ, two blocks are free of differences.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 
@@ -134,14 +136,50 @@ def _perhaps(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return near.withColumn("perhaps", F.coalesce(hit, F.lit(False))).drop("_cell", "_bits")
 
 
+def _open(state: DataFrame) -> DataFrame:
+    """The rows ``(key, h, sim, len, root)`` of buckets that hold lines of more than one group, written."""
+    mixed = state.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return materialize(state.join(mixed.select("key"), "key", "left_semi"))
+
+
+def _join_rest(keyed: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``roots(node, root)`` after all links between lines of a bucket ``keyed(key, h, sim, len)`` whose groups differ.
+
+    In rounds: some lines of a bucket, each of another group, are compared with all lines of the bucket's other groups. They
+    are then settled there and leave it, groups that a link joins become one, and a bucket left with one group is done.
+    Later rounds take more lines at once, so a bucket of unlike lines takes few rounds, and in a bucket of like ones a
+    few lines speak for all. No link between groups is left out, no square of a group is compared.
+    """
+    state = keyed.join(roots, F.col("h") == F.col("node"), "left").select("key", "h", "sim", "len", F.coalesce("root", "h").alias("root"))
+    state, hubs = _open(state), HUBS
+    while state.limit(1).count():
+        turn = F.row_number().over(Window.partitionBy("key").orderBy("h"))
+        first = state.groupBy("key", "root").agg(F.min(F.struct("h", "sim", "len")).alias("hub")).select("key", "root", "hub.*")
+        picked = materialize(first.withColumn("turn", turn).filter(F.col("turn") <= hubs).drop("turn"))
+        pairs = state.alias("a").join(picked.alias("b"), _close(similarity) & (F.col("a.root") != F.col("b.root")))
+        pairs = pairs.select(F.least("a.h", "b.h").alias("a"), F.greatest("a.h", "b.h").alias("b"))
+        group = lambda c: state.groupBy(F.col("h").alias(c)).agg(F.first("root").alias(f"r{c}"))
+        links = _verified(pairs, texts, similarity).join(group("a"), "a").join(group("b"), "b")
+        joined = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        into = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        fresh = joined.join(roots.select("node"), "node", "left_anti")
+        old_state = state
+        roots = materialize(roots.join(into, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(fresh))
+        rest = state.join(picked.select("key", "h"), ["key", "h"], "left_anti").join(into, "root", "left")
+        state, hubs = _open(rest.select("key", "h", "sim", "len", F.coalesce("top", "root").alias("root"))), hubs * MORE_HUBS
+        for done in (old_state, picked):
+            drop(done)
+    return roots
+
+
 def groups(lines: DataFrame, similarity: float = SIMILARITY, ends: bool = False) -> DataFrame:
     """``(node, root)`` of the distinct lines that belong to a connected group of unequal lines.
 
     ``lines`` has ``h`` and ``norm``. Two lines are linked if their SimHashes differ in at most BITS_APART bits and their
     edit similarity is at least ``similarity``; with ``ends`` also those of that edit similarity that begin or end alike
     (see ``_ends``), whatever their SimHashes. First each bucket's smallest line is compared with the others (a star),
-    then only lines whose groups still differ, so a group of near copies emits no square of links; its connected
-    groups are those of all links.
+    then in rounds only lines whose groups still differ (see ``_join_rest``), so a group of near copies emits no square
+    of links; its connected groups are those of all links.
     """
     more = _ends(similarity) if ends else {}
     sims = materialize(simhashes(lines, more))
@@ -150,12 +188,16 @@ def groups(lines: DataFrame, similarity: float = SIMILARITY, ends: bool = False)
     crowded = _keyed(counted.select("sim")).withColumn("met", met).filter("met > 1").select("sim")
     crowded = crowded.union(counted.filter("n > 1").select("sim")).distinct()
     near = _keyed(sims.select("h", "len", "sim").join(crowded, "sim", "left_semi"))
+    used = [sims]
     if ends:
         each = sims.select("h", "len", "sim", F.explode(F.array(*more)).alias("key")).filter("key IS NOT NULL")
         shared = materialize(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
         each = _perhaps(each, shared, "key").filter("perhaps").drop("perhaps")
         near = near.unionByName(each.join(shared, "key", "left_semi"))
+        used.append(shared)
     near = materialize(near)
+    for done in used:
+        drop(done)
     close = _close(similarity)
     partner = near.alias("a").join(near.alias("b"), close & (F.col("a.h") != F.col("b.h")), "left_semi")
     wanted = materialize(partner.select("h", "len", "sim").distinct())
@@ -165,14 +207,15 @@ def groups(lines: DataFrame, similarity: float = SIMILARITY, ends: bool = False)
     if ends:
         keyed = keyed.unionByName(near.filter("key < 0").join(wanted.select("h"), "h", "left_semi"))
     keyed = materialize(keyed)
+    for done in (near, wanted):
+        drop(done)
     hubs = keyed.groupBy("key").agg(F.min(F.struct("h", "sim", "len")).alias("hub")).select("key", "hub.*")
     star = keyed.alias("a").join(hubs.alias("b"), close & (F.col("a.h") != F.col("b.h"))).select(F.col("a.h").alias("a"), F.col("b.h").alias("b"))
-    star = materialize(_verified(star, texts, similarity))
-    first = components(star)
-    known = materialize(keyed.join(first, F.col("h") == F.col("node"), "left").select("key", "h", "sim", "len", F.coalesce("root", "h").alias("root")))
-    across = known.alias("a").join(known.alias("b"), close & (F.col("a.h") < F.col("b.h")) & (F.col("a.root") != F.col("b.root")))
-    more = _verified(across.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")), texts, similarity)
-    return components(star.union(more))
+    first = components(_verified(star, texts, similarity))
+    out = _join_rest(keyed.join(hubs.select("key", "h"), ["key", "h"], "left_anti"), first, texts, similarity)
+    for done in (keyed, texts):
+        drop(done)
+    return out
 
 
 def removals(rows: DataFrame, similarity: float = SIMILARITY, ends: bool = False) -> DataFrame:

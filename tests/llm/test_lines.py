@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from tandemrank.llm import lines as lines_module
 from tandemrank.llm.lines import BITS_APART, _verified, deduplicate, drop_emptied, groups, simhashes
 
 
@@ -115,3 +118,43 @@ def test_one_changed_stretch_links_at_every_length(spark):
     assert not missed
     before = {x.node: x.root for x in groups(df).collect()}
     assert sum(f"{i}a" in before for i in range(len(rows))) < len(rows) / 2
+
+
+@pytest.mark.parametrize("hubs", [4, 1])
+def test_lines_with_a_common_end_meet_in_rounds(spark, monkeypatch, hubs):
+    """Of 60 lines with one end, some near 0.8 apart: the groups are those of all links, and fewer pairs than all are compared."""
+    monkeypatch.setattr(lines_module, "HUBS", hubs)
+    monkeypatch.setattr(lines_module, "MORE_HUBS", 2)
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    end = " ".join(word(4) for _ in range(20))
+    starts = [word(24) for _ in range(4)]
+    texts = set()
+    while len(texts) < 50:  # the starts' own variants: chains of links, some between groups
+        x = list(r.choice(starts))
+        for at in r.sample(range(24), r.randrange(0, 12)):
+            x[at] = r.choice("abcdefgh")
+        texts.add("".join(x) + " " + end)
+    texts = sorted(texts | {word(60) + " " + end for _ in range(10)})
+    asked = []
+    verified = lines_module._verified
+
+    def counted(pairs, *rest):
+        asked.append(pairs.distinct().count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(lines_module, "_verified", counted)
+    df = spark.createDataFrame([(str(i), x) for i, x in enumerate(texts)], "h string, norm string")
+    got = {int(x.node): int(x.root) for x in groups(df, ends=True).collect()}
+    root = list(range(len(texts)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts[:i]):
+            if edits(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9):
+                root[find(i)] = find(j)
+    parts = lambda of: sorted(sorted(i for i in range(len(texts)) if of(i) == g) for g in {of(i) for i in range(len(texts))})
+    assert parts(find) == parts(lambda i: got.get(i, i)) and len(asked) > 2
+    assert sum(asked) < len(texts) * (len(texts) - 1) / 2
