@@ -249,11 +249,11 @@ def _(spark, sf):
 @query("nested_regression")
 def _(spark, sf):
     df = fm.prototype(fm.composition(formulas(spark, sf), "formula"), "formula")
-    p = finite_pairs(long_pairs(spark, sf)).filter("metric = 'a'").selectExpr("id", "dist", "abs(`left` - `right`) AS gap")
+    p = finite_pairs(long_pairs(spark, sf)).selectExpr("id", "metric", "dist", "abs(`left` - `right`) AS gap")
     rows = materialize(df).join(p, "id").selectExpr("*", f"{portfolio.fold_of('prototype', 5)} AS fold")
     rows = materialize(rows)
     sets = {"chemistry": ["n_elements", "max_z"], "distance": ["dist"], "combined": ["n_elements", "max_z", "dist", "heavy_fraction"]}
-    return models.nested_regression(rows, sets, "gap", "fold")
+    return models.nested_regression(rows, sets, "gap", "fold", by=["metric"])
 
 
 @query(

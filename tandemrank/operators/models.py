@@ -258,52 +258,74 @@ def ridge(train: DataFrame, test: DataFrame, x: str, y: str, alpha: float = 1.0,
     return test.withColumn(out, udf(x))
 
 
+def _nested_fit(grams: dict, alpha: float) -> tuple:
+    """n, R2, RMSE, correlation, mean and deviation of held-out R2 from the Gram matrices of the folds."""
+    total = sum(grams.values())
+    n, width = total[0, 0], len(total) - 1
+    if n < 10:
+        return int(n), None, None, None, None, None
+    mean = total[0, 1 : width + 1] / n
+    sd = np.sqrt(np.maximum(np.diag(total[1:, 1 : width + 1]) / n - mean**2, 0))
+    sd[sd == 0] = 1.0
+    # standardise: z = S [1 x]
+    s = np.zeros((width + 1, width + 1))
+    s[0, 0] = 1.0
+    s[1:, 0] = -mean / sd
+    s[np.arange(1, width + 1), np.arange(1, width + 1)] = 1 / sd
+
+    def scaled(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        return s @ g[:, : width + 1] @ s.T, s @ g[:, width + 1], g[0, width + 2]
+
+    def fit(g: np.ndarray) -> np.ndarray:
+        a, b, _ = scaled(g)
+        return _solve(np.column_stack((a, b)), width + 1, alpha)[:, 0]
+
+    def score(g: np.ndarray, beta: np.ndarray) -> tuple[float | None, float, float | None]:
+        a, b, yy = scaled(g)
+        m, y1 = a[0, 0], b[0]
+        sse = yy - 2 * beta @ b + beta @ a @ beta
+        p1, pp = beta @ a[0], beta @ a @ beta
+        cov, vy, vp = beta @ b - p1 * y1 / m, yy - y1**2 / m, pp - p1**2 / m
+        r = cov / np.sqrt(vy * vp) if vy > 0 and vp > 0 else None
+        return 1 - sse / vy if vy > 0 else None, np.sqrt(max(sse, 0) / m), r
+
+    held = [score(g, fit(total - g))[0] for g in grams.values() if 2 <= g[0, 0] < n]
+    held = [x for x in held if x is not None]
+    return int(n), *score(total, fit(total)), np.mean(held) if held else None, np.std(held) if held else None
+
+
 def nested_regression(
-    df: DataFrame, sets: dict[str, Sequence[str]], target: str, fold: str, alpha: float = 1.0
+    df: DataFrame, sets: dict[str, Sequence[str]], target: str, fold: str, alpha: float = 1.0, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Ridge fit of each feature set with grouped cross-validation: R2, RMSE, correlation, mean and deviation of
-    held-out R2. Everything follows from one Gram matrix per (feature set, fold): training sums are the total minus
-    the fold, and features are standardised inside the algebra."""
-    rows = []
-    for name, cols in sets.items():
-        width = len(cols)
-        ok = " AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in (*cols, target))
-        x = df.filter(ok).selectExpr(
-            f"`{fold}` AS fold", f"array({', '.join(f'CAST(`{c}` AS DOUBLE)' for c in cols)}) AS x",
-            f"array(CAST(`{target}` AS DOUBLE), pow(CAST(`{target}` AS DOUBLE), 2)) AS y",
-        )
-        grams = _fetch(gram_rows(x, ["fold"], "x", "y"), ["fold"])
-        total = sum(grams.values())
-        n = total[0, 0]
-        if n < 10:
-            continue
-        mean = total[0, 1 : width + 1] / n
-        sd = np.sqrt(np.maximum(np.diag(total[1:, 1 : width + 1]) / n - mean**2, 0))
-        sd[sd == 0] = 1.0
-        # standardise: z = S [1 x]
-        s = np.zeros((width + 1, width + 1))
-        s[0, 0] = 1.0
-        s[1:, 0] = -mean / sd
-        s[np.arange(1, width + 1), np.arange(1, width + 1)] = 1 / sd
-
-        def scaled(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-            return s @ g[:, : width + 1] @ s.T, s @ g[:, width + 1], g[0, width + 2]
-
-        def fit(g: np.ndarray) -> np.ndarray:
-            a, b, _ = scaled(g)
-            return _solve(np.column_stack((a, b)), width + 1, alpha)[:, 0]
-
-        def score(g: np.ndarray, beta: np.ndarray) -> tuple[float, float, float]:
-            a, b, yy = scaled(g)
-            m, y1 = a[0, 0], b[0]
-            sse = yy - 2 * beta @ b + beta @ a @ beta
-            p1, pp = beta @ a[0], beta @ a @ beta
-            cov, vy, vp = beta @ b - p1 * y1 / m, yy - y1**2 / m, pp - p1**2 / m
-            r = cov / np.sqrt(vy * vp) if vy > 0 and vp > 0 else np.nan
-            return 1 - sse / vy, np.sqrt(max(sse, 0) / m), r
-
-        r2, rmse, r = score(total, fit(total))
-        cv = [score(g, fit(total - g))[0] for g in grams.values() if g[0, 0] >= 2]
-        rows.append((name, int(n), float(r2), float(rmse), float(r), float(np.mean(cv)), float(np.std(cv))))
-    schema = "model string, n_pairs bigint, r2 double, rmse double, pearson_r double, cv_r2_mean double, cv_r2_std double"
-    return df.sparkSession.createDataFrame(rows, schema)
+    """Ridge fit of each feature set within each key ``by`` with grouped cross-validation: R2, RMSE, correlation, mean and
+    deviation of held-out R2.
+
+    One scan gives a Gram matrix per (key, feature set, fold); training sums are the total minus the fold, features are
+    standardised inside the algebra, and a task solves one key's set. A set counts the rows that have all its features,
+    the target and a fold; each set has a row, without statistics below 10 such rows or where the target is constant.
+    """
+    by = list(by)
+    key = [*by, "model"]
+    has = lambda c: f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)"
+    items = ", ".join(
+        f"named_struct('model', '{name}', 'x', IF({' AND '.join(map(has, cols))}, array({', '.join(f'CAST(`{c}` AS DOUBLE)' for c in cols)}), NULL))"
+        for name, cols in sets.items()
+    )
+    rows = df.filter(f"`{fold}` IS NOT NULL AND {has(target)}").selectExpr(
+        *[f"`{c}`" for c in by], f"`{fold}` AS fold", f"array(CAST(`{target}` AS DOUBLE), pow(CAST(`{target}` AS DOUBLE), 2)) AS y",
+        f"inline(array({items}))",
+    )
+    grams = gram_rows(rows.filter("x IS NOT NULL"), [*key, "fold"], "x", "y")
+    stats = "n_pairs bigint, r2 double, rmse double, pearson_r double, cv_r2_mean double, cv_r2_std double"
+    names = [f.split(" ")[0] for f in stats.split(", ")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in by), "model string", stats])
+
+    def solve(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = {k: np.stack(list(g.sort_values("i")["row"])) for k, g in pdf.groupby("fold")}
+        return pd.DataFrame([dict(zip([*sorted_by, "model", *names], (*group, *_nested_fit(parts, alpha))))])
+
+    sorted_by = [f.name for f in df.schema if f.name in by]
+    fits = grams.groupBy(*sorted_by, "model").applyInPandas(solve, schema)
+    every = ", ".join(f"'{name}'" for name in sets)
+    spine = (df.select(*by).distinct() if by else df.sparkSession.range(1)).selectExpr(*[f"`{c}`" for c in by], f"explode(array({every})) AS model")
+    return spine.join(fits, key, "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)).cast("bigint"))

@@ -42,6 +42,21 @@ def test_nested_regression_matches_direct_fit(spark):
     assert row.cv_r2_mean == pytest.approx(np.mean(cv)) and row.rmse == pytest.approx(np.sqrt(np.mean((y - p) ** 2)))
 
 
+def test_nested_regression_keeps_every_key_and_set(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=40)
+    rows = [(k, float(v), None if k == "few" and i > 6 else float(v * v), float(3 * v + 1) if k != "flat" else 2.0, i % 4) for k in ("line", "few", "flat") for i, v in enumerate(x)]
+    rows += [("line", 1.0, 1.0, None, 1), ("line", 1.0, 1.0, 5.0, None), ("line", float("nan"), 1.0, 5.0, 1)]
+    df = spark.createDataFrame(rows, "k string, a double, b double, y double, fold int").repartition(3)
+    got = {(r.k, r.model): r for r in models.nested_regression(df, {"one": ["a"], "two": ["a", "b"]}, "y", "fold", 0.0, by=["k"]).collect()}
+    assert len(got) == 6
+    assert got["line", "one"].n_pairs == 40 and got["line", "one"].r2 == pytest.approx(1) and got["line", "one"].cv_r2_mean == pytest.approx(1)
+    assert got["few", "two"].n_pairs == 7 and got["few", "two"].r2 is None and got["few", "one"].n_pairs == 40
+    assert got["flat", "one"].r2 is None and got["flat", "one"].cv_r2_mean is None and got["flat", "one"].rmse == pytest.approx(0, abs=1e-6)
+    none = models.nested_regression(df.filter("false"), {"one": ["a"]}, "y", "fold", by=["k"])
+    assert none.count() == 0 and models.nested_regression(df.filter("false"), {"one": ["a"]}, "y", "fold").first().n_pairs == 0
+
+
 def test_distance_histogram(spark):
     rng = np.random.default_rng(2)
     pts = rng.uniform(0, 8, size=(70, 3))
