@@ -407,32 +407,34 @@ def _(spark, sf):
 
 @query(
     "audit_sample",
-    f"""WITH {F_LONG}, a AS (SELECT id, abs("left" - "right") AS v, (dist > 40)::INT + (stratum = 'PROMO')::INT + ("right" < 900)::INT AS score FROM f WHERE metric = 'a'),
-    p AS (SELECT *, row_number() OVER (ORDER BY v, id) AS pos, count(*) OVER () AS n, row_number() OVER (ORDER BY score DESC, id) AS wp FROM a),
-    s AS (SELECT id, CASE WHEN pos <= 15 THEN 'low' WHEN pos > greatest(0, n // 2 - 7) AND pos <= greatest(0, n // 2 - 7) + 15 THEN 'middle' WHEN pos > n - 15 THEN 'high' WHEN wp <= 15 THEN 'anomalous' END AS part FROM p),
-    k AS (SELECT * FROM s WHERE part IS NOT NULL), x AS (SELECT id, row_number() OVER (ORDER BY {h_sql('42', 'id')}, id) AS r FROM s WHERE part IS NULL)
-    SELECT id, part FROM k UNION ALL SELECT id, 'extra' FROM x WHERE r <= 60 - (SELECT count(*) FROM k)""",
+    f"""WITH {F_LONG}, a AS (SELECT metric, id, abs("left" - "right") AS v, (dist > 40)::INT + (stratum = 'PROMO')::INT + ("right" < 900)::INT AS score FROM f),
+    p AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY v, id) AS pos, count(*) OVER (PARTITION BY metric) AS n, row_number() OVER (PARTITION BY metric ORDER BY score DESC, id) AS wp FROM a),
+    s AS (SELECT metric, id, CASE WHEN pos <= 15 THEN 'low' WHEN pos > greatest(0, n // 2 - 7) AND pos <= greatest(0, n // 2 - 7) + 15 THEN 'middle' WHEN pos > n - 15 THEN 'high' WHEN wp <= 15 THEN 'anomalous' END AS part FROM p),
+    k AS (SELECT * FROM s WHERE part IS NOT NULL), c AS (SELECT metric, count(*) AS c FROM k GROUP BY metric),
+    x AS (SELECT metric, id, row_number() OVER (PARTITION BY metric ORDER BY {h_sql('42', 'id')}, id) AS r FROM s WHERE part IS NULL)
+    SELECT metric, id, part FROM k UNION ALL SELECT metric, id, 'extra' FROM x JOIN c USING (metric) WHERE r <= 60 - c""",
 )
 def _(spark, sf):
-    rows = finite_pairs(long_pairs(spark, sf)).filter("metric = 'a'").selectExpr(
-        "id", "abs(`left` - `right`) AS v", "int(dist > 40) + int(stratum = 'PROMO') + int(`right` < 900) AS score"
+    rows = finite_pairs(long_pairs(spark, sf)).selectExpr(
+        "metric", "id", "abs(`left` - `right`) AS v", "int(dist > 40) + int(stratum = 'PROMO') + int(`right` < 900) AS score"
     )
-    return sampling.audit_sample(rows, "v", "score", "id")
+    return sampling.audit_sample(rows, "v", "score", "id", by=["metric"])
 
 
 @query(
     "stratified_sample",
-    f"""WITH {F_LONG}, a AS (SELECT id, stratum, abs("left" - "right") AS v FROM f WHERE metric = 'a'),
-    q AS (SELECT stratum, CASE WHEN row_number() OVER (ORDER BY stratum) <= 60 % count(*) OVER () THEN 1 ELSE 0 END + 60 // count(*) OVER () AS q FROM (SELECT DISTINCT stratum FROM a)),
-    p AS (SELECT a.*, q, row_number() OVER (PARTITION BY stratum ORDER BY v, id) AS pos, count(*) OVER (PARTITION BY stratum) AS n FROM a JOIN q USING (stratum)),
+    f"""WITH {F_LONG}, a AS (SELECT metric, id, stratum, abs("left" - "right") AS v FROM f),
+    q AS (SELECT metric, stratum, CASE WHEN row_number() OVER (PARTITION BY metric ORDER BY stratum) <= 60 % count(*) OVER (PARTITION BY metric) THEN 1 ELSE 0 END
+        + 60 // count(*) OVER (PARTITION BY metric) AS q FROM (SELECT DISTINCT metric, stratum FROM a WHERE stratum IS NOT NULL)),
+    p AS (SELECT a.*, q, row_number() OVER (PARTITION BY metric, stratum ORDER BY v, id) AS pos, count(*) OVER (PARTITION BY metric, stratum) AS n FROM a JOIN q USING (metric, stratum)),
     s AS (SELECT *, q // 3 AS t, n // 2 - (q // 3) // 2 AS s FROM p)
-    SELECT stratum, id, CASE WHEN pos <= t THEN 'low' WHEN pos > s AND pos <= s + t THEN 'middle' ELSE 'high' END AS part FROM s
+    SELECT metric, stratum, id, CASE WHEN pos <= t THEN 'low' WHEN pos > s AND pos <= s + t THEN 'middle' ELSE 'high' END AS part FROM s
     WHERE n >= 3 AND (pos <= t OR (pos > s AND pos <= s + t) OR pos > n - (q - 2 * t))""",
 )
 def _(spark, sf):
-    rows = materialize(finite_pairs(long_pairs(spark, sf)).filter("metric = 'a'").selectExpr("id", "stratum", "abs(`left` - `right`) AS v"))
-    names = sorted(r[0] for r in rows.select("stratum").distinct().collect())
-    return sampling.stratified_sample(rows, "stratum", "v", "id", sampling.equal_quotas(names, 60)).select("stratum", "id", "part")
+    rows = materialize(finite_pairs(long_pairs(spark, sf)).selectExpr("metric", "id", "stratum", "abs(`left` - `right`) AS v"))
+    quotas = sampling.quota_table(rows, "stratum", 60, by=["metric"])
+    return sampling.stratified_sample(rows, "stratum", "v", "id", quotas, by=["metric"]).select("metric", "stratum", "id", "part")
 
 
 def candidate_inputs(spark, sf):

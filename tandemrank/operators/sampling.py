@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tandemrank.operators.rank import positions, rank_both
 from tandemrank.operators.resample import counter_hash
@@ -13,39 +14,47 @@ from tandemrank.operators.strata import cut_by_quantiles
 from tandemrank.session import bounded, materialize
 
 
-def audit_sample(df: DataFrame, value: str, anomaly: str, id: str, each: int = 15, total: int = 60, seed: int = 42):
-    """Lowest, middle and highest ``each`` rows by value and the most anomalous, without repeats, topped up to
-    ``total`` in hash order. ``part`` says which slice a row came from."""
+def audit_sample(
+    df: DataFrame, value: str, anomaly: str, id: str, each: int = 15, total: int = 60, seed: int = 42, by: Sequence[str] = ()
+) -> DataFrame:
+    """In each key ``by``: lowest, middle and highest ``each`` rows by value and the most anomalous, without repeats, topped
+    up to ``total`` in hash order. ``part`` says which slice a row came from; ``id`` is unique inside a key."""
     rows = materialize(df.withColumn("_k", F.lit(1)))
-    ranked = positions(rows, ["_k"], [F.col(value).asc(), F.col(id).asc()])
+    key = list(by) or ["_k"]
+    ranked = positions(rows, key, [F.col(value).asc(), F.col(id).asc()])
     mid = f"greatest(0L, n div 2 - {each // 2})"
+    names = [f"`{c}`" for c in (*key, id)]
     slices = ranked.selectExpr(
-        f"`{id}`",
+        *names,
         f"""inline(array_compact(array(IF(pos <= {each}, named_struct('rank', 1, 'part', 'low'), NULL),
             IF(pos > {mid} AND pos <= {mid} + {each}, named_struct('rank', 2, 'part', 'middle'), NULL),
             IF(pos > n - {each}, named_struct('rank', 3, 'part', 'high'), NULL))))""",
     )
-    worst = rows.orderBy(F.col(anomaly).desc(), F.col(id).asc()).limit(each).selectExpr(
-        f"`{id}`", "4 AS rank", "'anomalous' AS part"
-    )
-    picked = slices.unionByName(worst).groupBy(id).agg(F.expr("min_by(part, rank) AS part"))
-    picked = materialize(picked)
-    need = total - picked.count()
-    if need > 0:
-        extra = rows.join(F.broadcast(picked.select(id)), id, "left_anti").withColumn(
-            "_h", F.expr(counter_hash(str(seed), f"`{id}`"))
-        ).orderBy("_h", id).limit(need)
-        picked = picked.unionByName(extra.selectExpr(f"`{id}`", "'extra' AS part"))
-    return picked
-
-
-def stratified_sample(df: DataFrame, stratum: str, value: str, id: str, quotas: dict[str, int]) -> DataFrame:
-    """Low, middle and high rows of each stratum, a third of its quota each; strata under three rows give none."""
-    quota = F.coalesce(*[F.when(F.col(stratum) == F.lit(s), F.lit(q)) for s, q in quotas.items()], F.lit(0))
-    ranked = positions(df, [stratum], [F.col(value).asc(), F.col(id).asc()])
-    rows = ranked.filter("n >= 3").withColumn("_q", quota).selectExpr(
-        "*", "n div 2 - (_q div 3) div 2 AS _s", "_q div 3 AS _t"
-    )
+    # Row numbers below a limit: each task keeps only so many rows of a key before the shuffle.
+    turn = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    worst = rows.withColumn("_i", turn(F.col(anomaly).desc(), F.col(id).asc())).filter(F.col("_i") <= each)
+    picked = slices.unionByName(worst.selectExpr(*names, "4 AS rank", "'anomalous' AS part"))
+    picked = materialize(picked.groupBy(*key, id).agg(F.expr("min_by(part, rank) AS part")))
+    have = picked.groupBy(*key).agg(F.count("*").alias("_have"))
+    rest = rows.join(picked.select(*key, id), [*key, id], "left_anti").withColumn("_h", F.expr(counter_hash(str(seed), f"`{id}`")))
+    extra = rest.withColumn("_i", turn("_h", id)).filter(F.col("_i") <= total).join(have, key).filter(F.col("_i") <= total - F.col("_have"))
+    return picked.unionByName(extra.selectExpr(*names, "'extra' AS part")).drop("_k")
+
+
+def stratified_sample(
+    df: DataFrame, stratum: str, value: str, id: str, quotas: dict[str, int] | DataFrame, by: Sequence[str] = ()
+) -> DataFrame:
+    """Low, middle and high rows of each stratum of a key ``by``, a third of its quota each; strata under three rows give none.
+
+    ``quotas`` are numbers by stratum, or a table ``(*by, stratum, quota)`` with one row each (see ``quota_table``).
+    """
+    key = [*by, stratum]
+    ranked = positions(df, key, [F.col(value).asc(), F.col(id).asc()]).filter("n >= 3")
+    if isinstance(quotas, DataFrame):
+        rows = ranked.join(bounded(quotas.select(*key, F.col("quota").alias("_q"))), key)
+    else:
+        rows = ranked.withColumn("_q", F.coalesce(*[F.when(F.col(stratum) == F.lit(s), F.lit(q)) for s, q in quotas.items()], F.lit(0)))
+    rows = rows.selectExpr("*", "n div 2 - (_q div 3) div 2 AS _s", "_q div 3 AS _t")
     part = """CASE WHEN pos <= _t THEN 'low' WHEN pos > _s AND pos <= _s + _t THEN 'middle' WHEN pos > n - (_q - 2 * _t) THEN 'high' END"""
     return rows.selectExpr(*[f"`{c}`" for c in df.columns], f"{part} AS part").filter("part IS NOT NULL")
 
@@ -56,6 +65,14 @@ def equal_quotas(strata: Sequence[str], total: int) -> dict[str, int]:
     return {s: base + (1 if i < extra else 0) for i, s in enumerate(strata)}
 
 
+def quota_table(df: DataFrame, stratum: str, total: int, by: Sequence[str] = ()) -> DataFrame:
+    """``equal_quotas`` of the strata of each key as a table, for any number of keys and strata; a null stratum has none."""
+    strata = df.select(*by, stratum).filter(F.col(stratum).isNotNull()).distinct()
+    placed = positions(strata, list(by), [F.col(stratum).asc()], "_i", "_strata")
+    quota = F.expr(f"CAST({total} div _strata + IF(_i <= {total} % _strata, 1, 0) AS BIGINT)")
+    return materialize(placed.select(*by, stratum, quota.alias("quota")))
+
+
 def endpoint_table(pairs: DataFrame, metric: str, id: str = "id") -> DataFrame:
     """Per pair over all endpoints: mean percentile and elite flag of each side, and the largest absolute score."""
     ranked = rank_both(pairs, [metric], id, ties=True)

@@ -104,3 +104,17 @@ def test_candidate_list_shape(spark):
     assert len({r.id for r in out}) == len(out)
     fill = [r for r in out if r.candidate_stratum == "diversity_balanced"]
     assert len(fill) == 10
+
+
+def test_samples_by_key(spark):
+    rows = [(k, i, float((i * 37) % 101), (i * 13) % 50, "abc"[i % 3]) for k in ("x", "y") for i in range(101 if k == "x" else 40)]
+    df = spark.createDataFrame([*rows, ("y", 900, 3.5, 0, None)], "k string, id int, v double, odd int, s string").repartition(4)
+    got = sampling.audit_sample(df, "v", "odd", "id", by=["k"]).toPandas()
+    one = sampling.audit_sample(df.filter("k = 'x'").drop("k"), "v", "odd", "id").toPandas()
+    mine = got[got.k == "x"]
+    assert set(zip(mine.id, mine.part)) == set(zip(one.id, one.part)) and len(mine) == 60 and (got.k == "y").sum() == 41
+    quotas = {(r.k, r.s): r.quota for r in sampling.quota_table(df, "s", 20, by=["k"]).collect()}
+    assert {s: q for (k, s), q in quotas.items() if k == "x"} == sampling.equal_quotas(["a", "b", "c"], 20) and len(quotas) == 6
+    table = sampling.stratified_sample(df, "s", "v", "id", sampling.quota_table(df, "s", 20, by=["k"]), by=["k"]).filter("k = 'x'").toPandas()
+    fixed = sampling.stratified_sample(df.filter("k = 'x'"), "s", "v", "id", sampling.equal_quotas(["a", "b", "c"], 20)).toPandas()
+    assert set(zip(table.id, table.part)) == set(zip(fixed.id, fixed.part)) and len(table) == 20
