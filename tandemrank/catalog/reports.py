@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from tandemrank.catalog.pairing import formulas
+from tandemrank.catalog.pairing import FORMULAS, formulas
 from tandemrank.catalog.ranking import AREAS, CURVE5, PAIRWISE, PM, RANKED
 from tandemrank.catalog.registry import query, r9, rounded
 from tandemrank.catalog.resampling import B, F_LONG, M, SEED, draws_sql, h_sql
@@ -474,11 +474,31 @@ def _(spark, sf):
     return sampling.balance_report(out, sampling.CANDIDATE_STRATA, {"stratum": 10, "reduced_formula": 3})
 
 
-@query("illustrative_picks")
-def _(spark, sf):
-    rows = finite_pairs(long_pairs(spark, sf)).filter("metric = 'b'").join(fm.reduced_formula(formulas(spark, sf), "formula"), "id")
+def picks_sql() -> str:
+    """The categories one after the other: members alone where they fill the quota, without the formulas of earlier ones."""
+    parts = []
+    for i, (name, quota) in enumerate(sampling.PICK_QUOTAS.items()):
+        way = "gap" if name.startswith("consensus") else "gap DESC"
+        seen = " UNION ALL ".join(f"SELECT metric, reduced_formula FROM k{j}" for j in range(i)) or "SELECT NULL AS metric, NULL AS reduced_formula"
+        parts.append(f"""p{i} AS (SELECT *, count(*) FILTER (WHERE member) OVER (PARTITION BY metric) >= {quota} AS enough FROM g
+          WHERE category = '{name}' AND NOT EXISTS (SELECT 1 FROM ({seen}) z WHERE z.metric = g.metric AND z.reduced_formula = g.reduced_formula)),
+        k{i} AS (SELECT * FROM p{i} WHERE member OR NOT enough QUALIFY row_number() OVER (PARTITION BY metric ORDER BY {way}, id) <= {quota})""")
+    every = " UNION ALL ".join(f"SELECT metric, id, reduced_formula, pct_l, pct_r, gap, category FROM k{i}" for i in range(len(parts)))
+    return f"""WITH {F_LONG}, {ranked_sql('f', 'metric')}, {FORMULAS.strip()},
+    r AS (SELECT id, e, n / min(n) OVER (PARTITION BY id) AS r FROM cnt),
+    s AS (SELECT id, string_agg(e || CASE WHEN abs(r - 1) < 1e-9 THEN '' ELSE CAST(CAST(round_even(r, 0) AS BIGINT) AS VARCHAR) END, '' ORDER BY e) AS f FROM r GROUP BY id),
+    red AS (SELECT id, coalesce(f, formula) AS reduced_formula FROM forms LEFT JOIN s USING (id)),
+    h AS (SELECT metric, id, reduced_formula, id % 2 = 0 AS member, l_avg / n * 100 AS pct_l, r_avg / n * 100 AS pct_r FROM ranked JOIN red USING (id)),
+    g AS (SELECT *, abs(pct_l - pct_r) AS gap, CASE WHEN pct_l <= 10 AND pct_r <= 10 THEN 'consensus_elite' WHEN pct_l <= 10 THEN 'left_only'
+      WHEN pct_r <= 10 THEN 'right_only' WHEN pct_l >= 80 AND pct_r >= 80 THEN 'consensus_low' END AS category FROM h),
+    {", ".join(parts)} {every}"""
+
+
+@query("illustrative_picks", picks_sql())
+def _(spark, sf):
+    rows = finite_pairs(long_pairs(spark, sf)).join(fm.reduced_formula(formulas(spark, sf), "formula"), "id")
     ranked = rank_both(rows.withColumn("member", F.expr("id % 2 = 0")), M, ties=True)
-    return sampling.illustrative_picks(ranked, "reduced_formula", "member").drop("member")
+    return sampling.illustrative_picks(ranked, "reduced_formula", "member", by=M).drop("member")
 
 
 @query("deduplicate", f"WITH {LONG} SELECT metric, grp, min(id) AS id, arg_min(dist, id) AS dist FROM long_pairs GROUP BY metric, grp")

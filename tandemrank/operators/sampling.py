@@ -160,32 +160,34 @@ def balance_report(candidates: DataFrame, strata: Sequence[str], caps: dict[str,
 PICK_QUOTAS = {"consensus_elite": 3, "left_only": 3, "right_only": 3, "consensus_low": 2}
 
 
-def illustrative_picks(ranked: DataFrame, formula: str, member: str, id: str = "id") -> DataFrame:
-    """Examples per category from ranked pairs: nearest the diagonal for consensus, farthest for disputes; members
-    preferred where there are enough. Picks of one category may share a formula."""
+def illustrative_picks(ranked: DataFrame, formula: str, member: str, id: str = "id", by: Sequence[str] = ()) -> DataFrame:
+    """Examples per key ``by`` and category from ranked pairs: nearest the diagonal for consensus, farthest for disputes;
+    members preferred where there are enough. Picks of one category may share a formula, those of two may not; a null
+    formula equals none."""
     pct = "({s}_first + {s}_last) / 2.0D / n * 100"
+    keys = [f"`{c}`" for c in by]
     rows = ranked.selectExpr(
-        f"`{id}`", f"`{formula}`", f"`{member}`", f"{pct.format(s='l')} AS pct_l", f"{pct.format(s='r')} AS pct_r"
+        *keys, f"`{id}`", f"`{formula}`", f"`{member}`", f"{pct.format(s='l')} AS pct_l", f"{pct.format(s='r')} AS pct_r"
     ).selectExpr(
         "*", "abs(pct_l - pct_r) AS gap",
         """CASE WHEN pct_l <= 10 AND pct_r <= 10 THEN 'consensus_elite' WHEN pct_l <= 10 THEN 'left_only'
            WHEN pct_r <= 10 THEN 'right_only' WHEN pct_l >= 80 AND pct_r >= 80 THEN 'consensus_low' END AS category""",
     ).filter("category IS NOT NULL")
-    rows = materialize(rows)
-    seen: list = []
+    key = list(by) or ["_k"]
+    rows = materialize(rows if by else rows.withColumn("_k", F.lit(1)))
     out = None
     for name, quota in PICK_QUOTAS.items():
         pool = rows.filter(F.col("category") == name)
-        if seen:
-            pool = pool.filter(~F.col(formula).isin(seen))
-        members = pool.filter(F.col(member))
-        if len(members.limit(quota).collect()) >= quota:
-            pool = members
+        if out is not None:
+            pool = pool.join(out.select(*key, formula).distinct(), [*key, formula], "left_anti")
         order = F.col("gap").asc() if name.startswith("consensus") else F.col("gap").desc()
-        picked = bounded(pool.orderBy(order, F.col(id).asc()).limit(quota))
-        seen += [r[0] for r in picked.select(formula).collect()]
-        out = picked if out is None else out.unionByName(picked)
-    return out
+        # Row numbers up to the quota: each task keeps only so many rows of a key before the shuffle.
+        first = lambda df: df.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy(order, F.col(id).asc()))).filter(F.col("_i") <= quota)  # noqa: B023, E731
+        members = first(pool.filter(F.col(member)))
+        full = members.filter(F.col("_i") == quota).select(*key)
+        picked = members.join(full, key, "left_semi").unionByName(first(pool).join(full, key, "left_anti")).drop("_i")
+        out = materialize(picked if out is None else out.unionByName(picked))
+    return out.drop("_k")
 
 
 def deduplicate(df: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -16,6 +16,7 @@ SAMPLE = [
     "boundary_risk", "raw_value_summary", "threshold_screening", "ks_statistic", "quantile_mapping_error",
     "cluster_bootstrap_curves", "simultaneous_band", "permutation_pvalue", "portfolio_benchmark", "high_response",
     "tensor_scores", "orbit_full", "reduced_formula", "pair_quarantine", "train_pool", "baseline_matrix", "distance_trim",
+    "audit_sample", "stratified_sample", "illustrative_picks",
 ]
 
 
