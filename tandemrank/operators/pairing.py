@@ -14,6 +14,9 @@ from tandemrank.operators.rank import positions
 from tandemrank.operators.resample import counter_hash
 from tandemrank.session import bounded, spread_join
 
+# Pair distances: chunks that a group is cut into as long as they hold at most so many points; pairs worked out at once.
+MOST_CHUNKS, MOST_POINTS, HELD_PAIRS = 16, 4096, 1 << 17
+
 
 def prefixed(df: DataFrame, prefix: str, key: str) -> DataFrame:
     return df.select(F.col(key), *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c != key])
@@ -180,12 +183,13 @@ def distance_histogram(
     """Shares of a group's pair distances per bin of [0, top]; longer distances count in the total only.
 
     A group is cut into chunks of points and every two chunks meet in one task, which returns counts: no pair is
-    emitted, and a large group is spread over (chunks)^2 / 2 tasks.
+    emitted, and a large group is spread over (chunks)^2 / 2 tasks. A row is sent once per chunk of its group, so chunks
+    hold at least ``chunk`` points and grow with the group up to MOST_POINTS as long as it has over MOST_CHUNKS of them.
     """
     rows = positions(points.select(*group, id, *axes), group, [F.col(id).asc()])
-    last = f"(n - 1) div {chunk}"
+    rows = rows.withColumn("_size", F.expr(f"greatest({chunk}, least({MOST_POINTS}, ceil(n / {MOST_CHUNKS})))"))
     rows = rows.selectExpr(
-        *group, *axes, "n", f"(pos - 1) div {chunk} AS _c", f"explode(sequence(0L, {last})) AS _d"
+        *group, *axes, "n", "(pos - 1) div _size AS _c", "explode(sequence(0L, (n - 1) div _size)) AS _d"
     ).selectExpr(*group, *axes, "n", "_c", "least(_c, _d) AS _lo", "greatest(_c, _d) AS _hi")
     width = top / bins
 
@@ -195,11 +199,13 @@ def distance_histogram(
         side = pdf["_c"].to_numpy()
         a, b = xyz[side == lo], xyz[side == hi]
         counts = np.zeros(bins, dtype=np.int64)
-        for i in range(len(a)):
-            other = b[i + 1 :] if lo == hi else b
-            d = np.sqrt(((other - a[i]) ** 2).sum(axis=1))
-            d = d[d <= top]
-            counts += np.bincount(np.minimum((d / width).astype(int), bins - 1), minlength=bins)
+        step = max(1, HELD_PAIRS // max(len(b), 1))
+        for i in range(0, len(a), step):
+            d = np.sqrt(sum((a[i : i + step, None, k] - b[None, :, k]) ** 2 for k in range(len(axes))))
+            keep = d <= top
+            if lo == hi:
+                keep &= np.arange(len(b)) > np.arange(i, i + len(d))[:, None]
+            counts += np.bincount(np.minimum((d[keep] / width).astype(int), bins - 1), minlength=bins)
         out = {c: [v] * bins for c, v in zip(group, key)}
         return pd.DataFrame({**out, "bin": np.arange(bins), "_k": counts, "_n": int(pdf["n"].iloc[0])})
 

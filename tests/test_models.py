@@ -118,3 +118,34 @@ def test_samples_by_key(spark):
     table = sampling.stratified_sample(df, "s", "v", "id", sampling.quota_table(df, "s", 20, by=["k"]), by=["k"]).filter("k = 'x'").toPandas()
     fixed = sampling.stratified_sample(df.filter("k = 'x'"), "s", "v", "id", sampling.equal_quotas(["a", "b", "c"], 20)).toPandas()
     assert set(zip(table.id, table.part)) == set(zip(fixed.id, fixed.part)) and len(table) == 20
+
+
+def test_large_groups_have_few_chunks(spark, tmp_path):
+    """A row is sent once per chunk of its group; chunks of a fixed size would make that the square of the group."""
+    df = spark.range(400).selectExpr("'g' AS g", "id", "double(id % 7) AS x")
+    out = pairing.distance_histogram(df, ["g"], "id", ["x"], bins=10, chunk=10)
+    got = {r.bin: r.share for r in out.collect()}
+    d = np.abs(np.subtract.outer(np.arange(400) % 7, np.arange(400) % 7))[np.triu_indices(400, 1)]
+    assert np.allclose([got[b] for b in range(10)], np.bincount(d, minlength=10) / len(d))
+    generated = [n for n in _metrics(out) if n[0] == "Generate"]
+    assert sum(rows for _, rows in generated) <= 400 * pairing.MOST_CHUNKS
+
+
+def _metrics(df):
+    """(operator, rows out) of the plan that ``collect`` ran."""
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(p):
+        if p.nodeName() == "AdaptiveSparkPlan":
+            return walk(p.executedPlan())
+        if p.nodeName() in ("ShuffleQueryStage", "BroadcastQueryStage"):
+            return walk(p.plan())
+        rows = p.metrics().get("numOutputRows")
+        if rows.isDefined():
+            found.append((p.nodeName(), rows.get().value()))
+        kids = p.children()
+        for i in range(kids.size()):
+            walk(kids.apply(i))
+
+    walk(plan)
+    return found
