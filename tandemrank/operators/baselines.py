@@ -30,7 +30,7 @@ def distance_features(
 
 def with_distance_features(records: DataFrame, features: DataFrame, id: str, x: str, bins: int = 20, out: str = "distances") -> DataFrame:
     """Append distance shares to the feature vector ``x``; records without points get zeros."""
-    rows = records.join(features.withColumnRenamed(out, "_d"), id, "left")
+    rows = records.join(features.withColumnRenamed(out, "_d").hint("merge"), id, "left")
     return rows.withColumn(x, F.concat(x, F.coalesce("_d", F.array_repeat(F.lit(0.0), bins)))).drop("_d")
 
 

@@ -149,3 +149,22 @@ def _metrics(df):
 
     walk(plan)
     return found
+
+
+def test_fractions_take_no_part_in_a_join(spark, monkeypatch):
+    """A written table of fractions is small on disk and large in memory, so a join would broadcast it."""
+    from tandemrank.catalog import load, reports
+
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return materialize(df)
+
+    materialize = reports.materialize
+    monkeypatch.setattr(reports, "materialize", seen)
+    for name in ("ridge_fourier", "structural_ridge"):
+        plans.clear()
+        out = load()[0][name](spark, "/root/testdata/sf0.001")
+        assert out.columns and plans
+        assert not [p for p in plans if "Join" in p and "fractions" in p]
