@@ -243,3 +243,23 @@ def test_rank_biased_overlap_at_full_depth(spark, p, size):
             share = x / (2 * d - x) if agreement == "jaccard" else x / d
             total += (1 - p) * p ** (d - 1) * share + (p**d * share if d == n else 0)
         assert got["k"] == pytest.approx(total, rel=1e-9) and got["one"] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("size", [10_000, 40])
+def test_nested_sets_in_blocks(pairs, size):
+    """Every nested set and its complement, counted from rows that are sent once."""
+    left, right = hot_scores(6, 200)
+    step = np.random.default_rng(7).integers(0, 4, 200)
+    frame = pairs(left, right).withColumn("_c", F.element_at(F.array(*[F.lit(int(v)) for v in step]), F.col("id").cast("int") + 1))
+    got = {(r._j, r._in): (r.n, r.tau) for r in kendall_tau(frame.withColumn("_m", F.lit(3)), BY, size=size, nested=True).collect()}
+    assert len(got) == 6
+    for (j, inside), (n, tau) in got.items():
+        at = np.flatnonzero((step <= j) == inside)
+        assert n == len(at) and tau == pytest.approx(tau_b(np.asarray(left)[at], np.asarray(right)[at]))
+
+
+def test_task_rows_leave_room_for_a_worker_per_core():
+    """Four workers hold blocks of up to twice TASK_ROWS rows, with some twenty copies of a column each, in under 1 GB."""
+    from tandemrank.operators.tau import TASK_ROWS
+
+    assert 4 * 2 * TASK_ROWS * 20 * 8 < 1 << 30
