@@ -11,7 +11,7 @@ from tandemrank.functions.null_model import null_support
 from tandemrank.operators import overlap, portfolio, quantile, resample, ties
 from tandemrank.operators.distribution import cumulative_sides
 from tandemrank.operators.rank import positions, rank_both, tie_ranks
-from tandemrank.operators.tau import discordant, kendall_parts, kendall_tau, value_blocks
+from tandemrank.operators.tau import discordant, kendall_parts, kendall_tau, value_blocks, with_blocks
 
 BY = ["panel"]
 
@@ -263,3 +263,19 @@ def test_task_rows_leave_room_for_a_worker_per_core():
     from tandemrank.operators.tau import TASK_ROWS
 
     assert 4 * 2 * TASK_ROWS * 20 * 8 < 1 << 30
+
+
+@pytest.mark.parametrize("size", [10_000, 40])
+def test_random_subsets_of_several_sizes(pairs, size):
+    left, right = hot_scores(8, 300)
+    base, largest = with_blocks(pairs(left, right), BY, size=size)
+    sizes = base.select(*BY).distinct().selectExpr(*BY, "explode(array(0L, 9L, 120L, 300L)) AS _size")
+    got = resample.random_subset_taus(base, sizes, BY, 2, 5, largest, size=size).collect()
+    for rep in range(2):
+        order = [r.id for r in base.selectExpr("id", f"{resample.counter_hash('5', str(rep), 'id')} AS h").orderBy("h", "id").collect()]
+        for k in (0, 9, 120, 300):
+            mine = {r._in: r.tau for r in got if r.rep == rep and r._size == k}
+            assert set(mine) == ({True, False} if 0 < k < 300 else {k == 300})
+            for inside, tau in mine.items():
+                at = order[:k] if inside else order[k:]
+                assert tau == pytest.approx(tau_b(np.asarray(left)[at], np.asarray(right)[at]))
