@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tandemrank.operators.quantile import quantiles
 from tandemrank.operators.rank import positions
 from tandemrank.operators.resample import counter_hash
-from tandemrank.session import bounded, spread_join
+from tandemrank.session import bounded, materialize, spread_join
 
 # Pair distances: chunks that a group is cut into as long as they hold at most so many points; pairs worked out at once.
 MOST_CHUNKS, MOST_POINTS, HELD_PAIRS = 16, 4096, 1 << 17
@@ -31,7 +31,8 @@ def pair_sources(
     """
     l = prefixed(left, "l_", left_id).withColumn("_l", F.lit(True))
     r = prefixed(right, "r_", right_id).withColumn("_r", F.lit(True))
-    rows = spread_join(candidates, l, [left_id], right_id, "left")
+    # A join reads its rows twice, to count the keys and to join; what they come from is worked out once.
+    rows = materialize(spread_join(materialize(candidates), l, [left_id], right_id, "left"))
     rows = spread_join(rows, r, [right_id], left_id, "left")
     arms = " ".join(f"WHEN {cond} THEN '{reason}'" for reason, cond in checks)
     case = f"CASE WHEN _l IS NULL OR _r IS NULL THEN 'missing_source_record' {arms} END"

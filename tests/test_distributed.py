@@ -279,3 +279,23 @@ def test_random_subsets_of_several_sizes(pairs, size):
             for inside, tau in mine.items():
                 at = order[:k] if inside else order[k:]
                 assert tau == pytest.approx(tau_b(np.asarray(left)[at], np.asarray(right)[at]))
+
+
+def test_pairing_works_out_candidates_once(spark, monkeypatch):
+    from tandemrank import session
+    from tandemrank.operators import pairing
+
+    monkeypatch.setattr(session, "bounded", lambda df: df)  # both sources too large to broadcast
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def once(v):
+        seen.add(1)
+        return v
+
+    candidates = spark.range(100).select(once("id").alias("a"), (F.col("id") % 7).alias("b"))
+    side = lambda k, n: spark.range(n).selectExpr(f"id AS {k}", "id * 2 AS score")
+    rows = pairing.pair_sources(candidates, side("a", 90), side("b", 5), "a", "b", [("odd", "a % 2 = 1")]).collect()
+    assert seen.value == 100
+    want = {i: "missing_source_record" if i >= 90 or i % 7 >= 5 else "odd" if i % 2 else None for i in range(100)}
+    assert {r.a: r.reason for r in rows} == want
