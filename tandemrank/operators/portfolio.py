@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tandemrank.frame import finite_pairs
 from tandemrank.operators.rank import positions, rank_both
-from tandemrank.operators.resample import cluster_draws, cumulative, percentile_ci
+from tandemrank.operators.resample import cluster_draws, cumulative, percentile_ci, weighted_ranks
 from tandemrank.operators.tau import TASK_ROWS
 from tandemrank.session import bounded, materialize, spread_join
 
@@ -250,17 +250,105 @@ def resampled(pairs: DataFrame, by: list[str], unit: str, reps: int, seed: int,
     )
 
 
+# Steps of a score's range; only the rows of the step in which a budget ends are sorted.
+STEPS = 1024
+
+
+def _steps(strategy: str, lam: str) -> str:
+    """SQL text of the step of a rule's score, falling with it; equal scores share one, missing ones come last."""
+    down = {
+        "borda_count": "-_score / (2.0D * n)", "disagreement_abstention": f"0.5D - _score / (2.0D + 2.0D * abs({lam}))"
+    }.get(strategy, "1.0D - _score")
+    return f"coalesce(greatest(0, least({STEPS}, CAST(floor(({down}) * {STEPS}) AS INT))), {STEPS + 1})"
+
+
+def weighted_recalls(
+    rows: DataFrame, key: list[str], q_star: float, strategies: Sequence[str], factors: Sequence[float], lams: Sequence[str] = ("0.0D",),
+    id: str = "id", size: int = TASK_ROWS,
+) -> DataFrame:
+    """Worst-source recall of each portfolio of each replicate, from written rows of ``weighted_ranks``; ``lams`` are literals.
+
+    A row is never multiplied: of its w copies, ordered by id and copy, the first ``_el`` are in the left elite and the first ``_er`` in
+    the right one, and a strategy takes a first part of them. What a strategy takes follows from the copies per step of its score; only
+    rows of the one step in which the budget ends are put in order.
+    """
+    unknown = set(strategies) - {*SINGLE, *_RULES, "minimax_oracle"}
+    if unknown or not strategies:
+        raise ValueError(f"unknown strategies {sorted(unknown)}")
+    pct = "(n - {s}_ends / 2.0D) / nullif(n - 1.0D, 0.0D) AS pct_{s}"
+    rows = rows.selectExpr("*", f"greatest(1L, floor({q_star}D * n)) AS k", pct.format(s="l"), pct.format(s="r")).selectExpr(
+        "*", "0.5D * (pct_l + pct_r) AS avg_pct", "greatest(0L, least(w, k - l_before)) AS _el", "greatest(0L, least(w, k - r_before)) AS _er"
+    )
+    budget = "least(n, CAST(bround({f}D * k) AS BIGINT))"
+    sums = [F.expr("max(n) AS n"), F.expr("max(k) AS k"), F.expr("sum(least(_el, _er)) AS _both"), F.expr("sum(_el) AS _left"), F.expr("sum(_er) AS _right")]
+    for i, f in enumerate(factors):
+        for s in "lr":
+            taken = f"greatest(0L, least(w, {budget.format(f=float(f))} - {s}_before))"
+            sums += [F.expr(f"sum(least({taken}, _e{x})) AS _{s}{x}{i}") for x in "lr"]
+    totals = materialize(rows.groupBy(*key).agg(*sums))
+    grid = ", ".join(
+        f"named_struct('budget_factor', {float(f)}D, 'budget', {budget.format(f=float(f))}, " + ", ".join(f"'_{s}{x}', _{s}{x}{i}" for s in "lr" for x in "lr") + ")"
+        for i, f in enumerate(factors)
+    )
+    totals = totals.selectExpr(*key, "n", "k", "_both", "_left - _both AS _lone", "_right - _both AS _rone", f"inline(array({grid}))").filter("budget > 0")
+    room = "(budget - least(_both, budget))"
+    tl = f"IF({room} >= _lone + _rone, _lone, least(least(_lone, {room}), greatest(greatest(0L, {room} - _rone), {room} div 2)))"
+    hits = {
+        "left_only": ("_ll", "_lr"), "right_only": ("_rl", "_rr"),
+        "minimax_oracle": (f"least(_both, budget) + {tl}", f"least(_both, budget) + least(_rone, {room} - {tl})"),
+    }
+    recall = "least(_hl / CAST(k AS DOUBLE), _hr / CAST(k AS DOUBLE)) AS worst_source_recall"
+    shown = [*key, "strategy", "lam", "budget_factor"]
+    plain = [f"named_struct('strategy', '{s}', 'lam', 0.0D, '_hl', {hits[s][0]}, '_hr', {hits[s][1]})" for s in strategies if s in hits]
+    out = totals.selectExpr("*", f"inline(array({', '.join(plain)}))").selectExpr(*shown, recall) if plain else None
+
+    rules = [(s, lam) for s in strategies if s in _RULES for lam in (lams if s == "disagreement_abstention" else ["0.0D"])]
+    if not rules:
+        return out
+    # Copies (_from, _to] of a row that go together under a rule.
+    cut = {"intersection_first": "least(_el, _er)", "balanced_union": "greatest(_el, _er)"}
+    items = []
+    for i, (s, lam) in enumerate(rules):
+        score = {"borda_count": "-(l_ends / 2.0D + r_ends / 2.0D)"}.get(s, _RULES[s][1].format(lam=lam))
+        step = _steps(s, lam).replace("_score", f"({score})")
+        for flag, start, stop in ([(1, "0L", cut[s]), (0, cut[s], "w")] if s in cut else [(0, "0L", "w")]):
+            items.append(f"named_struct('_rule', {i}, '_flag', {flag}, '_step', {step}, '_score', {score}, '_from', {start}, '_to', {stop})")
+    parts = rows.selectExpr(*key, f"`{id}`", "_el", "_er", f"inline(array({', '.join(items)}))").filter("_to > _from")
+    of = [*key, "_rule", "_flag", "_step"]
+    inside = "least(_e{x}, {to}) - least(_e{x}, _from)"
+    steps = materialize(parts.groupBy(*of).agg(
+        F.expr("sum(_to - _from) AS _c"), *[F.expr(f"sum({inside.format(x=x, to='_to')}) AS _c{x}") for x in "lr"]
+    ))
+    order = f"PARTITION BY {', '.join(f'`{c}`' for c in [*key, '_rule'])} ORDER BY _flag DESC, _step ROWS UNBOUNDED PRECEDING"
+    steps = steps.selectExpr(*of, "_c", *[f"sum({c}) OVER ({order}) - {c} AS {c}0" for c in ("_c", "_cl", "_cr")])
+    ends = steps.join(bounded(totals.select(*key, "k", "budget_factor", "budget")), key).filter("_c0 < budget AND budget <= _c0 + _c")
+    ends = materialize(ends.selectExpr(*of, "budget_factor", "k", "budget - _c0 AS _rest", "_cl0", "_cr0"))
+    near = parts.join(bounded(ends.select(*of).distinct()), of).selectExpr(*of, f"`{id}`", "_score", "_from", "_to - _from AS w", "_el", "_er")
+    near = positions(near, of, [F.col("_score").desc(), F.col(id).asc()])
+    largest = int(near.agg(F.max("n")).first()[0] or 0)
+    near = cumulative(near, of, "pos", "w", "_upto", largest, size)
+    near = near.join(bounded(ends), of).selectExpr("*", "_from + greatest(0L, least(w, _rest - (_upto - w))) AS _last").filter("_last > _from")
+    hit = [f"max(_c{x}0) + sum({inside.format(x=x, to='_last')}) AS _h{x}" for x in "lr"]
+    named = ", ".join(f"named_struct('strategy', '{s}', 'lam', CAST({lam} AS DOUBLE))" for s, lam in rules)
+    got = near.groupBy(*key, "_rule", "budget_factor", "k").agg(*[F.expr(h) for h in hit])
+    got = got.selectExpr("*", f"inline(array(element_at(array({named}), _rule + 1)))").selectExpr(*shown, recall)
+    return got if out is None else out.unionByName(got)
+
+
 def full_procedure(
     pairs: DataFrame, by: list[str], unit: str, q_star: float, factors: Sequence[float], strategies: Sequence[str],
     reps: int, seed: int, lams: Sequence[str] = ("0.0D",), id: str = "id",
 ) -> DataFrame:
-    """Recall differences to the left, right and better single source, with intervals from re-ranked replicates."""
-    base = materialize(finite_pairs(pairs).select(*by, *dict.fromkeys([id, unit]), "left", "right"))
+    """Recall differences to the left, right and better single source, with intervals from re-ranked replicates.
+
+    The rows are ranked once; a replicate's ranks follow from its multiplicities (see ``weighted_ranks``).
+    """
+    base = finite_pairs(pairs).select(*by, *dict.fromkeys([id, unit]), "left", "right")
+    ranked = materialize(rank_both(base, by, id, ties=True))
+    names = list(dict.fromkeys([*strategies, *SINGLE]))
 
-    def deltas(rows: DataFrame, key: list[str], rid: str) -> DataFrame:
-        prepared = materialize(prepare(rows, key, q_star, rid))
-        names = list(dict.fromkeys([*strategies, *SINGLE]))
-        table = materialize(recalls(select(prepared, key, names, factors, lams, rid), key))
+    def deltas(rows: DataFrame, key: list[str]) -> DataFrame:
+        table = materialize(weighted_recalls(rows, key, q_star, names, factors, lams, id))
         ref = table.groupBy(*key, "budget_factor").agg(
             *[F.expr(f"max(IF(strategy = '{s}', worst_source_recall, NULL)) AS _{s}") for s in SINGLE]
         )
@@ -271,8 +359,10 @@ def full_procedure(
             "named_struct('delta_type', 'better', 'delta', worst_source_recall - greatest(_left_only, _right_only))))",
         )
 
-    point = deltas(base, by, id).withColumnRenamed("delta", "point")
-    boot = deltas(resampled(base, by, unit, reps, seed, id), [*by, "rep"], "id")
+    once = [f"{s}_pos - 1 AS {s}_before" for s in "lr"] + [f"{s}_first + {s}_last AS {s}_ends" for s in "lr"]
+    point = deltas(ranked.selectExpr(*by, f"`{id}`", "1L AS w", "n", *once), by).withColumnRenamed("delta", "point")
+    draws = materialize(cluster_draws(ranked, by, unit, reps, seed).drop("_rows"))
+    boot = deltas(weighted_ranks(ranked, draws, by, [*by, "rep"], unit, id=id), [*by, "rep"])
     key = [*by, "strategy", "lam", "budget_factor", "delta_type"]
     return point.join(percentile_ci(boot, key, "delta", 0, "ci95"), key, "left")
 
@@ -293,17 +383,23 @@ def metric_intervals(
     return out
 
 
+def _best_penalty(rows: DataFrame, by: list[str], q_star: float, factor: float, grid: Sequence[float], id: str) -> DataFrame:
+    """``best_lam`` per key from the rows of ``weighted_ranks`` of its replicates."""
+    recall = weighted_recalls(rows, [*by, "rep"], q_star, ["disagreement_abstention"], [factor], [f"{float(x)}D" for x in grid], id)
+    med = materialize(recall.groupBy(*by, "lam").agg(F.expr("percentile(worst_source_recall, 0.5) AS _med")))
+    best = med.groupBy(*by).agg(F.expr("max(_med) AS _top"))
+    return med.join(best, by).filter("_med >= _top - 1e-12D").groupBy(*by).agg(F.expr("min(lam) AS best_lam"))
+
+
 def tune_penalty(
     pairs: DataFrame, by: list[str], unit: str, q_star: float, factor: float, grid: Sequence[float], reps: int,
     seed: int, id: str = "id",
 ) -> DataFrame:
     """Penalty with the highest median recall over replicates; the smaller one wins ties within 1e-12."""
-    key = [*by, "rep"]
-    prepared = materialize(prepare(resampled(pairs, by, unit, reps, seed, id), key, q_star))
-    chosen = select(prepared, key, ["disagreement_abstention"], [factor], [f"{float(x)}D" for x in grid])
-    med = recalls(chosen, key).groupBy(*by, "lam").agg(F.expr("percentile(worst_source_recall, 0.5) AS _med"))
-    best = med.groupBy(*by).agg(F.expr("max(_med) AS _top"))
-    return med.join(best, by).filter("_med >= _top - 1e-12D").groupBy(*by).agg(F.expr("min(lam) AS best_lam"))
+    base = finite_pairs(pairs).filter(F.col(unit).isNotNull()).select(*by, *dict.fromkeys([id, unit]), "left", "right")
+    ranked = materialize(rank_both(base, by, id, ties=True))
+    draws = materialize(cluster_draws(ranked, by, unit, reps, seed).drop("_rows"))
+    return _best_penalty(weighted_ranks(ranked, draws, by, [*by, "rep"], unit, id=id), by, q_star, factor, grid, id)
 
 
 FOLD = "aggregate(split(md5(CAST({id} AS STRING)), ''), 0, (a, d) -> IF(d = '', a, pmod(a * 16 + CAST(conv(d, 16, 10) AS INT), {n})))"
@@ -328,9 +424,12 @@ def cross_evaluate(
     prepared = materialize(prepare(rows, key, q_star, id).filter("n >= 5"))
     names = list(dict.fromkeys([*strategies, *SINGLE]))
     if "disagreement_abstention" in names:
-        others = f"explode(filter(sequence(0, {folds - 1}), f -> f != fold)) AS _train"
-        train = rows.selectExpr("*", others).drop("fold").withColumnRenamed("_train", "fold")
-        best = bounded(tune_penalty(train, key, unit, q_star, factor, grid, reps, seed, id))
+        # All rows are ranked once; a row has no weight in the replicates of its own fold.
+        ranked = materialize(rank_both(rows.withColumnRenamed("fold", "_own"), by, id, ties=True))
+        others = f"explode(filter(sequence(0, {folds - 1}), f -> f != _own)) AS fold"
+        draws = materialize(cluster_draws(ranked.selectExpr(*by, f"`{unit}`", others), key, unit, reps, seed).drop("_rows"))
+        boot = weighted_ranks(ranked, draws, by, [*key, "rep"], unit, ["_own"], "_own != fold", id)
+        best = bounded(_best_penalty(boot, key, q_star, factor, grid, id))
         prepared = materialize(prepared.join(best, key, "left").selectExpr("*", "coalesce(best_lam, 0.0D) AS _lam"))
         lams = ["_lam"]
     else:

@@ -299,3 +299,39 @@ def test_pairing_works_out_candidates_once(spark, monkeypatch):
     assert seen.value == 100
     want = {i: "missing_source_record" if i >= 90 or i % 7 >= 5 else "odd" if i % 2 else None for i in range(100)}
     assert {r.a: r.reason for r in rows} == want
+
+
+def test_weighted_replicates_give_the_recalls_of_expanded_ones(spark, pairs, monkeypatch, size=7):
+    """Replicates by weights on once-ranked rows, in many small blocks: same recalls as ranking and sorting every copy."""
+    monkeypatch.setattr(portfolio, "STEPS", 16)
+    left, right = hot_scores(5, 300)
+    r = np.random.default_rng(6)
+    df = pairs(left, right, r.integers(0, 20, 300).tolist()).withColumn("fold", F.expr("id % 3"))
+    factors, lams, key = [0.5, 1.0, 2.0], ["0.0D", "2.0D"], [*BY, "rep"]
+    ranked = rank_both(df, BY, ties=True)
+    draws = resample.cluster_draws(df, BY, "grp", 4, 3).drop("_rows")
+    rows = resample.weighted_ranks(ranked, draws, BY, key, "grp", size=size)
+    got = portfolio.weighted_recalls(rows, key, 0.1, portfolio.STRATEGIES, factors, lams, size=size)
+    copies = portfolio.prepare(portfolio.resampled(df, BY, "grp", 4, 3), key, 0.1)
+    want = portfolio.recalls(portfolio.select(copies, key, portfolio.STRATEGIES, factors, lams), key)
+    read = lambda x: sorted((r.rep, r.strategy, r.lam, r.budget_factor, r.worst_source_recall) for r in x.collect())
+    assert read(got) == read(want) and len(read(got)) == 4 * 10 * 3
+    # Rows left out of a replicate leave no trace in its ranks.
+    each = resample.cluster_draws(df.filter("fold != 1"), BY, "grp", 4, 3).drop("_rows").withColumn("out", F.lit(1))
+    some = resample.weighted_ranks(ranked, each, BY, [*BY, "out", "rep"], "grp", ["fold"], "fold != out", size=size)
+    ends = {(r.rep, r.id): (r.l_ends / 2, r.r_ends / 2, r.w, r.n) for r in some.collect()}
+    rest = rank_both(portfolio.resampled(df.filter("fold != 1"), BY, "grp", 4, 3), key, ties=True).collect()
+    assert {(r.rep, r.id.id) for r in rest} == set(ends)
+    assert all(ends[r.rep, r.id.id][:2] == ((r.l_first + r.l_last) / 2, (r.r_first + r.r_last) / 2) and ends[r.rep, r.id.id][3] == r.n for r in rest)
+
+
+def test_replicates_are_not_ranked_again(spark, pairs, monkeypatch):
+    """The rows are ranked once whatever the number of replicates; only rows of a budget's last step are put in order."""
+    left, right = np.random.default_rng(7).normal(size=(2, 500))
+    df = pairs(left, right, [i % 25 for i in range(500)])
+    seen = []
+    sort = portfolio.positions
+    monkeypatch.setattr(portfolio, "positions", lambda d, *rest, **more: seen.append(d.count()) or sort(d, *rest, **more))
+    monkeypatch.setattr(portfolio, "resampled", None)
+    out = portfolio.full_procedure(df, BY, "grp", 0.1, [1.0], portfolio.STRATEGIES, 6, 1)
+    assert out.count() == 9 * 3 and sum(seen) < 500
