@@ -362,7 +362,7 @@ def full_procedure(
     once = [f"{s}_pos - 1 AS {s}_before" for s in "lr"] + [f"{s}_first + {s}_last AS {s}_ends" for s in "lr"]
     point = deltas(ranked.selectExpr(*by, f"`{id}`", "1L AS w", "n", *once), by).withColumnRenamed("delta", "point")
     draws = materialize(cluster_draws(ranked, by, unit, reps, seed).drop("_rows"))
-    boot = deltas(weighted_ranks(ranked, draws, by, [*by, "rep"], unit, id=id), [*by, "rep"])
+    boot = deltas(materialize(weighted_ranks(ranked, draws, by, [*by, "rep"], unit, id=id)), [*by, "rep"])
     key = [*by, "strategy", "lam", "budget_factor", "delta_type"]
     return point.join(percentile_ci(boot, key, "delta", 0, "ci95"), key, "left")
 
@@ -399,7 +399,7 @@ def tune_penalty(
     base = finite_pairs(pairs).filter(F.col(unit).isNotNull()).select(*by, *dict.fromkeys([id, unit]), "left", "right")
     ranked = materialize(rank_both(base, by, id, ties=True))
     draws = materialize(cluster_draws(ranked, by, unit, reps, seed).drop("_rows"))
-    return _best_penalty(weighted_ranks(ranked, draws, by, [*by, "rep"], unit, id=id), by, q_star, factor, grid, id)
+    return _best_penalty(materialize(weighted_ranks(ranked, draws, by, [*by, "rep"], unit, id=id)), by, q_star, factor, grid, id)
 
 
 FOLD = "aggregate(split(md5(CAST({id} AS STRING)), ''), 0, (a, d) -> IF(d = '', a, pmod(a * 16 + CAST(conv(d, 16, 10) AS INT), {n})))"
@@ -428,7 +428,7 @@ def cross_evaluate(
         ranked = materialize(rank_both(rows.withColumnRenamed("fold", "_own"), by, id, ties=True))
         others = f"explode(filter(sequence(0, {folds - 1}), f -> f != _own)) AS fold"
         draws = materialize(cluster_draws(ranked.selectExpr(*by, f"`{unit}`", others), key, unit, reps, seed).drop("_rows"))
-        boot = weighted_ranks(ranked, draws, by, [*key, "rep"], unit, ["_own"], "_own != fold", id)
+        boot = materialize(weighted_ranks(ranked, draws, by, [*key, "rep"], unit, ["_own"], "_own != fold", id))
         best = bounded(_best_penalty(boot, key, q_star, factor, grid, id))
         prepared = materialize(prepared.join(best, key, "left").selectExpr("*", "coalesce(best_lam, 0.0D) AS _lam"))
         lams = ["_lam"]

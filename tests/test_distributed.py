@@ -12,6 +12,7 @@ from tandemrank.operators import overlap, portfolio, quantile, resample, ties
 from tandemrank.operators.distribution import cumulative_sides
 from tandemrank.operators.rank import positions, rank_both, tie_ranks
 from tandemrank.operators.tau import discordant, kendall_parts, kendall_tau, value_blocks, with_blocks
+from tandemrank.session import materialize
 
 BY = ["panel"]
 
@@ -310,7 +311,7 @@ def test_weighted_replicates_give_the_recalls_of_expanded_ones(spark, pairs, mon
     factors, lams, key = [0.5, 1.0, 2.0], ["0.0D", "2.0D"], [*BY, "rep"]
     ranked = rank_both(df, BY, ties=True)
     draws = resample.cluster_draws(df, BY, "grp", 4, 3).drop("_rows")
-    rows = resample.weighted_ranks(ranked, draws, BY, key, "grp", size=size)
+    rows = materialize(resample.weighted_ranks(ranked, draws, BY, key, "grp", size=size))
     got = portfolio.weighted_recalls(rows, key, 0.1, portfolio.STRATEGIES, factors, lams, size=size)
     copies = portfolio.prepare(portfolio.resampled(df, BY, "grp", 4, 3), key, 0.1)
     want = portfolio.recalls(portfolio.select(copies, key, portfolio.STRATEGIES, factors, lams), key)
@@ -335,3 +336,18 @@ def test_replicates_are_not_ranked_again(spark, pairs, monkeypatch):
     monkeypatch.setattr(portfolio, "resampled", None)
     out = portfolio.full_procedure(df, BY, "grp", 0.1, [1.0], portfolio.STRATEGIES, 6, 1)
     assert out.count() == 9 * 3 and sum(seen) < 500
+
+
+def test_rows_of_replicates_are_dealt_to_enough_tasks(spark, pairs, monkeypatch):
+    """However well the rows pack in a shuffle, no task sorts much more than WINDOW_ROWS rows of replicates."""
+    monkeypatch.setattr(resample, "WINDOW_ROWS", 400)
+    monkeypatch.setattr(resample, "BLOCK_ROWS", 32)
+    left, right = np.random.default_rng(8).normal(size=(2, 400))
+    ranked = materialize(rank_both(pairs(left, right, [i % 10 for i in range(400)]), BY))
+    seen = []
+    met = resample.weighted_ranks
+    monkeypatch.setattr(resample, "weighted_ranks", lambda *a, **k: seen.append(met(*a, **k)) or seen[-1])
+    curves = resample.bootstrap_curves(ranked, BY, "grp", 10, 1)
+    assert curves.count() == 10 * 50
+    counts = seen[0].groupBy(F.spark_partition_id()).count().collect()
+    assert len(counts) >= 4 and max(r["count"] for r in counts) < 400 * 10 / 2
