@@ -351,3 +351,18 @@ def test_rows_of_replicates_are_dealt_to_enough_tasks(spark, pairs, monkeypatch)
     assert curves.count() == 10 * 50
     counts = seen[0].groupBy(F.spark_partition_id()).count().collect()
     assert len(counts) >= 4 and max(r["count"] for r in counts) < 400 * 10 / 2
+
+
+def test_row_bootstrap_draws_meet_their_rows_directly(spark, pairs, monkeypatch):
+    """Mean and median of the drawn rows, from one set of draws and without a table of units."""
+    left, right = hot_scores(9, 101)
+    df = pairs(left, right)
+    draws = {(r.rep, r.id): r.w for r in resample.cluster_draws(df, BY, "id", 3, 4).collect()}
+    monkeypatch.setattr(resample, "spread_join", None)
+    monkeypatch.setattr(resample, "cluster_draws", None)
+    got = {r.rep: r for r in resample.bootstrap_mean_median(df, BY, "left", 3, 4, size=10).collect()}
+    means = {r.rep: r for r in resample.bootstrap_means(df, BY, "id", ["right"], 3, 4).collect()}
+    for b in range(3):
+        at = np.repeat(np.arange(101), [draws.get((b, i), 0) for i in range(101)])
+        assert math.isclose(got[b].mean, left[at].mean()) and got[b].median == np.median(left[at])
+        assert math.isclose(means[b].right, right[at].mean(), abs_tol=1e-12)
