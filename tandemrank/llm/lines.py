@@ -15,6 +15,8 @@ from tandemrank.llm.registry import query
 BITS_APART, SIMILARITY, FILTER_BITS = 3, 0.8, 24
 # Lines of a bucket that meet all others in the first round after the star, and how many times more in each later round.
 HUBS, MORE_HUBS = 4, 8
+# Lines of a bucket that are compared with as many others in one row, and low bits of an end's key that name the end.
+BLOCK, END_BITS = 32, 12
 # Five blocks of the 64 bits: if at most 3 bits differ, two blocks are free of differences.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 
@@ -34,19 +36,25 @@ def _lines(rows: DataFrame) -> DataFrame:
     return each.select("rid", "doc_id", "pos", normal(F.col("line")).alias("norm")).filter("norm <> ''")
 
 
+def _power(similarity: float) -> Column:
+    """The smaller of the powers of a line's ends (see ``_ends``)."""
+    return F.floor(F.log(F.col("len") * (similarity / 2)) / -math.log(similarity)).cast("int")
+
+
 def _ends(similarity: float) -> dict[str, Column]:
     """Negative keys of the first and of the last m characters of ``norm``, for two neighbouring powers m of 1 / similarity.
 
     Lengths of similar lines differ by at most one power, so two such lines have keys of the same m, at most
     similarity / 2 of the longer one. A changed stretch of 1 - similarity of it leaves m characters whole at one end. Null
-    for lines too short for any.
+    for lines too short for any. The key's low bits name the power and the end (see ``_without_end``).
     """
-    k = F.floor(F.log(F.col("len") * (similarity / 2)) / -math.log(similarity)).cast("int")
+    k = _power(similarity)
     out = {}
     for up in (0, 1):
         m = F.floor(F.pow(F.lit(1 / similarity), k + up)).cast("int")
         for side, part in (("first", F.substring("norm", F.lit(1), m)), ("last", F.substring("norm", F.col("len") - m + 1, m))):
-            key = F.xxhash64(k + up, F.lit(side), part).bitwiseOR(F.lit(-(1 << 63)))
+            name = F.shiftleft(k + up, 1) + (1 if side == "last" else 0)
+            key = F.shiftleft(F.xxhash64(k + up, F.lit(side), part), END_BITS).bitwiseOR(name.cast("bigint")).bitwiseOR(F.lit(-(1 << 63)))
             out[f"{side}{up}"] = F.when(m > 0, key)
     return out
 
@@ -103,23 +111,24 @@ def _close(similarity: float) -> Column:
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` of line keys whose texts have the edit similarity; each distinct pair is compared once.
 
-    Words that both texts start or end with are left out first, which changes no edit distance.
+    Further columns of ``pairs`` stay. Words that both texts start or end with are left out first, which changes no edit distance.
     """
     one = lambda c: texts.select(F.col("h").alias(c), F.split("norm", " ").alias(f"w{c}"), F.col("len").alias(f"l{c}"))
+    more = [c for c in pairs.columns if c not in ("a", "b")]
     both = pairs.distinct().join(one("a"), "a").join(one("b"), "b")
     same = lambda x, y: F.array_position(F.zip_with(x, y, lambda u, v: F.coalesce(u == v, F.lit(False))), False).cast("int")
-    rows = both.select("a", "b", "la", "lb", "wa", "wb", same(F.col("wa"), F.col("wb")).alias("head"), same(F.reverse("wa"), F.reverse("wb")).alias("tail"))
+    rows = both.select("a", "b", *more, "la", "lb", "wa", "wb", same(F.col("wa"), F.col("wb")).alias("head"), same(F.reverse("wa"), F.reverse("wb")).alias("tail"))
     # Positions of the first difference from either end; what is left out must not overlap in the shorter text.
     shorter = F.least(F.size("wa"), F.size("wb"))
     head = F.when(F.col("head") > 0, F.col("head") - 1).otherwise(shorter)
     tail = F.when(F.col("tail") > 0, F.col("tail") - 1).otherwise(shorter)
-    rows = rows.select("a", "b", "la", "lb", "wa", "wb", head.alias("head"), F.least(tail, shorter - head).alias("tail"))
+    rows = rows.select("a", "b", *more, "la", "lb", "wa", "wb", head.alias("head"), F.least(tail, shorter - head).alias("tail"))
     middle = lambda w: F.array_join(F.slice(w, F.col("head") + 1, F.size(w) - F.col("head") - F.col("tail")), " ")
-    rows = rows.select("a", "b", "la", "lb", middle("wa").alias("ma"), middle("wb").alias("mb"))
+    rows = rows.select("a", "b", *more, "la", "lb", middle("wa").alias("ma"), middle("wb").alias("mb"))
     # One text may be left empty: the space next to its neighbour is then part of the difference.
     gap = F.when((F.col("ma") == "") != (F.col("mb") == ""), 1).otherwise(0)
     distance = F.call_function("levenshtein", F.col("ma"), F.col("mb"), _allowed("la", "lb", similarity))
-    return rows.filter((distance >= 0) & (distance + gap <= _allowed("la", "lb", similarity))).select("a", "b")
+    return rows.filter((distance >= 0) & (distance + gap <= _allowed("la", "lb", similarity))).select("a", "b", *more)
 
 
 def _perhaps(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -142,33 +151,111 @@ def _open(state: DataFrame) -> DataFrame:
     return materialize(state.join(mixed.select("key"), "key", "left_semi"))
 
 
+def _rest(similarity: float) -> Column:
+    """``norm`` after the end that all lines of a bucket ``key`` share, read from that end: edit distances stay the same."""
+    name = F.col("key").bitwiseAND(F.lit((1 << END_BITS) - 1))
+    m = F.floor(F.pow(F.lit(1 / similarity), F.shiftright(name, 1))).cast("int")
+    read = F.when(name.bitwiseAND(F.lit(1)) == 1, F.reverse("norm")).otherwise(F.col("norm"))
+    return F.when(F.col("key") >= 0, F.col("norm")).otherwise(F.substring(read, m + 1, F.col("len")))
+
+
+def _block_links(state: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b, ra, rb)``: for each two groups of a bucket of ``state`` that a link joins, the smallest such pair of lines.
+
+    The lines of a bucket, by what follows their common end, are cut into blocks of BLOCK; each two blocks meet in one row,
+    dealt out over all tasks, and only links leave it. So texts move once per block pair and no row holds a pair that is no
+    link. What all lines of two blocks have in common next to the end is left out. Lines of one group are not compared, nor
+    two lines at the longer of two ends they share. The number of comparisons still grows with the square of the unlike
+    lines with one end: nothing short of the edit distance tells two such lines apart for certain.
+    """
+    whole = state.join(texts.select("h", "norm"), "h").withColumn("rest", _rest(similarity)).withColumn("power", _power(similarity))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("rest", "h")) - 1
+    numbered = whole.withColumn("block", F.floor(place / BLOCK).cast("int"))
+    line = F.struct("h", "sim", "len", "root", "power", "rest")
+    sums = [F.min("len").alias("low"), F.max("len").alias("high"), F.min("root").alias("least"), F.max("root").alias("most")]
+    sums += [F.min("rest").alias("from"), F.max("rest").alias("to")]
+    packs = materialize(numbered.groupBy("key", "block").agg(F.collect_list(line).alias("lines"), *sums))
+    heads = packs.select("key", "block", "low", "high", "least", "most")
+    meet = (
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block"))
+        & (F.col("b.low") - F.col("a.high") <= _allowed("b.low", "b.low", similarity))
+        & (F.col("a.low") - F.col("b.high") <= _allowed("a.low", "a.low", similarity))
+        & (F.least("a.least", "b.least") != F.greatest("a.most", "b.most"))
+    )
+    met = heads.alias("a").join(heads.alias("b"), meet).select("a.key", F.col("a.block").alias("block"), F.col("b.block").alias("other"))
+    side = lambda block, lines: packs.select("key", F.col("block").alias(block), *[F.col(c).alias(f"{lines}_{c}") for c in ("lines", "from", "to")])
+    both = met.join(side("block", "left"), ["key", "block"]).join(side("other", "right"), ["key", "other"])
+    # Rows between the first and the last in order share what these two begin with.
+    ends = [F.split(F.least("left_from", "right_from"), ""), F.split(F.greatest("left_to", "right_to"), "")]
+    same = F.array_position(F.zip_with(*ends, lambda u, v: F.coalesce(u == v, F.lit(False))), False).cast("int")
+    cut = F.when(same > 0, same).otherwise(1)
+    parts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.select("key", "block", "other", cut.alias("cut"), "left_lines", "right_lines").repartition(parts, "key", "block", "other")
+
+    def linked(x, y):
+        allowed = F.floor(F.greatest(x["len"], y["len"]) * (1 - similarity) + 1e-9).cast("int")
+        power = F.shiftright(F.col("key").bitwiseAND(F.lit((1 << END_BITS) - 1)), 1)
+        once = (F.col("key") >= 0) | (F.greatest(x["power"], y["power"], F.lit(0)) == power)
+        after = lambda z: F.substring(z["rest"], F.col("cut"), z["len"])
+        return (
+            (x["root"] != y["root"]) & ((F.col("block") != F.col("other")) | (x["h"] < y["h"])) & once
+            & (F.abs(x["len"] - y["len"]) <= allowed)
+            & ((F.col("key") < 0) | (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= BITS_APART))
+            & (F.call_function("levenshtein", after(x), after(y), allowed) >= 0)
+        )
+
+    def pair(x, y):
+        swap = x["root"] > y["root"]
+        of = lambda c, u, v: F.when(swap, u[c]).otherwise(v[c])
+        return F.struct(of("root", y, x).alias("ra"), of("root", x, y).alias("rb"), of("h", y, x).alias("a"), of("h", x, y).alias("b"))
+
+    found = F.flatten(F.transform("left_lines", lambda x: F.transform(F.filter("right_lines", lambda y: linked(x, y)), lambda y: pair(x, y))))
+    links = both.select(F.inline(found)).groupBy("ra", "rb").agg(F.min(F.struct("a", "b")).alias("ab"))
+    out = materialize(links.select("ab.a", "ab.b", "ra", "rb"))
+    drop(packs)
+    return out
+
+
 def _join_rest(keyed: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """``roots(node, root)`` after all links between lines of a bucket ``keyed(key, h, sim, len)`` whose groups differ.
 
     In rounds: some lines of a bucket, each of another group, are compared with all lines of the bucket's other groups. They
-    are then settled there and leave it, groups that a link joins become one, and a bucket left with one group is done.
-    Later rounds take more lines at once, so a bucket of unlike lines takes few rounds, and in a bucket of like ones a
-    few lines speak for all. No link between groups is left out, no square of a group is compared.
+    are then settled there and leave it, groups that a link joins become one, and a bucket left with one group is done. In
+    a bucket of like lines a few speak for all. A later round takes MORE_HUBS times the lines, so there is one only if so
+    many times fewer rows are left: no round compares more pairs than the first. What is left otherwise are mostly unlike
+    lines, which meet in blocks (see ``_block_links``). No link between groups is left out.
     """
     state = keyed.join(roots, F.col("h") == F.col("node"), "left").select("key", "h", "sim", "len", F.coalesce("root", "h").alias("root"))
     state, hubs = _open(state), HUBS
-    while state.limit(1).count():
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("h"))
-        first = state.groupBy("key", "root").agg(F.min(F.struct("h", "sim", "len")).alias("hub")).select("key", "root", "hub.*")
-        picked = materialize(first.withColumn("turn", turn).filter(F.col("turn") <= hubs).drop("turn"))
-        pairs = state.alias("a").join(picked.alias("b"), _close(similarity) & (F.col("a.root") != F.col("b.root")))
-        pairs = pairs.select(F.least("a.h", "b.h").alias("a"), F.greatest("a.h", "b.h").alias("b"))
-        group = lambda c: state.groupBy(F.col("h").alias(c)).agg(F.first("root").alias(f"r{c}"))
-        links = _verified(pairs, texts, similarity).join(group("a"), "a").join(group("b"), "b")
+    n, before = state.count(), None
+    while n:
+        in_blocks = before is not None and n * MORE_HUBS > before
+        if in_blocks:
+            used = _block_links(state, texts, similarity)
+            pairs = used
+        else:
+            turn = F.row_number().over(Window.partitionBy("key").orderBy("h"))
+            first = state.groupBy("key", "root").agg(F.min(F.struct("h", "sim", "len")).alias("hub")).select("key", "root", "hub.*")
+            used = materialize(first.withColumn("turn", turn).filter(F.col("turn") <= hubs).drop("turn"))
+            pairs = state.alias("a").join(used.alias("b"), _close(similarity) & (F.col("a.root") != F.col("b.root")))
+            of = lambda c, u, v: F.when(F.col("a.h") < F.col("b.h"), F.col(f"{u}.{c}")).otherwise(F.col(f"{v}.{c}"))
+            pairs = pairs.select(of("h", "a", "b").alias("a"), of("h", "b", "a").alias("b"), of("root", "a", "b").alias("ra"), of("root", "b", "a").alias("rb"))
+        links = _verified(pairs, texts, similarity)
         joined = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         into = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
         fresh = joined.join(roots.select("node"), "node", "left_anti")
-        old_state = state
         roots = materialize(roots.join(into, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(fresh))
-        rest = state.join(picked.select("key", "h"), ["key", "h"], "left_anti").join(into, "root", "left")
-        state, hubs = _open(rest.select("key", "h", "sim", "len", F.coalesce("top", "root").alias("root"))), hubs * MORE_HUBS
-        for done in (old_state, picked):
+        if in_blocks:
+            drop(state)
+            drop(used)
+            return roots
+        rest = state.join(used.select("key", "h"), ["key", "h"], "left_anti").join(into, "root", "left")
+        after = _open(rest.select("key", "h", "sim", "len", F.coalesce("top", "root").alias("root")))
+        for done in (state, used):
             drop(done)
+        state, hubs = after, hubs * MORE_HUBS
+        n, before = state.count(), n
+    drop(state)
     return roots
 
 

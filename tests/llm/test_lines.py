@@ -158,3 +158,39 @@ def test_lines_with_a_common_end_meet_in_rounds(spark, monkeypatch, hubs):
     parts = lambda of: sorted(sorted(i for i in range(len(texts)) if of(i) == g) for g in {of(i) for i in range(len(texts))})
     assert parts(find) == parts(lambda i: got.get(i, i)) and len(asked) > 2
     assert sum(asked) < len(texts) * (len(texts) - 1) / 2
+
+
+@pytest.mark.parametrize("block", [7, 32])
+def test_unlike_lines_with_a_common_end_meet_in_blocks(spark, monkeypatch, block):
+    """Of 80 mostly unlike lines with one end the groups are those of all links, and pairs that are no links stay within their blocks."""
+    monkeypatch.setattr(lines_module, "BLOCK", block, raising=False)
+    r = random.Random(13)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    end, starts = word(90), [word(r.randrange(48, 64)) for _ in range(70)]
+    for x in starts[:10]:  # links between lengths, so between blocks
+        x = list(x)
+        for at in r.sample(range(40), 12):
+            x[at] = r.choice("xyz")
+        starts.append("".join(x)[r.randrange(8) :])
+    asked = []
+    verified = lines_module._verified
+
+    def counted(pairs, *rest):
+        asked.append(pairs.select("a", "b").distinct().count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(lines_module, "_verified", counted)
+    df = spark.createDataFrame([(f"{i:02}", x + end) for i, x in enumerate(starts)], "h string, norm string")
+    got = {int(x.node): int(x.root) for x in groups(df, ends=True).collect()}
+    root = list(range(len(starts)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i, x in enumerate(starts):
+        for j, y in enumerate(starts[:i]):
+            if edits(x, y) <= int(0.2 * (90 + max(len(x), len(y))) + 1e-9):
+                root[find(i)] = find(j)
+    parts = lambda of: sorted(sorted(i for i in range(len(starts)) if of(i) == g) for g in {of(i) for i in range(len(starts))})
+    assert parts(find) == parts(lambda i: got.get(i, i)) and 10 < len(parts(find)) < 75
+    assert sum(asked) < 10 * len(starts)
