@@ -21,9 +21,13 @@ BLOCK, END_BITS = 32, 12
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 
 
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\f\x0b"))
+
+
 def normal(line: Column) -> Column:
     """A line for comparison: lower case, without white space at its ends."""
-    return F.lower(F.btrim(line, F.lit(" \t\r\f\x0b")))
+    return F.lower(_trimmed(line))
 
 
 def line_key(norm: Column) -> Column:
@@ -33,7 +37,12 @@ def line_key(norm: Column) -> Column:
 def _lines(rows: DataFrame) -> DataFrame:
     """``(rid, pos, doc_id, norm)`` of all lines with something on them."""
     each = rows.select("rid", F.col("row.doc_id").alias("doc_id"), F.posexplode(F.split(F.col("row.text"), "\n", -1)).alias("pos", "line"))
-    return each.select("rid", "doc_id", "pos", normal(F.col("line")).alias("norm")).filter("norm <> ''")
+    return each.filter(_trimmed(F.col("line")) != "").select("rid", "doc_id", "pos", normal(F.col("line")).alias("norm"))
+
+
+def keyed_lines(rows: DataFrame) -> DataFrame:
+    """``_lines`` with their keys ``h``."""
+    return _lines(rows).withColumn("h", line_key(F.col("norm")))
 
 
 def _power(similarity: float) -> Column:
@@ -64,20 +73,24 @@ def simhashes(lines: DataFrame, more: dict[str, Column] | None = None) -> DataFr
 
     Words are counted by 32 sums that hold two bits each, 32 bits apart, so a word costs 32 additions in generated
     code; copies of a line only scale all counts. Words combine before the shuffle, which has one row per line and task.
-    ``more`` are further numbers of each line, from its ``norm`` and ``len``.
+    ``more`` are further numbers of each line, from its ``norm`` and ``len`` or other columns, of which the smallest counts.
     """
     more = more or {}
-    whole = lines.select("h", "norm", F.length("norm").alias("len")).select("*", *[c.alias(n) for n, c in more.items()])
+    whole = lines.withColumn("len", F.length("norm")).select("h", "norm", "len", *[c.alias(n) for n, c in more.items()])
     words = whole.select("h", "len", *more, F.explode(F.array_distinct(F.split("norm", " "))).alias("w"))
     words = words.filter("w <> ''").select("h", "len", *more, F.xxhash64("w").alias("x"))
     lane = [F.sum(F.shiftrightunsigned("x", j).bitwiseAND(F.lit(0x100000001))).alias(f"s{j}") for j in range(32)]
     sums = words.groupBy("h", "len").agg(F.count("*").alias("n"), *lane, *[F.min(n).alias(n) for n in more])
-    bit = lambda on, b: F.when(on * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
-    half = F.lit(0xFFFFFFFF).cast("bigint")
-    sim = None
-    for j in range(32):
-        two = bit(F.col(f"s{j}").bitwiseAND(half), j).bitwiseOR(bit(F.shiftrightunsigned(f"s{j}", 32), j + 32))
-        sim = two if sim is None else sim.bitwiseOR(two)
+    # Bit 30 of a lane of 2 * sum - n - 1 + 2**30 says whether most words have the bit; below 2**30 no lane reaches its neighbour.
+    n = F.when(F.col("n") < 1 << 30, F.col("n")).otherwise(F.raise_error(F.lit("a line has 2**30 words in all its copies")).cast("bigint"))
+    start = (F.lit((1 << 30) - 1) - n) * F.lit(0x100000001)
+    # Worked out in lambdas: written out for each sum, the generated method is longer than the JVM compiles (8000 bytes).
+    lanes = F.transform(
+        F.array(*[f"s{j}" for j in range(32)]),
+        lambda two, j: F.call_function("shiftleft", F.shiftrightunsigned(two + two + F.col("start"), 30).bitwiseAND(F.lit(0x100000001)), j),
+    )
+    sim = F.aggregate(lanes, F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y))
+    sums = sums.withColumn("start", start)
     return sums.select("h", "len", sim.alias("sim"), *more)
 
 
@@ -108,10 +121,33 @@ def _close(similarity: float) -> Column:
     )
 
 
+def _bound(a: str, b: str) -> Column:
+    """At least the edit distance of two texts cut at their spaces into the arrays ``a`` and ``b``: the cost of one way from a to b.
+
+    Equal words are passed; a word that is not the other text's next one is left out, put in or turned into that one. Each
+    word is taken with a space after it, so every step is a true edit of the texts. The work grows with the number of words.
+    """
+    def step(s, _):
+        u, v = F.get(a, s["i"]), F.get(b, s["j"])
+        is_next = lambda x, y: F.coalesce(x == y, F.lit(False))
+        to = lambda i, j, cost: F.struct((s["i"] + i).alias("i"), (s["j"] + j).alias("j"), (s["cost"] + cost).alias("cost"))
+        return (
+            F.when(is_next(u, v), to(1, 1, 0))
+            .when(u.isNull() & v.isNull(), s)
+            .when(v.isNull() | is_next(F.get(a, s["i"] + 1), v), to(1, 0, F.length(u) + 1))
+            .when(u.isNull() | is_next(u, F.get(b, s["j"] + 1)), to(0, 1, F.length(v) + 1))
+            .otherwise(to(1, 1, F.levenshtein(u, v)))
+        )
+
+    zero = F.lit(0)
+    return F.aggregate(F.sequence(F.lit(1), F.size(a) + F.size(b)), F.struct(zero.alias("i"), zero.alias("j"), zero.alias("cost")), step, lambda s: s["cost"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` of line keys whose texts have the edit similarity; each distinct pair is compared once.
 
-    Further columns of ``pairs`` stay. Words that both texts start or end with are left out first, which changes no edit distance.
+    Further columns of ``pairs`` stay. Most links are proved by ``_bound``; only for other pairs the edit distance is worked
+    out. Words that both texts start or end with are left out first, which changes no edit distance.
     """
     one = lambda c: texts.select(F.col("h").alias(c), F.split("norm", " ").alias(f"w{c}"), F.col("len").alias(f"l{c}"))
     more = [c for c in pairs.columns if c not in ("a", "b")]
@@ -124,11 +160,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     tail = F.when(F.col("tail") > 0, F.col("tail") - 1).otherwise(shorter)
     rows = rows.select("a", "b", *more, "la", "lb", "wa", "wb", head.alias("head"), F.least(tail, shorter - head).alias("tail"))
     middle = lambda w: F.array_join(F.slice(w, F.col("head") + 1, F.size(w) - F.col("head") - F.col("tail")), " ")
-    rows = rows.select("a", "b", *more, "la", "lb", middle("wa").alias("ma"), middle("wb").alias("mb"))
+    rows = rows.select("a", "b", *more, "la", "lb", "wa", "wb", middle("wa").alias("ma"), middle("wb").alias("mb"))
     # One text may be left empty: the space next to its neighbour is then part of the difference.
     gap = F.when((F.col("ma") == "") != (F.col("mb") == ""), 1).otherwise(0)
-    distance = F.call_function("levenshtein", F.col("ma"), F.col("mb"), _allowed("la", "lb", similarity))
-    return rows.filter((distance >= 0) & (distance + gap <= _allowed("la", "lb", similarity))).select("a", "b", *more)
+    allowed = _allowed("la", "lb", similarity)
+    distance = F.call_function("levenshtein", F.col("ma"), F.col("mb"), allowed - gap)
+    return rows.filter((_bound("wa", "wb") <= allowed) | (distance >= 0)).select("a", "b", *more)
 
 
 def _perhaps(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -259,25 +296,27 @@ def _join_rest(keyed: DataFrame, roots: DataFrame, texts: DataFrame, similarity:
     return roots
 
 
-def groups(lines: DataFrame, similarity: float = SIMILARITY, ends: bool = False) -> DataFrame:
+def groups(lines: DataFrame, similarity: float = SIMILARITY, ends: bool = False, rows: DataFrame | None = None) -> DataFrame:
     """``(node, root)`` of the distinct lines that belong to a connected group of unequal lines.
 
     ``lines`` has ``h`` and ``norm``. Two lines are linked if their SimHashes differ in at most BITS_APART bits and their
     edit similarity is at least ``similarity``; with ``ends`` also those of that edit similarity that begin or end alike
     (see ``_ends``), whatever their SimHashes. First each bucket's smallest line is compared with the others (a star),
     then in rounds only lines whose groups still differ (see ``_join_rest``), so a group of near copies emits no square
-    of links; its connected groups are those of all links.
+    of links; its connected groups are those of all links. With the numbered ``rows`` that ``lines`` were cut from, which
+    then have ``rid``, only rows with a line whose text is asked for are cut again.
     """
     more = _ends(similarity) if ends else {}
-    sims = materialize(simhashes(lines, more))
+    first = {"rid": F.col("rid")} if rows is not None else {}
+    sims = materialize(simhashes(lines, more | first))
     counted = sims.groupBy("sim").agg(F.count("*").alias("n"))
     met = F.count("*").over(Window.partitionBy("key"))
-    crowded = _keyed(counted.select("sim")).withColumn("met", met).filter("met > 1").select("sim")
-    crowded = crowded.union(counted.filter("n > 1").select("sim")).distinct()
-    near = _keyed(sims.select("h", "len", "sim").join(crowded, "sim", "left_semi"))
+    # Keys that several SimHashes have; lines of one SimHash share all keys, of which the first one does.
+    crowded = _keyed(counted).withColumn("met", met).filter("met > 1 OR (n > 1 AND (key & 15) = 0)").select("sim", "key")
+    near = sims.select("h", "len", "sim", *first).join(crowded, "sim")
     used = [sims]
     if ends:
-        each = sims.select("h", "len", "sim", F.explode(F.array(*more)).alias("key")).filter("key IS NOT NULL")
+        each = sims.select("h", "len", "sim", *first, F.explode(F.array(*more)).alias("key")).filter("key IS NOT NULL")
         shared = materialize(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
         each = _perhaps(each, shared, "key").filter("perhaps").drop("perhaps")
         near = near.unionByName(each.join(shared, "key", "left_semi"))
@@ -287,13 +326,12 @@ def groups(lines: DataFrame, similarity: float = SIMILARITY, ends: bool = False)
         drop(done)
     close = _close(similarity)
     partner = near.alias("a").join(near.alias("b"), close & (F.col("a.h") != F.col("b.h")), "left_semi")
-    wanted = materialize(partner.select("h", "len", "sim").distinct())
+    wanted = materialize(partner.select("h", "len", "sim", *first).distinct())
+    if rows is not None:
+        lines = keyed_lines(_perhaps(rows, wanted, "rid").filter("perhaps").drop("perhaps"))
     asked = _perhaps(lines.select("h", "norm"), wanted, "h").filter("perhaps").drop("perhaps")
     texts = materialize(asked.groupBy("h").agg(F.first("norm").alias("norm")).join(wanted, "h").select("h", "len", "norm"))
-    keyed = _keyed(wanted)
-    if ends:
-        keyed = keyed.unionByName(near.filter("key < 0").join(wanted.select("h"), "h", "left_semi"))
-    keyed = materialize(keyed)
+    keyed = materialize(near.select("key", "h", "sim", "len").join(wanted.select("h"), "h", "left_semi"))
     for done in (near, wanted):
         drop(done)
     hubs = keyed.groupBy("key").agg(F.min(F.struct("h", "sim", "len")).alias("hub")).select("key", "hub.*")
@@ -310,8 +348,8 @@ def removals(rows: DataFrame, similarity: float = SIMILARITY, ends: bool = False
 
     The kept occurrence of a group has the smallest (doc_id, rid, position), null ids last.
     """
-    lines = _lines(rows).withColumn("h", line_key(F.col("norm")))
-    joined = groups(lines.select("h", "norm"), similarity, ends)
+    lines = keyed_lines(rows)
+    joined = groups(lines.select("h", "norm", "rid"), similarity, ends, rows)
     places = materialize(lines.select("rid", "pos", "doc_id", "h").join(joined, F.col("h") == F.col("node"), "left").select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos").alias("at"), F.coalesce("root", "h").alias("g")))
     firsts = places.groupBy("g").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first")
     gone = places.join(firsts, "g").filter(F.col("at") != F.col("first"))

@@ -1,4 +1,7 @@
+import contextlib
+import io
 import random
+import re
 
 import pytest
 
@@ -194,3 +197,55 @@ def test_unlike_lines_with_a_common_end_meet_in_blocks(spark, monkeypatch, block
     parts = lambda of: sorted(sorted(i for i in range(len(starts)) if of(i) == g) for g in {of(i) for i in range(len(starts))})
     assert parts(find) == parts(lambda i: got.get(i, i)) and 10 < len(parts(find)) < 75
     assert sum(asked) < 10 * len(starts)
+
+
+def test_bound_of_an_edit_distance(spark):
+    """Never below the edit distance, and close to it after changes of single words, so that links need no full comparison."""
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(0, 9)))
+    pairs = [("a", "b"), ("a", "b c"), ("a b", "b a"), ("a  b", "a b"), ("x", "x y z"), ("a b c d", "d c b a")]
+    for _ in range(60):
+        pairs.append(tuple(" ".join(word() for _ in range(r.randrange(1, 12))) or "z" for _ in "ab"))
+    near = []
+    for _ in range(60):
+        a = [word() + "w" for _ in range(40)]
+        b, at = list(a), r.randrange(38)
+        b[at : at + 2] = r.choice([[b[at], "new", b[at + 1]], [b[at + 1]], [b[at] + "&&", b[at + 1]], [b[at + 1], b[at]]])
+        near.append((" ".join(a), " ".join(b)))
+    df = spark.createDataFrame([(a, b) for a, b in pairs + near], "a string, b string")
+    got = [x.n for x in df.selectExpr("split(a, ' ') a", "split(b, ' ') b").select(lines_module._bound("a", "b").alias("n")).collect()]
+    assert all(n >= edits(a, b) for n, (a, b) in zip(got, pairs + near))
+    assert all(n <= 0.2 * max(len(a), len(b)) for n, (a, b) in zip(got[len(pairs) :], near))
+
+
+def test_simhash_code_is_short_enough_to_be_compiled(spark):
+    """The JVM only interprets methods of more than 8000 bytes."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the code is made only as the query runs
+    lines = spark.createDataFrame([(b"k", "a b c")], "h binary, norm string")
+    out = io.StringIO()
+    try:
+        with contextlib.redirect_stdout(out):
+            simhashes(lines, lines_module._ends(0.8)).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_rows_without_a_wanted_text_are_not_cut_again(spark, docs, monkeypatch):
+    """Few of 300 rows hold lines that are alike: the texts of these are taken from few rows."""
+    r = random.Random(15)
+    line = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(20))
+    texts = [line() for _ in range(300)]
+    texts[7] += " one"
+    cut, whole = [], lines_module._lines
+
+    def counted(rows):
+        cut.append(rows.count())
+        return whole(rows)
+
+    monkeypatch.setattr(lines_module, "_lines", counted)
+    got = {x.row.doc_id: x.n_removed for x in deduplicate(docs([*enumerate(texts), (300, texts[7] + "s")]), ends=True).collect()}
+    assert got[300] == 1 and sum(got.values()) == 1
+    assert len(cut) == 2 and cut[0] == 301 and cut[1] < 30
