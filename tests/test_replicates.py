@@ -95,7 +95,7 @@ def test_curves_in_one_task_and_in_blocks(spark, scored, null):
     assert all((both[c] == both[f"{c}_w"]).all() for c in ("k", "n", "overlap"))
 
 
-@pytest.mark.parametrize("name", ["rank_record", "control_comparison"])
+@pytest.mark.parametrize("name", ["rank_record", "control_comparison", "heterogeneity"])
 def test_records_have_the_replicates_of_the_study(spark, monkeypatch, name):
     asked = []
     monkeypatch.setattr(reports.tables, name, lambda *args: asked.append(args[-2:]))
